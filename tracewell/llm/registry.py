@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontam, langid, media, minhash, mixing, quality, sharding, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,9 +40,91 @@ FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON s
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by kernel ridge regression on random Fourier features."""
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, by virtual slots."""
+    return sharding.shard_records(_table(spark, sf_dir, "documents"), 40)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by Viterbi over per-word scores."""
+    return langid.predicted_languages(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by their nearest labelled examples."""
+    found = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as images, stored as NPY tiles and read back."""
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 5, 2, 1 of their sources."""
+    rows, _ = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that overlap with items of the benchmark, with the items."""
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), chr(0))), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+    source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total
+  FROM s0),
+s2 AS (
+  SELECT *,
+    CAST(total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS open,
+    CAST(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS ow
+  FROM s1),
+s3 AS (SELECT *, cap * ow <= weight * open AS capped FROM s2),
+lv AS (SELECT arg_max(open, ow) AS lo, max(ow) AS lw FROM s3 WHERE NOT capped),
+s4 AS (
+  SELECT source, source_size, total, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(weight * lo AS DOUBLE) / lw END AS target
+  FROM s3, lv),
+s5 AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS quota, greatest(1, (4096 * source_size + greatest(total, 1) - 1) // greatest(total, 1)) AS nb
+  FROM s4),
+s6 AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM s5),
+b AS (
+  SELECT d.*, s6.source_size, s6.target, s6.passes, s6.quota - s6.passes * s6.source_size AS rest, d.h % s6.nb AS block
+  FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+o AS (
+  SELECT *, CAST('0x' || substr(md5('7:block:' || coalesce(source, chr(0)) || ':' || CAST(block AS VARCHAR)), 1, 15) AS BIGINT) AS bo FROM b),
+a AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bo, block, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM o)
+SELECT doc_id, size, source_size, target, CAST(size * passes + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM a
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {
+        "op1_minhash_dedup": op1_minhash_dedup,
+        "op3_quality": op3_quality,
+        "op4_sharding": op4_sharding,
+        "op6_language_id": op6_language_id,
+        "op7_toxicity": op7_toxicity,
+        "op8_media_columns": op8_media_columns,
+        "op9_mixing": op9_mixing,
+        "op10_decontamination": op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op9_mixing": OP9_SQL}
