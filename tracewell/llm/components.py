@@ -23,28 +23,24 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     edges = cut(edges.where("a is not null and b is not null and a <> b").distinct())
-    labels = None
+    moves: list[DataFrame] = []
     for turn in range(MAX_ROUNDS):
         if not edges.take(1):
             break
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("node"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
-        hook = hook.select(F.col("a").alias("node"), F.least(F.col("m"), rank(F.col("a")))["node"].alias("to"))
-        hook = cut(hook)
-        # follow a hook's own hook once: two hops a round
-        far = hook.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        hook = cut(hook.join(far, "to").select("node", F.col("to2").alias("to")))
-        if labels is None:
-            labels = hook.select("node", F.col("to").alias("root"))
-        else:
-            moved = hook.select(F.col("node").alias("root"), "to")
-            labels = labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = cut(labels)
+        hook = cut(hook.select(F.col("a").alias("node"), F.least(F.col("m"), rank(F.col("a")))["node"].alias("to")))
+        moves.append(hook)
         left = hook.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         right = hook.select(F.col("node").alias("b"), F.col("to").alias("b2"))
         edges = edges.join(left, "a").select("b", "a2").join(right, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
         edges = cut(edges.where("a <> b").distinct())
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = moves[0].select("node", F.col("to").alias("root"))
+    for hook in moves[1:]:
+        labels = labels.join(hook.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(labels)

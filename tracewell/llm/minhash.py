@@ -131,7 +131,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     # the shorter set may not be below the threshold's share of the longer one
     both = pairs.join(left, "a").join(right, "b").where(F.least(F.size("sa"), F.size("sb")) * den >= F.greatest(F.size("sa"), F.size("sb")) * num)
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * den >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return both.where(common * den >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b", "ra", "rb")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,40 +161,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     full = drawn.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     members = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("key", "least"))
-    buckets = stored(members.join(shared, "key").select("key", "rep", "n_shingles", "least"), "buckets")
+    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    buckets = stored(members.join(shared, "key", "left_semi").select("key", "rep", "n_shingles"), "buckets")
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = cut(wanted)
     sets = base.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(shingle, lower), "rep long, shingles array<long>")
     sets = stored(sets, "sets")
     size_fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
 
-    links, tested, roots = None, None, None
+    links, tested = None, None
+    roots = cut(wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("root")))
     live = buckets.select("key", "rep", "n_shingles", F.col("rep").alias("root"))
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            if turn == 0:
-                pairs = buckets.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-            else:
-                order = F.struct(F.xxhash64(F.lit(turn), F.col("rep")), F.col("rep"), F.col("root"))
-                hub = cut(live.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.rep").alias("hub"), F.col("hub.root").alias("hub_root")))
-                pairs = live.join(hub, "key").where("root <> hub_root").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+            order = F.struct(F.xxhash64(F.lit(turn), F.col("rep")), F.col("rep"), F.col("root"), F.col("n_shingles"))
+            hub = live.groupBy("key").agg(F.min(order).alias("hub"))
+            hub = cut(hub.select("key", F.col("hub.rep").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n_shingles").alias("hub_n")))
+            pairs = live.join(hub, "key").where((F.col("root") != F.col("hub_root")) & size_fits(F.col("n_shingles"), F.col("hub_n")))
+            pairs = pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub_root").alias("ra"), F.col("root").alias("rb"))
         else:
             left = live.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
             right = live.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-            pairs = left.join(right, "key").where((F.col("ra") < F.col("rb")) & size_fits(F.col("na"), F.col("nb")))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = left.join(right, "key").where((F.col("ra") < F.col("rb")) & size_fits(F.col("na"), F.col("nb"))).select("a", "b", "ra", "rb")
+        # a before b
+        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("a") < F.col("b"), F.col("rb")).otherwise(F.col("ra")).alias("rb"))
+        pairs = pairs.toDF("a", "b", "ra", "rb").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         found = cut(_verified(pairs, sets, num, den))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if not found.take(1) and turn == STAR_ROUNDS:
-            break
-        roots = connected_components(links)
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
+        if found.take(1):
+            merged = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
+            roots = cut(roots.join(merged, "root", "left").select("rep", F.coalesce("to", "root").alias("root")))
         if turn < STAR_ROUNDS:
-            placed = buckets.select("key", "rep", "n_shingles").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-            placed = placed.select("key", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
+            # buckets whose members lie in different components; of two members, both were compared
+            placed = live.select("key", "rep", "n_shingles").join(roots, "rep")
             mixed = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key"))
             live = cut(placed.join(mixed, "key", "left_semi"))
             if not live.take(1):
@@ -204,7 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     named = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     placed = roots.join(named, "root").select(F.col("node").alias("rep"), "component_id")
-    placed = cut(placed.join(degree, "rep"))
+    placed = cut(placed.join(degree, "rep", "left"))
     of_class = cut(
         classes.select("set_a", "set_b", "n_shingles", "rep")
         .join(placed, "rep", "left")
