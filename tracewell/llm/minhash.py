@@ -204,9 +204,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
                 break
 
     # a component is named by its least document
-    named = roots.groupBy("root").agg(F.min("node").alias("component_id"))
+    named = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    placed = roots.join(named, "root").select(F.col("node").alias("rep"), "component_id")
+    placed = roots.join(named, "root").select("rep", "component_id")
     placed = cut(placed.join(degree, "rep", "left"))
     of_class = cut(
         classes.select("set_a", "set_b", "n_shingles", "rep")
