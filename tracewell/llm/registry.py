@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, minhash, mixing, quality, sharding, toxicity
+from . import decontam, langid, linededup, media, minhash, mixing, quality, sharding, substring, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,6 +40,29 @@ FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON s
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 20 words that start earlier elsewhere."""
+    return substring.without_repeats(_table(spark, sf_dir, "documents"), 20, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, s, list_aggregate(w[s : s + 19], 'string_agg', ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+late AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS k, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.k, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by kernel ridge regression on random Fourier features."""
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -50,6 +73,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_table(spark, sf_dir, "documents"), 40)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that an earlier line is within one edit of."""
+    return linededup.without_near_lines(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents by Viterbi over per-word scores."""
     return langid.predicted_languages(_table(spark, sf_dir, "documents"))
@@ -116,8 +144,10 @@ SELECT doc_id, size, source_size, target, CAST(size * passes + greatest(0, least
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_quality": op3_quality,
         "op4_sharding": op4_sharding,
+        "op5_line_dedup": op5_line_dedup,
         "op6_language_id": op6_language_id,
         "op7_toxicity": op7_toxicity,
         "op8_media_columns": op8_media_columns,
@@ -127,4 +157,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_mixing": OP9_SQL}
