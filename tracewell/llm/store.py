@@ -26,19 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table into the shared folder as Parquet and read it again.
+
+    This cuts the lineage, outlives lost executors and, unlike a checkpoint,
+    carries no inferred constraints along, which grow from round to round of an
+    iterative job until planning takes longer than the work.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     gc.collect()  # lets the driver forget plans, and what they broadcast, that Python no longer names
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder as Parquet and read it again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small table."""
+    return stored(df, "cut")
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
