@@ -1 +1,28 @@
-"""Part of tracewell; see the package docstring."""
+"""Structured Streaming entry points: the same operators on a stream of log lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.cdm import Profile, parse_records, filter_relations
+
+
+def stream_cdm(spark: SparkSession, path: str, glob: str = "*json*", files_per_trigger: int = 100) -> DataFrame:
+    """(value, file, line_id) of log files as they appear under the path."""
+    lines = spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return lines.select("value", F.lit("").alias("file"), F.lit(0).cast("long").alias("line_id"))
+
+
+def stream_events(lines: DataFrame, profile: Profile, late: str = "10 minutes") -> DataFrame:
+    """Events of a stream with their event time ``ts`` and a watermark; repeats inside the watermark are dropped."""
+    records = parse_records(lines, profile)
+    events = records.where("kind = 'Event' and subject is not null and object is not null")
+    events = events.select("subject", "object", F.col("type").alias("operation"), F.col("uuid").alias("event_uuid"), "timestamp_rec", F.timestamp_micros((F.col("timestamp_rec") / 1000).cast("long")).alias("ts"))
+    return filter_relations(events, profile).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_uuid"])
+
+
+def stream_window_counts(events: DataFrame, minutes: int = 15) -> DataFrame:
+    """(start, end, operation, n) by tumbling windows of event time."""
+    w = F.window("ts", f"{minutes} minutes")
+    return events.groupBy(w, "operation").agg(F.count("*").alias("n")).select("window.start", "window.end", "operation", "n")
