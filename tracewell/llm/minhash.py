@@ -17,7 +17,7 @@ EMPTY = U64(2**64 - 1)
 #: A linked pair goes unseen by every band with at most this probability.
 MISS = 1e-6
 #: Rounds in which each bucket is held against one of its members before the rest is compared pair by pair.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -124,14 +124,16 @@ def _shingler(size: int, lower: bool):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have den * intersection >= num * union."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, ..) with the shingles of both, sa and sb."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    # the shorter set may not be below the threshold's share of the longer one
-    both = pairs.join(left, "a").join(right, "b").where(F.least(F.size("sa"), F.size("sb")) * den >= F.greatest(F.size("sa"), F.size("sb")) * num)
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * den >= num * (F.size("sa") + F.size("sb") - common)).select("a", "b", "ra", "rb")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _linked(common, na, nb, num: int, den: int):
+    """Whether Jaccard similarity is at least num / den."""
+    return common * den >= num * (na + nb - common)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,10 +146,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     1. A scan sketches each whole text.  Rows with equal sets form one class
        (combined before the shuffle), so copies never meet pairwise.
     2. Bands of the sketch give buckets of classes.  A bucket's members are
-       compared with one member; what then lies in one component needs no
-       further comparison.  After ``STAR_ROUNDS`` of that, all pairs of a bucket
-       which lie in different components and weren't compared are compared, so
-       no bucket is capped.
+       compared with its hub, the one that meets the most others.  Of two
+       members in different components at least one isn't linked to the hub, so
+       they can only be linked if they share a shingle that the hub lacks, or if
+       both are small; such shingles make the buckets of the next round.  What
+       is left after ``STAR_ROUNDS`` of that is compared pair by pair, so no
+       bucket is capped and no link is lost.
     3. Every link is confirmed on the full sets.
 
     Null or empty texts, and texts without words, have empty sets and no links.
@@ -169,42 +173,68 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sets = stored(sets, "sets")
     size_fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
 
-    links, tested = None, None
+    links = None
     roots = cut(wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("root")))
-    live = buckets.select("key", "rep", "n_shingles", F.col("rep").alias("root"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(turn), F.col("rep")), F.col("rep"), F.col("root"), F.col("n_shingles"))
-            hub = live.groupBy("key").agg(F.min(order).alias("hub"))
-            hub = cut(hub.select("key", F.col("hub.rep").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n_shingles").alias("hub_n")))
-            pairs = live.join(hub, "key").where((F.col("root") != F.col("hub_root")) & size_fits(F.col("n_shingles"), F.col("hub_n")))
-            pairs = pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("hub_root").alias("ra"), F.col("root").alias("rb"))
-        else:
-            left = live.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-            right = live.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-            pairs = left.join(right, "key").where((F.col("ra") < F.col("rb")) & size_fits(F.col("na"), F.col("nb"))).select("a", "b", "ra", "rb")
-        # a before b
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("ra")).otherwise(F.col("rb")).alias("ra"), F.when(F.col("a") < F.col("b"), F.col("rb")).otherwise(F.col("ra")).alias("rb"))
-        pairs = pairs.toDF("a", "b", "ra", "rb").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(_verified(pairs, sets, num, den))
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+    live = buckets
+
+    def merge(found: DataFrame) -> None:
+        nonlocal roots, links
         links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
+        ends = found.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
+        merged = connected_components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = cut(roots.join(merged, "root", "left").select("rep", F.coalesce("to", "root").alias("root")))
+
+    for turn in range(STAR_ROUNDS):
+        # each bucket's hub: the member that meets the most others in all buckets
+        sizes = live.groupBy("key").agg(F.count("*").alias("m"))
+        degree = live.join(sizes, "key").groupBy("rep").agg(F.sum("m").alias("degree"))
+        ranked = cut(live.join(degree, "rep"))
+        hub = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("rep").alias("rep"), F.col("n_shingles").alias("n"))).alias("h"))
+        hub = cut(hub.select("key", F.col("h.rep").alias("a"), F.col("h.n").alias("na")))
+        stars = ranked.join(hub, "key").where("rep <> a").select("a", F.col("rep").alias("b"), "na", F.col("n_shingles").alias("nb")).distinct()
+        stars = cut(stars)
+        common = F.size(F.array_intersect("sa", "sb"))
+        stars = cut(_with_sets(stars, sets).select("a", "b", "na", "nb", common.cast("long").alias("common")).withColumn("linked", _linked(F.col("common"), F.col("na"), F.col("nb"), num, den)))
+        merge(stars.where("linked"))
+        # hubs that leave members in different components, one of them not linked to the hub
+        placed = stars.join(roots.toDF("b", "rb"), "b")
+        open_ = placed.groupBy("a").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.max(~F.col("linked")).alias("some")).where("lo <> hi and some").select("a")
+        placed = cut(placed.join(cut(open_), "a", "left_semi"))
+        if not placed.take(1):
+            live = None
+            break
+        # Two members x, y of a hub h with x not linked to h share a shingle that h lacks, or else
+        # |x & y| <= min(|x & h|, |y & h|), which few pairs of sizes allow.
+        y = placed.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("common").alias("cy"), F.col("rb").alias("ry"))
+        fits = F.least("common", "cy") * (num + den) >= num * (F.col("nb") + F.col("ny"))
+        bare = placed.where("not linked").join(y, (placed["a"] == y["a"]) & (F.col("rb") != F.col("ry")) & fits)
+        bare = bare.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+        bare = cut(_with_sets(bare, sets).where(_linked(common, F.size("sa"), F.size("sb"), num, den)).select("a", "b"))
+        if bare.take(1):
+            merge(bare)
+        own = F.explode(F.array_except("sb", "sa"))
+        extra = _with_sets(placed.select("a", "b", F.col("nb").alias("n_shingles"), "linked"), sets).select("a", F.col("b").alias("rep"), "n_shingles", "linked", own.alias("s"))
+        extra = stored(extra.select(F.xxhash64("a", "s").alias("key"), "rep", "n_shingles", "linked"), "extra")
+        met = extra.groupBy("key").agg(F.count("*").alias("m"), F.max(~F.col("linked")).alias("some")).where("m > 1 and some").select("key")
+        inner = cut(extra.join(met, "key", "left_semi").join(roots, "rep"))
+        mixed = cut(inner.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
+        live = cut(inner.join(mixed, "key", "left_semi").select("key", "rep", "n_shingles"))
+        if not live.take(1):
+            live = None
+            break
+    if live is not None:
+        # what is left is compared pair by pair, across components
+        placed = live.join(roots, "rep")
+        left = placed.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
+        right = placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
+        pairs = left.join(right, "key").where((F.col("ra") < F.col("rb")) & size_fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+        found = cut(_with_sets(cut(pairs), sets).where(_linked(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), num, den)).select("a", "b"))
         if found.take(1):
-            merged = connected_components(found, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
-            roots = cut(roots.join(merged, "root", "left").select("rep", F.coalesce("to", "root").alias("root")))
-        if turn < STAR_ROUNDS:
-            # buckets whose members lie in different components; of two members, both were compared
-            placed = live.select("key", "rep", "n_shingles").join(roots, "rep")
-            mixed = cut(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key"))
-            live = cut(placed.join(mixed, "key", "left_semi"))
-            if not live.take(1):
-                break
+            merge(found)
 
     # a component is named by its least document
     named = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     placed = roots.join(named, "root").select("rep", "component_id")
     placed = cut(placed.join(degree, "rep", "left"))
