@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
 from .tokens import Words, slices
 
 #: Words of an anchor.
@@ -261,21 +262,24 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     builds the reference's automaton; one such text is held at a time.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    anchors = base.where("doc_id is not null").mapInArrow(_anchors(window), "anchor long, doc_id long, flags byte")
+    # the texts are shuffled once for pieces and references, whose joins need the same exchange
+    keyed = base.where("doc_id is not null")
+    anchors = keyed.mapInArrow(_anchors(window), "anchor long, doc_id long, flags byte")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("flags").alias("some"))
     repeated = repeated.where("n > 1 or some > 0").select("anchor", "first_id", ((F.col("n") > 2) | (F.col("some") > 0)).alias("more"))
     routed = anchors.join(repeated, "anchor").where("doc_id <> first_id or flags > 0")
+    routed = stored(routed.select("doc_id", "anchor", "first_id", "more"), "routed")
     routes = routed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first_id", "more")).alias("routes"))
 
-    pieces = base.join(routes, "doc_id", "left").select("doc_id", "text", "routes").mapInArrow(_pieces(window), "first_id long, doc_id long, pieces array<struct<start:long,more:boolean,text:binary>>")
-    named = routed.select(F.col("first_id").alias("doc_id")).distinct().withColumn("used", F.lit(True))
-    references = base.join(named, "doc_id", "left").where("used").select(F.col("doc_id").alias("first_id"), F.col("text").alias("reference"))
+    pieces = keyed.join(routes, "doc_id").select("doc_id", "text", "routes").mapInArrow(_pieces(window), "first_id long, doc_id long, pieces array<struct<start:long,more:boolean,text:binary>>")
+    named = routed.select(F.col("first_id").alias("doc_id")).distinct()
+    references = keyed.join(named, "doc_id").select(F.col("doc_id").alias("first_id"), F.col("text").alias("reference"))
     both = pieces.join(references.hint("merge"), "first_id").select("first_id", "doc_id", "pieces", "reference")
-    found = both.mapInArrow(_matches(window), "doc_id long, start long, n long, key long").repartition("doc_id", "start")
+    found = stored(both.mapInArrow(_matches(window), "doc_id long, start long, n long, key long"), "found")
 
     open_ = found.where("n = 0").select("key", "doc_id", "start")
     earliest = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("d")).where("c > 1").select("key", "d")
-    later = open_.join(earliest, "key")
+    later = stored(open_.join(earliest, "key"), "later")
     # the first document's own occurrences: all but its first start
     own = later.where("doc_id = d").groupBy("key").agg(F.min("start").alias("s"))
     rest = later.where("doc_id <> d").select("doc_id", "start").unionByName(later.where("doc_id = d").join(own, "key").where("start > s").select("doc_id", "start"))
