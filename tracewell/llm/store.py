@@ -36,7 +36,9 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    gc.collect()  # lets the driver forget plans, and what they broadcast, that Python no longer names
+    # Plans that nobody names any more hold shuffle files and broadcasts until the driver collects its garbage.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
