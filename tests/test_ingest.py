@@ -15,7 +15,7 @@ def record(kind, body, version=18):
 
 def event(uuid, kind, subject, obj, path="/f", exe="sh", t=1, version=18):
     u = lambda x: {f"{cdm.PREFIX}{version}.UUID": x}
-    return record("Event", {"uuid": uuid, "type": kind, "subject": u(subject), "predicateObject": u(obj), "predicateObjectPath": {"string": path} if path else None, "timestampNanos": t, "properties": {"map": {"exec": exe}}}, version)
+    return record("Event", {"uuid": uuid, "type": kind, "subject": u(subject), "predicateObject": u(obj), "predicateObjectPath": {"string": path} if path else None, "timestampNanos": 1523028000000000000 + t, "properties": {"map": {"exec": exe}}}, version)
 
 
 def lines(version):
