@@ -18,6 +18,8 @@ EMPTY = U64(2**64 - 1)
 MISS = 1e-6
 #: Rounds in which each bucket is held against one of its members before the rest is compared pair by pair.
 STAR_ROUNDS = 4
+#: Members of a bucket of a later round that are compared pair by pair at once.
+SMALL = 8
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -184,7 +186,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         merged = connected_components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = cut(roots.join(merged, "root", "left").select("rep", F.coalesce("to", "root").alias("root")))
 
-    for turn in range(STAR_ROUNDS):
+    def compare(placed: DataFrame) -> None:
+        """Link the members (key, rep, root, n_shingles) of each bucket pair by pair, across components."""
+        left = placed.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
+        right = placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
+        pairs = left.join(right, "key").where((F.col("ra") < F.col("rb")) & size_fits(F.col("na"), F.col("nb")))
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        common = F.size(F.array_intersect("sa", "sb"))
+        found = cut(_with_sets(pairs, sets).where(_linked(common, F.size("sa"), F.size("sb"), num, den)).select("a", "b"))
+        if found.take(1):
+            merge(found)
+
+    for _ in range(STAR_ROUNDS):
         # each bucket's hub: the member that meets the most others in all buckets
         sizes = live.groupBy("key").agg(F.count("*").alias("m"))
         degree = live.join(sizes, "key").groupBy("rep").agg(F.sum("m").alias("degree"))
@@ -217,20 +230,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         extra = stored(extra.select(F.xxhash64("a", "s").alias("key"), "rep", "n_shingles", "linked"), "extra")
         met = extra.groupBy("key").agg(F.count("*").alias("m"), F.max(~F.col("linked")).alias("some")).where("m > 1 and some").select("key")
         inner = cut(extra.join(met, "key", "left_semi").join(roots, "rep"))
-        mixed = cut(inner.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-        live = cut(inner.join(mixed, "key", "left_semi").select("key", "rep", "n_shingles"))
+        mixed = cut(inner.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"))
+        placed = cut(inner.join(mixed, "key").select("key", "rep", "n_shingles", "root", "m"))
+        compare(placed.where(F.col("m") <= SMALL))
+        live = placed.where(F.col("m") > SMALL).select("key", "rep", "n_shingles")
         if not live.take(1):
             live = None
             break
     if live is not None:
-        # what is left is compared pair by pair, across components
-        placed = live.join(roots, "rep")
-        left = placed.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-        right = placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-        pairs = left.join(right, "key").where((F.col("ra") < F.col("rb")) & size_fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        found = cut(_with_sets(cut(pairs), sets).where(_linked(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), num, den)).select("a", "b"))
-        if found.take(1):
-            merge(found)
+        compare(live.join(roots, "rep"))
 
     # a component is named by its least document
     named = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
