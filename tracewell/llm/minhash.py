@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -211,8 +211,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         merge(stars.where("linked"))
         # hubs that leave members in different components, one of them not linked to the hub
         placed = stars.join(roots.toDF("b", "rb"), "b")
-        open_ = placed.groupBy("a").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.max(~F.col("linked")).alias("some")).where("lo <> hi and some").select("a")
-        placed = cut(placed.join(cut(open_), "a", "left_semi"))
+        open_ = placed.groupBy("a").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.max(~F.col("linked")).alias("some"), F.count("*").alias("m")).where("lo <> hi and some").select("a", "m")
+        placed = cut(placed.join(cut(open_), "a"))
+        compare(placed.where(F.col("m") <= SMALL).select(F.col("a").alias("key"), F.col("b").alias("rep"), F.col("rb").alias("root"), F.col("nb").alias("n_shingles")))
+        placed = placed.where(F.col("m") > SMALL)
         if not placed.take(1):
             live = None
             break
@@ -225,11 +227,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         bare = cut(_with_sets(bare, sets).where(_linked(common, F.size("sa"), F.size("sb"), num, den)).select("a", "b"))
         if bare.take(1):
             merge(bare)
-        own = F.explode(F.array_except("sb", "sa"))
-        extra = _with_sets(placed.select("a", "b", F.col("nb").alias("n_shingles"), "linked"), sets).select("a", F.col("b").alias("rep"), "n_shingles", "linked", own.alias("s"))
-        extra = stored(extra.select(F.xxhash64("a", "s").alias("key"), "rep", "n_shingles", "linked"), "extra")
-        met = extra.groupBy("key").agg(F.count("*").alias("m"), F.max(~F.col("linked")).alias("some")).where("m > 1 and some").select("key")
-        inner = cut(extra.join(met, "key", "left_semi").join(roots, "rep"))
+        # They share num / den * |x| - |x & h| such shingles at least, so one of them is among the rarest that remain of x's.
+        first = F.col("nb") - F.col("common") - F.greatest(F.lit(1), F.ceil(F.col("nb") * num / den - F.col("common") - 1e-9)) + 1
+        extra = _with_sets(placed.select("a", "b", F.col("nb").alias("n_shingles"), "linked", first.alias("first")), sets)
+        extra = extra.select(F.xxhash64("a", "b").alias("member"), F.col("b").alias("rep"), "n_shingles", "linked", "first", "a", F.explode(F.array_except("sb", "sa")).alias("s"))
+        extra = stored(extra.select("member", "rep", "n_shingles", "linked", "first", F.xxhash64("a", "s").alias("key")), "extra")
+        met = cut(extra.groupBy("key").agg(F.count("*").alias("m"), F.max(~F.col("linked")).alias("some")))
+        place = F.row_number().over(Window.partitionBy("member").orderBy("m", "key"))
+        rare = extra.join(met, "key").withColumn("place", place).where("place <= first and m > 1 and some").select("key", "rep", "n_shingles")
+        inner = cut(rare.join(roots, "rep"))
         mixed = cut(inner.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"))
         placed = cut(inner.join(mixed, "key").select("key", "rep", "n_shingles", "root", "m"))
         compare(placed.where(F.col("m") <= SMALL))
