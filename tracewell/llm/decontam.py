@@ -19,7 +19,7 @@ from .tokens import PUNCT, U64, Words, mix, slices
 #: Fixed masks; 1: the token counts, 0: it is ignored.
 MASKS = ("1110111", "110110011", "1011010011", "11100001011")
 #: Overlap that counts: so many tokens of the item (all, if it has fewer) ...
-LEAST_TOKENS = 20
+LEAST_TOKENS = 13
 #: ... of which so many hundredths agree.
 LEAST_PERCENT = 80
 #: Benchmarks of no more tokens are broadcast; larger ones are joined by their seeds.
