@@ -118,3 +118,27 @@ def test_mix_of_repeats_nulls_and_nothing(spark):
     rows = mixing.mixed(docs)[0].collect()
     assert len(rows) == 4 and sum(r["taken"] for r in rows) == 6
     assert mixing.mixed(docs.where("false"))[0].count() == 0 and mixing.mixed_documents(docs.where("false")).count() == 0
+
+
+def test_op9_and_the_pipeline_draw_through_the_tree(spark, monkeypatch):
+    docs = make_docs(spark, texts(200))
+    rows, table = mixing.mixed(docs, levels=2)
+    tree = mixing.splitting_tree(table, 2).collect()
+    rows = rows.collect()
+    drawn, leaf = Counter(), Counter()
+    for r in rows:
+        for c in r["placed"] or []:
+            drawn[r["source"], r["block"], c["turn"], c["out_shard"]] += c["words"]
+    for r in tree:
+        leaf[r["source"], r["block"], r["turn"], r["out_shard"]] += r["quota"]
+    assert drawn == +leaf
+
+    whole = {r["doc_id"]: r["taken"] for r in mixing.mix_rows(docs).collect()}
+    assert len(whole) == 200 and whole == {r["doc_id"]: r["taken"] for r in rows}
+    real = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda *a: real(*a).where("out_shard = 0"))  # leaves that draw nothing take nothing
+    some = {r["doc_id"]: r["taken"] for r in mixing.mix_rows(docs).collect()}
+    out = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        out[r["doc_id"]] += len(words(r["text"]))
+    assert 0 < sum(some.values()) < sum(whole.values()) and out == Counter({k: v for k, v in some.items() if v})

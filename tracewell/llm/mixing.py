@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Blocks of all sources together, besides one that each source has at least; fixed, so tables by block are bounded.
 BLOCKS = 4096
+#: Levels of the splitting tree: 2**LEVELS output shards.
+LEVELS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,14 +82,16 @@ def in_blocks(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("block", F.pmod(F.col("h"), F.col("n_blocks")))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, blocks: int = BLOCKS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, blocks: int = BLOCKS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """(rows, block table): what the mix takes of each row.
 
     rows: doc_id, size (words; null text: 0), source_size, target (of its
-    source), taken (words, repeats counted; size * passes, plus size if the
-    last, partial pass takes the row, or part of it for one row of a source),
-    block, source; with ``carry`` all columns of ``docs`` instead of doc_id and
-    source, beside ``__size``, ``__taken`` and ``__passes``.  A null source is a
+    source), taken (words, repeats counted), block, source, placed, row (a key
+    of the row); with ``carry`` all columns of ``docs``, ``__size`` and
+    ``__placed``.  ``placed`` holds a (turn, words, out_shard, place) for every
+    copy of the row that a leaf of the splitting tree draws with its block, and
+    ``taken`` sums their words: size in each whole pass, and in the last,
+    partial pass size or, for one row of a source, part of it.  A null source is a
     source; rows that repeat an id are drawn one by one; empty input gives none.
     Draws depend on ids, sources and the seed alone, so reruns agree.
     """
@@ -98,7 +102,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
         word_count(F.col(text_col).cast("string")).alias("__size"),
         draw(F.lit(seed), F.col(id_col)).alias("__h"),
         F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__crc"),
-        *([] if carry else [F.col(id_col).cast("long").alias("doc_id")]),
+        *([] if carry else [F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("__row")]),
     )
     light = sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h"))
     if not carry:
@@ -115,7 +119,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     # drawn: words of the block in the last pass
     table = cut(sums.select("source", "block", "passes", "words", left.cast("long").alias("drawn")))
     named = sources.select(F.col("source").alias("__s"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("n_blocks").alias("__n"), F.col("passes").alias("__passes"))
-    state = table.select(F.col("source").alias("__s2"), F.col("block").alias("__b"), F.col("drawn").alias("__drawn"), F.col("words").alias("__words"))
+    leaves = splitting_tree(table, levels, seed).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "out_shard"))).alias("__leaves"))
+    leaves = leaves.select(F.col("source").alias("__s3"), F.col("block").alias("__b3"), "__leaves")
+    state = table.join(leaves, F.col("source").eqNullSafe(F.col("__s3")) & (F.col("block") == F.col("__b3")), "left")
+    state = cut(state.select(F.col("source").alias("__s2"), F.col("block").alias("__b"), F.col("drawn").alias("__drawn"), F.col("words").alias("__words"), "__leaves"))
     rows = sized.join(broadcast_if_small(named), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", F.pmod(F.col("__h"), F.col("__n")))
     rows = rows.join(broadcast_if_small(state), F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("__block") == F.col("__b")))
     part = (F.col("__drawn") > 0) & (F.col("__drawn") < F.col("__words"))
@@ -124,9 +131,20 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     ahead = Window.partitionBy("__source", "__block").orderBy("__h", *ties).rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(part).withColumn("__ahead", F.coalesce(F.sum("__size").over(ahead), F.lit(0)))
     edge = edge.withColumn("__last", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__drawn") - F.col("__ahead")))).drop("__ahead")
-    rows = whole.unionByName(edge).withColumn("__taken", (F.col("__size") * F.col("__passes") + F.col("__last")).cast("long"))
+    rows = whole.unionByName(edge)
+    key = F.col(id_col) if carry else F.col("doc_id")
+
+    def copy(leaf: Column) -> Column:
+        words = F.when(leaf["turn"] <= F.col("__passes"), F.col("__size")).otherwise(F.col("__last")).cast("long")
+        place = draw(F.lit(seed), F.lit("place"), key, F.col("__crc"), leaf["turn"])
+        return F.struct(leaf["turn"].alias("turn"), words.alias("words"), leaf["out_shard"].alias("out_shard"), place.alias("place"))
+
+    placed = F.filter(F.transform("__leaves", copy), lambda x: x["words"] > 0)
+    rows = rows.withColumn("__placed", placed)
     if carry:
-        return rows.select(*docs.columns, "__size", "__taken", "__passes", "__last"), table
+        return rows.select(*docs.columns, "__size", "__placed"), table
+    taken = F.aggregate(F.coalesce(F.col("__placed.words"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda x, y: x + y)
+    rows = rows.withColumn("__taken", taken)
     return (
         rows.select(
             "doc_id",
@@ -136,53 +154,77 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
             F.col("__taken").alias("taken"),
             F.col("__block").alias("block"),
             F.col("__source").alias("source"),
+            F.col("__placed").alias("placed"),
+            F.col("__row").alias("row"),
         ),
         table,
     )
 
 
-def splitting_tree(table: DataFrame, levels: int = 4, seed: int = 7) -> DataFrame:
-    """(source, block, turn, out_shard) for every drawn copy of every block, 2**levels output shards.
+def splitting_tree(table: DataFrame, levels: int = LEVELS, seed: int = 7) -> DataFrame:
+    """(source, block, turn, quota, out_shard) for every drawn copy of every block, 2**levels output shards.
 
-    At each node the copies are put in a random order and the first half goes
-    left: the split's counts by source are multivariate hypergeometric draws and
-    the halves are disjoint, with exact sizes.  The table of blocks is bounded.
+    ``quota`` is the words that the copy draws: all of the block's, or in the
+    last pass what is left for it.  At each node the copies are put in a random
+    order and the first half goes left: the split's counts by source are
+    multivariate hypergeometric draws and the halves are disjoint, with exact
+    sizes.  The table of blocks is bounded.
     """
     copies = F.sequence(F.lit(1), F.col("passes") + F.when(F.col("drawn") > 0, 1).otherwise(0))
     copies = F.when((F.col("passes") > 0) | (F.col("drawn") > 0), copies).otherwise(F.array().cast("array<bigint>"))
-    items = table.select("source", "block", F.explode(copies).alias("turn")).withColumn("node", F.lit(0))
+    items = table.select("source", "block", "passes", "words", "drawn", F.explode(copies).alias("turn")).withColumn("node", F.lit(0))
+    quota = F.when(F.col("turn") <= F.col("passes"), F.col("words")).otherwise(F.col("drawn"))
+    items = items.select("source", "block", "turn", quota.alias("quota"), "node")
     for level in range(levels):
         order = draw(F.lit(seed), F.lit("tree"), F.lit(level), F.col("source"), F.col("block"), F.col("turn"))
         place = F.row_number().over(Window.partitionBy("node").orderBy(order, "source", "block", "turn"))
         count = F.count("*").over(Window.partitionBy("node"))
-        items = items.select("source", "block", "turn", (F.col("node") * 2 + F.when(place * 2 <= count + 1, 0).otherwise(1)).alias("node"))
+        items = items.select("source", "block", "turn", "quota", (F.col("node") * 2 + F.when(place * 2 <= count + 1, 0).otherwise(1)).alias("node"))
     return items.withColumnRenamed("node", "out_shard")
 
 
-def mix_shards(docs: DataFrame, levels: int = 4, seed: int = 7, **options) -> DataFrame:
+def _in_shards(records: DataFrame) -> DataFrame:
+    """The records gathered by output shard, each piece of a shard in the random order of ``place``."""
+    return records.repartition("out_shard", F.col("place") % 64).sortWithinPartitions("out_shard", "place")
+
+
+def mix_shards(docs: DataFrame, levels: int = LEVELS, seed: int = 7, **options) -> DataFrame:
     """The mix as records of output shards: (doc_id, turn, words, out_shard, place), in a local random order by place."""
-    rows, table = mixed(docs, seed=seed, **options)
-    tree = cut(splitting_tree(table, levels, seed)).select(F.col("source").alias("s"), F.col("block").alias("b"), "turn", "out_shard")
-    drawn = rows.where("taken > 0").join(tree, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size"))
-    drawn = drawn.withColumn("words", words).where("words > 0")
-    drawn = drawn.withColumn("place", draw(F.lit(seed), F.lit("place"), F.col("doc_id"), F.col("turn")))
-    return drawn.select("doc_id", "turn", "words", "out_shard", "place").repartition("out_shard", F.col("place") % 64).sortWithinPartitions("out_shard", "place")
+    rows, _ = mixed(docs, seed=seed, levels=levels, **options)
+    return _in_shards(rows.select("doc_id", F.inline("placed"))).select("doc_id", "turn", "words", "out_shard", "place")
+
+
+def mix_rows(docs: DataFrame, levels: int = LEVELS, seed: int = 7, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every row, taken counted from the written records of the output shards.
+
+    Rows that no leaf draws have a record without a shard and take 0.
+    """
+    rows, _ = mixed(docs, seed=seed, levels=levels, **options)
+    own = ["row", "doc_id", "size", "source_size", "target"]
+    records = rows.select(*own, F.inline_outer("placed"))
+    # undrawn rows are spread by their key instead of meeting in one task
+    records = records.withColumn("place", F.coalesce("place", draw(F.lit(seed), F.lit("undrawn"), F.col("row"))))
+    records = stored(_in_shards(records), "records")
+    taken = F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken")
+    return records.groupBy(*own).agg(taken).drop("row")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", levels: int = LEVELS) -> DataFrame:
     """The documents as the mix takes them: whole copies as often as drawn, and the cut one of each source.
 
-    All columns stay.  A row that isn't drawn goes; the copy of which only part
+    The copies come by output shard of the splitting tree, in a local random
+    order.  All columns stay.  A row that isn't drawn goes; the copy of which only part
     is drawn keeps its first words, joined by single spaces, and ``length_col``,
     if there is such a column, counts its characters.
     """
-    rows, _ = mixed(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=True)
-    part = (F.col("__last") > 0) & (F.col("__last") < F.col("__size"))
-    whole = F.col("__passes") + F.when((F.col("__last") > 0) & ~part, 1).otherwise(0)
-    copies = rows.where(whole > 0).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), whole))).select(*docs.columns)
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("__last").cast("int"))
-    cut_rows = rows.where(part).withColumn(text_col, F.array_join(words, " "))
+    rows, _ = mixed(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=True, levels=levels)
+    copies = rows.withColumn("__copy", F.explode("__placed"))
+    placed = [F.col("__copy.words").alias("__words"), F.col("__copy.out_shard").alias("out_shard"), F.col("__copy.place").alias("place")]
+    part = F.col("__copy.words") < F.col("__size")
+    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("__copy.words").cast("int"))
+    cut_rows = copies.where(part).withColumn(text_col, F.array_join(words, " "))
     if length_col in docs.columns:
         cut_rows = cut_rows.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return copies.unionByName(cut_rows.select(*docs.columns))
+    out = copies.where(~part).unionByName(cut_rows)
+    out = out.select(F.struct(*docs.columns).alias("__doc"), *placed)
+    return _in_shards(out).select("__doc.*")

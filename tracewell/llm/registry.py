@@ -96,8 +96,7 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 of their sources."""
-    rows, _ = mixing.mixed(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_rows(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
