@@ -60,3 +60,36 @@ def test_empty_tables(spark):
     docs, bench = make_docs(spark, ["a b c"]), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs, bench).count() == 0 and decontam.decontaminated(docs, bench).count() == 1
     assert decontam.contaminated(docs.where("false"), bench).count() == 0
+
+
+def test_every_tolerated_overlap_leaves_a_seed():
+    from itertools import combinations
+
+    for n in range(1, 15):
+        need = min(n, decontam.LEAST_TOKENS)
+        spare = need - -(-decontam.LEAST_PERCENT * need // 100)
+        for gone in combinations(range(need), spare):
+            kept = set(range(need)) - set(gone)
+            masks = decontam.shapes(n, decontam.LEAST_TOKENS, decontam.LEAST_PERCENT)
+            assert any({at + i for i, c in enumerate(m) if c == "1"} <= kept for m in masks for at in range(need - len(m) + 1)), (n, gone)
+
+
+def test_both_ways_judge_rows_and_see_damaged_short_items(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    items = [" ".join(f"i{n}x{k}" for k in range(n)) for n in range(1, 13)]
+    texts, ids, hit = [], [], []
+    for n, item in enumerate(items, 1):
+        for gone in combinations(range(n), n - -(-80 * n // 100)):
+            texts.append("so " + " ".join("other" if k in gone else w for k, w in enumerate(item.split())) + " on")
+            hit.append(n)
+            ids.append(None if len(ids) % 3 == 0 else len(ids) // 2)
+    texts, ids = texts + ["quite clean"] * 3, ids + [None, ids[1], 10_000]
+    docs = make_docs(spark, texts, ids)
+    bench = spark.createDataFrame([*enumerate(items, 1), (5, "nothing like it")], "item_id long, text string")
+    for limit in (decontam.BROADCAST_TOKENS, 0):
+        rows = decontam.contaminated(docs, bench, broadcast_tokens=limit).collect()
+        assert Counter((r["doc_id"], r["item_id"]) for r in rows) == Counter(zip(ids, hit))
+        left = decontam.decontaminated(docs, bench, broadcast_tokens=limit)
+        assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter((i, "quite clean") for i in ids[-3:])

@@ -8,12 +8,16 @@ each other along its diagonal and compared token by token.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
 from .tokens import PUNCT, U64, Words, mix, slices
 
 #: Fixed masks; 1: the token counts, 0: it is ignored.
@@ -40,6 +44,25 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(out, len(mask))
 
 
+@lru_cache(maxsize=None)
+def shapes(n: int, least: int, percent: int) -> tuple[str, ...]:
+    """Masks of which one fits every tolerated overlap with an item of ``n`` tokens.
+
+    These are ``MASKS`` where they leave no pattern of substitutions out, which
+    is enumerated for overlaps of up to 16 tokens.  Otherwise they are runs: k
+    substitutions among w tokens leave a run of at least (w - k) / (k + 1).
+    """
+    need = min(n, least)
+    if need == 0:
+        return ()
+    spare = need - -(-percent * need // 100)
+    fitting = tuple(m for m in MASKS if len(m) <= need)
+    places = [{at + i for i, c in enumerate(m) if c == "1"} for m in fitting for at in range(need - len(m) + 1)]
+    if need <= 16 and places and all(any(not p & set(gone) for p in places) for gone in combinations(range(need), spare)):
+        return MASKS
+    return ("1" * max(1, -(-(need - spare) // (spare + 1))),)
+
+
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, percent: int) -> tuple[int, int, int] | None:
     """The best stretch of the item laid over the document with its token 0 at ``diagonal``: (start in doc, tokens, matches)."""
     lo, hi = max(0, -diagonal), min(len(item), len(doc) - diagonal)
@@ -64,13 +87,15 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, percen
 class Benchmark:
     """Items' token hashes and their seeds, in arrays; small enough to be broadcast."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], least: int, percent: int):
         words = Words(pa.array(texts, pa.large_string()), PUNCT, lower=True)
         self.ids = ids
         self.items = [words.hashes[words.at[i] : words.at[i + 1]].copy() for i in range(len(ids))]
+        self.masks: dict[str, None] = {}
         keys, items, places = [], [], []
         for i, item in enumerate(self.items):
-            for mask in MASKS:
+            for mask in shapes(len(item), least, percent):
+                self.masks.setdefault(mask)
                 found = seeds(item, mask)
                 keys.append(found)
                 items.append(np.full(len(found), i))
@@ -80,14 +105,13 @@ class Benchmark:
         self.keys = keys[order]
         self.item = (np.concatenate(items) if items else np.zeros(0, np.int64))[order]
         self.place = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
-        self.short = [i for i, item in enumerate(self.items) if 0 < len(item) < max(map(len, MASKS))]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> U64(44)).astype(np.int64)] = True
 
     def search(self, words: Words, least: int, percent: int) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, tokens, matches) of every row and item that overlap; the best of each pair."""
         rows, hits = words.word_rows(), set()
-        for mask in MASKS:
+        for mask in self.masks:
             found = seeds(words.hashes, mask)
             at = np.flatnonzero(self.maybe[(found >> U64(44)).astype(np.int64)])
             if not len(at) or not len(self.keys):
@@ -99,26 +123,23 @@ class Benchmark:
                 r = int(rows[p])
                 for j in range(f, t):
                     hits.add((r, int(self.item[j]), p - int(words.at[r]) - int(self.place[j])))
-        for i in self.short:  # items that are shorter than a mask: by their first token
-            item = self.items[i]
-            for p in np.flatnonzero(words.hashes == item[0]).tolist():
-                hits.add((int(rows[p]), i, p - int(words.at[rows[p]])))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, ...]] = {}
         for r, i, diagonal in sorted(hits):
             found = overlap(words.hashes[words.at[r] : words.at[r + 1]], self.items[i], diagonal, least, percent)
-            if found and ((r, i) not in best or (found[2], -found[0]) > (best[r, i][2], -best[r, i][0])):
-                best[r, i] = found
-        return [(r, i, *found) for (r, i), found in sorted(best.items())]
+            key = r, self.ids[i]
+            if found and (key not in best or (found[2], -found[0], -found[1]) > best[key][:3]):
+                best[key] = (found[2], -found[0], -found[1], i)
+        return [(r, i, -start, -n, same) for (r, _), (same, start, n, i) in sorted(best.items())]
 
 
-def _benchmark(items: DataFrame, id_col: str, text_col: str, limit: int) -> Benchmark | None:
+def _benchmark(items: DataFrame, id_col: str, text_col: str, limit: int, least: int, percent: int) -> Benchmark | None:
     """The benchmark for broadcasting, or None if it has too many tokens."""
     named = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     size = named.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
     if (size["n"] or 0) > 8 * limit or size["rows"] > limit:
         return None
     rows = sorted(((r["id"], r["text"]) for r in named.collect()), key=lambda r: (r[0], r[1] or ""))
-    return Benchmark([r[0] for r in rows], [r[1] for r in rows])
+    return Benchmark([r[0] for r in rows], [r[1] for r in rows], least, percent)
 
 
 def _found(words: Words, bench: Benchmark, ids: pa.Array, least: int, percent: int) -> pa.RecordBatch:
@@ -143,9 +164,10 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TOKENS, p
     a larger one is joined to the documents by seeds, and each pair is verified.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bench = _benchmark(items, item_col, item_text_col, broadcast_tokens)
+    bench = _benchmark(items, item_col, item_text_col, broadcast_tokens, least, percent)
     if bench is None:
-        return _joined(base, items, least, percent, item_col, item_text_col)
+        base = stored(base.withColumn("__row", F.monotonically_increasing_id()), "docs")
+        return _joined(base, items, least, percent, item_col, item_text_col).drop("__row")
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches):
@@ -156,54 +178,65 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TOKENS, p
 
 
 def _joined(base: DataFrame, items: DataFrame, least: int, percent: int, item_col: str, item_text_col: str) -> DataFrame:
-    named = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
-    n_short = max(map(len, MASKS))
+    """``contaminated`` with the ``__row`` of each document row; base: (doc_id, text, __row), stored, so that rows keep their keys."""
+    named = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).where("item_id is not null")
+    named = stored(named.withColumn("__item", F.monotonically_increasing_id()), "items")
+
+    def item_seeds(batches):
+        for batch in slices(batches, "item"):
+            words = Words(batch.column(1), PUNCT, lower=True)
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                hashes = words.hashes[words.at[i] : words.at[i + 1]]
+                for mask in shapes(len(hashes), least, percent):
+                    found = np.unique(seeds(hashes, mask)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key)), pa.array(found), pa.array([mask] * len(found), pa.string())], names=["__item", "seed", "mask"])
+
+    theirs = stored(named.select("__item", "item").mapInArrow(item_seeds, "__item long, seed long, mask string"), "seeds")
+    # no more than some for each length of up to ``least`` tokens
+    masks = [r["mask"] for r in theirs.select("mask").distinct().collect()]
 
-    def seeded(batches):
+    def doc_seeds(batches):
         for batch in slices(batches, "text"):
             words = Words(batch.column(1), PUNCT, lower=True)
-            rows, sizes = words.word_rows(), np.diff(words.at)
-            keys, ids = [], []
-            for mask in MASKS:
+            rows = words.word_rows()
+            keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for mask in masks:
                 found = seeds(words.hashes, mask)
-                at = np.arange(len(found))
-                inside = rows[at] == rows[at + len(mask) - 1] if len(found) else at.astype(bool)
+                inside = rows[: len(found)] == rows[len(mask) - 1 :][: len(found)]
                 keys.append(found[inside])
-                ids.append(rows[at][inside])
-            # items shorter than a mask meet documents by their first token
-            first = np.ones(len(rows), bool) if batch.schema.names[0] == "doc_id" else sizes[rows] < n_short
-            if batch.schema.names[0] != "doc_id":
-                first &= np.arange(len(rows)) == words.at[rows]
-            keys.append(mix(words.hashes[first], 77))
-            ids.append(rows[first])
+                ids.append(rows[: len(found)][inside])
             pairs = pd.DataFrame({"k": np.concatenate(keys).view(np.int64), "r": np.concatenate(ids)}).drop_duplicates()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs["r"])), pa.array(pairs["k"])], names=[batch.schema.names[0], "seed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs["r"])), pa.array(pairs["k"])], names=["__row", "seed"])
 
-    theirs = named.mapInArrow(seeded, "item_id long, seed long").distinct()
-    ours = base.where("doc_id is not null").mapInArrow(seeded, "doc_id long, seed long")
-    pairs = ours.join(theirs, "seed").select("doc_id", "item_id").distinct()
+    ours = base.select("__row", "text").mapInArrow(doc_seeds, "__row long, seed long")
+    pairs = ours.join(theirs.select("__item", "seed"), "seed").select("__row", "__item").distinct()
 
     def verify(batches):
         for batch in batches:
             parts = []
-            for d, t, i, u in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                one = Benchmark([i], [u])
+            for row, d, t, i, u in zip(*[batch.column(k).to_pylist() for k in range(5)]):
+                one = Benchmark([i], [u], least, percent)
                 found = one.search(Words(pa.array([t], pa.large_string()), PUNCT, lower=True), least, percent)
-                parts += [(d, i, *x[2:]) for x in found]
-            cols = list(zip(*parts)) if parts else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], names=["doc_id", "item_id", "start_word", "n_tokens", "n_matched"])
+                parts += [(row, d, i, *x[2:]) for x in found]
+            cols = list(zip(*parts)) if parts else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.int32()] * 2)], names=["__row", "doc_id", "item_id", "start_word", "n_tokens", "n_matched"])
 
-    both = pairs.join(base, "doc_id").join(named.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item")
-    return both.mapInArrow(verify, HIT_SCHEMA)
+    both = pairs.join(base, "__row").join(named, "__item").select("__row", "doc_id", "text", "item_id", "item")
+    found = both.mapInArrow(verify, f"__row long, {HIT_SCHEMA}")
+    # the best row of a repeated item id
+    best = F.max(F.struct("n_matched", (-F.col("start_word")).alias("start"), (-F.col("n_tokens")).alias("n"))).alias("b")
+    found = found.groupBy("__row", "doc_id", "item_id").agg(best)
+    return found.select("__row", "doc_id", "item_id", (-F.col("b.start")).alias("start_word"), (-F.col("b.n")).alias("n_tokens"), F.col("b.n_matched").alias("n_matched"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TOKENS, percent: int = LEAST_PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """The documents that overlap with no item, all columns as they are."""
-    bench = _benchmark(items, item_col, item_text_col, broadcast_tokens)
+    bench = _benchmark(items, item_col, item_text_col, broadcast_tokens, least, percent)
     if bench is None:
-        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        bad = _joined(base, items, least, percent, item_col, item_text_col).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+        keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
+        base = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__row")
+        bad = _joined(base, items, least, percent, item_col, item_text_col).select("__row").distinct()
+        return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches):
