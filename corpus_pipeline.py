@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tracewell.llm import decontam, langid, minhash, mixing, sharding
 from tracewell.llm.store import stored
 
-#: Share of a text's words, in bytes, that its main language must have.
+#: Share of a text's words, in bytes, that learned languages must explain.
 LANGUAGE_SHARE = 0.35
 SHARDS = 40
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language has the least share, go.  The model learns from the stage's own input."""
+    """Documents without letters, or of which learned languages explain less than the least share, go.  The model learns from the stage's own input."""
     return langid.in_a_language(docs, langid.fit_languages(docs), LANGUAGE_SHARE)
 
 

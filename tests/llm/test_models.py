@@ -80,6 +80,18 @@ def test_mixed_texts_come_out_as_spans(spark):
     assert [r["doc_id"] for r in kept.collect()] == [0]
 
 
+def test_only_texts_that_learned_languages_explain_stay(spark):
+    import random
+
+    clean = {"en": "the cat sat on the mat and looked at the dog", "el": "η γάτα κάθισε στο χαλί και κοίταξε τον σκύλο", "ru": "кошка сидела на ковре и смотрела на большую собаку"}
+    model = langid.fit_languages(make_docs(spark, [t for t in clean.values() for _ in range(200)], langs=[k for k in clean for _ in range(200)]))
+    rng = random.Random(3)
+    noise = " ".join("".join(rng.choice("bcdfgjkqvwxz") for _ in range(rng.randrange(4, 9))) for _ in range(40))
+    thai = "แมวนั่งบนพรม และ มองดู สุนัข ตัวใหญ่"
+    texts = [*clean.values(), " ".join([clean["en"], clean["el"], clean["ru"]] * 2), noise, thai]
+    assert {r["doc_id"] for r in langid.in_a_language(make_docs(spark, texts), model, 0.5).collect()} == {0, 1, 2, 3}
+
+
 def test_viterbi_matches_plain_dynamic_programming():
     rng = np.random.default_rng(0)
     sizes = [0, 1, 7, 3, 0, 20, 12]

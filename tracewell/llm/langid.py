@@ -97,6 +97,17 @@ class LanguageModel:
         out = np.maximum(out * 2, -8)
         return out - np.where(self.candidates[found.script], 0, 12).astype(np.float32)
 
+    def word_fits(self, found: WordFeatures, labels: np.ndarray) -> np.ndarray:
+        """Of each word, its mean log probability in its label's language less that in no language, where all features are as likely."""
+        count = np.bincount(found.owner, minlength=found.n)
+        none = np.where(np.arange(WORDS + GRAMS) < WORDS, -np.log(WORDS), -np.log(GRAMS))
+        out = np.zeros(len(labels))
+        for k in np.unique(labels).tolist():
+            own = labels == k
+            fit = np.bincount(found.owner, (self.logs[k] - none)[found.feature], minlength=found.n) / np.maximum(count, 1)
+            out[own] = fit[found.inverse[own]]
+        return out
+
 
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     """The best label of every word of every row: row i's words are ``at[i]:at[i+1]``; all rows advance together."""
@@ -172,12 +183,17 @@ def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     return LanguageModel(names, logs, candidates)
 
 
-def _labelled(column: pa.Array, model: LanguageModel, switch: float) -> tuple[Words, np.ndarray]:
+def _labelled(column: pa.Array, model: LanguageModel, switch: float) -> tuple[Words, WordFeatures | None, np.ndarray]:
     words = Words(column, LETTERS, lower=True)
     if not len(words.hashes):
-        return words, np.zeros(0, np.int64)
+        return words, None, np.zeros(0, np.int64)
     found = WordFeatures(words)
-    return words, viterbi(model.word_scores(found)[found.inverse], words.at, switch)
+    return words, found, viterbi(model.word_scores(found)[found.inverse], words.at, switch)
+
+
+def _span_starts(row: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The words that begin a span: a row's first, and those whose label isn't that of the word before."""
+    return np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (row[1:] != row[:-1])))) if len(row) else np.zeros(0, np.int64)
 
 
 def _votes(words: Words, labels: np.ndarray, n_rows: int, n_langs: int) -> np.ndarray:
@@ -202,11 +218,11 @@ def language_spans(docs: DataFrame, model: LanguageModel, switch: float = SWITCH
             usable = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             langs, scores, spans = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
             if names:
-                words, labels = _labelled(batch.column(1), model, switch)
+                words, _, labels = _labelled(batch.column(1), model, switch)
                 votes = _votes(words, labels, n, len(names))
                 best, total = votes.argmax(axis=1), votes.sum(axis=1)
                 row = words.word_rows()
-                new = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (row[1:] != row[:-1])))) if len(row) else np.zeros(0, np.int64)
+                new = _span_starts(row, labels)
                 ends = np.append(new[1:], len(row))
                 for i, e in zip(new.tolist(), ends.tolist()):
                     if usable[row[i]]:
@@ -229,7 +245,13 @@ def predicted_languages(docs: DataFrame, folds: int = 4, held: int = 2, id_col:
 
 
 def in_a_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
-    """The documents of which one language has at least the share ``least``; all columns stay.  Texts without letters go."""
+    """The documents of whose bytes in words at least the share ``least`` is in spans that their language explains; all columns stay.
+
+    A span is explained if its words' log probability in its language is, on
+    average, above that in no language, where all features are as likely.  So
+    gibberish and languages that weren't learned go, and texts of many learned
+    languages stay.  Texts without letters go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -237,9 +259,14 @@ def in_a_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, swi
             model = shared.value
             if not model.languages:
                 continue
-            words, labels = _labelled(batch.column(batch.schema.get_field_index(text_col)), model, switch)
-            votes = _votes(words, labels, len(batch), len(model.languages))
-            total = votes.sum(axis=1)
-            yield batch.filter(pa.array((total > 0) & (votes.max(axis=1) >= least * total)))
+            words, found, labels = _labelled(batch.column(batch.schema.get_field_index(text_col)), model, switch)
+            if found is None:
+                continue
+            row, size = words.word_rows(), words.ends - words.starts
+            new = _span_starts(row, labels)
+            explained = np.add.reduceat(model.word_fits(found, labels), new) > 0
+            share = np.bincount(row[new], np.add.reduceat(size, new) * explained, len(batch))
+            total = np.bincount(row, size, len(batch))
+            yield batch.filter(pa.array((total > 0) & (share >= least * total)))
 
     return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)
