@@ -84,3 +84,38 @@ def test_connected_components(spark):
         if a != b:
             assert found[a] == found[b]
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_large_group_around_the_threshold(spark):
+    """Hundreds of near copies of one text, most of them just below or above the threshold, some shortened, some copies of copies."""
+    rng = random.Random(11)
+    base = prose(rng, 120, 10**6)
+    texts = [" ".join(base)]
+    for _ in range(500):
+        t = rng.choice(texts).split() if rng.random() < 0.1 else list(base)
+        for _ in range(rng.choice((1, 2, 3, 3, 4, 4, 5, 8))):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice(([], [f"z{rng.randrange(10**6)}"], [f"z{rng.randrange(10**6)}"], [t[at], "again"]))
+        cut = rng.choice((0, 0, 1, 4, 9))
+        texts.append(" ".join(t[: len(t) - cut]))
+    ids = rng.sample(range(10_000), len(texts))
+    for size, num in ((3, 85), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(make_docs(spark, texts, ids), size, num, 100).collect()}
+        assert got == brute(ids, texts, size, num, 100)
+
+
+def test_large_inner_buckets_get_hubs_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 5)
+    rng = random.Random(5)
+    texts, ids = near_copies(rng), None
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(make_docs(spark, texts, ids), 3, 85, 100).collect()}
+    assert got == brute(range(len(texts)), texts, 3, 85, 100)
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = "a b c d e f g h i j k l m n o p"
+    docs = make_docs(spark, [text, text, "p q r s t u v w", "zz yy xx ww vv", text + " q"], [5, 5, 5, 3, 9])
+    docs = docs.withColumn("id", F.lit("x")).withColumn("text_key", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("rows", F.lit(3))
+    kept = minhash.drop_near_duplicates(docs, 3, 80, 100)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(3, "zz yy xx ww vv"), (5, text)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, discard
 
 #: Each round at least halves, in expectation, the nodes that still have links.
 MAX_ROUNDS = 200
@@ -19,7 +19,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     take no longer than others), and the links are rewritten between the hooked
     nodes.  Aggregates are combined before the shuffle and the joins have an
     exchange on both sides, so a hub's rows can be split.  Links with a null end
-    are no links; empty links give no nodes.  Round results are checkpointed.
+    are no links; empty links give no nodes.  Round results are written tables.
     """
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     edges = cut(edges.where("a is not null and b is not null and a <> b").distinct())
@@ -34,8 +34,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moves.append(hook)
         left = hook.select(F.col("node").alias("a"), F.col("to").alias("a2"))
         right = hook.select(F.col("node").alias("b"), F.col("to").alias("b2"))
-        edges = edges.join(left, "a").select("b", "a2").join(right, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        edges = cut(edges.where("a <> b").distinct())
+        live, edges = edges, edges.join(left, "a").select("b", "a2").join(right, "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        before, edges = live, cut(edges.where("a <> b").distinct())
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     if not moves:
@@ -43,4 +44,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = moves[0].select("node", F.col("to").alias("root"))
     for hook in moves[1:]:
         labels = labels.join(hook.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return cut(labels)
+    labels = cut(labels)
+    discard(edges, *moves)
+    return labels

@@ -6,20 +6,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import cut, stored
+from .store import cut, discard, stored
 from .tokens import U64, Words, mix, slices
 
 EMPTY = U64(2**64 - 1)
 #: A linked pair goes unseen by every band with at most this probability.
 MISS = 1e-6
-#: Rounds in which each bucket is held against one of its members before the rest is compared pair by pair.
-STAR_ROUNDS = 4
-#: Members of a bucket of a later round that are compared pair by pair at once.
-SMALL = 8
+#: Members of an inner bucket that are held against each other; larger inner buckets get hubs of their own.
+SMALL = 64
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -99,182 +97,231 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _longs(values))
 
 
+def _set_sums(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two sums of each set's hashes, by which equal sets are told; 0 for empty sets."""
+    counts = np.diff(offsets)
+    sums = [np.add.reduceat(np.append(mix(values, s), U64(0)), offsets[:-1]) if len(counts) else np.zeros(0, np.uint64) for s in (11, 12)]
+    return [np.where(counts > 0, x, U64(0)) for x in sums]
+
+
 def _sketcher(size: int, lower: bool, bands: int, rows: int):
     def run(batches):
         for batch in slices(batches, "text"):
-            words = Words(batch.column(1), lower=lower)
-            values, offsets = shingle_sets(words, size)
+            values, offsets = shingle_sets(Words(batch.column(1), lower=lower), size)
             keys = band_keys(sketches(values, offsets, bands * rows), bands, rows)
-            padded = lambda x: np.append(x, U64(0))
-            sums = [np.add.reduceat(padded(mix(values, s)), offsets[:-1]) if len(keys) else np.zeros(0, np.uint64) for s in (11, 12)]
-            counts = np.diff(offsets)
-            sums = [np.where(counts > 0, s, U64(0)) for s in sums]
+            sums = _set_sums(values, offsets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), _longs(sums[0]), _longs(sums[1]), _lists(keys.reshape(-1), np.arange(len(keys) + 1) * bands)],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                [batch.column(0), batch.column(2), pa.array(np.diff(offsets)), _longs(sums[0]), _longs(sums[1]), _lists(keys.reshape(-1), np.arange(len(keys) + 1) * bands)],
+                names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"],
             )
 
     return run
 
 
 def _shingler(size: int, lower: bool):
+    """(class, shingles) of the rows whose set is that of the wanted class."""
+
     def run(batches):
         for batch in slices(batches, "text"):
-            values, offsets = shingle_sets(Words(batch.column(1), lower=lower), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(values, offsets)], names=["rep", "shingles"])
+            values, offsets = shingle_sets(Words(batch.column(0), lower=lower), size)
+            same = pa.array(_set_sums(values, offsets)[0].view(np.int64) == batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(1), _lists(values, offsets)], names=["class", "shingles"]).filter(same)
 
     return run
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b, ..) with the shingles of both, sa and sb."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b")
 
 
-def _linked(common, na, nb, num: int, den: int):
-    """Whether Jaccard similarity is at least num / den."""
-    return common * den >= num * (na + nb - common)
+def _over(x: Column, y: Column | int) -> Column:
+    """x / y, rounded up."""
+    return F.ceil(x / F.lit(y))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Group documents whose sets of word shingles have Jaccard similarity >= num / den.
-
-    Returns one row per input row: doc_id, n_shingles, component_id (least id
-    that is reachable over links), n_links (verified links of the row's text
-    class; links within a class of equal sets aren't counted), kept.
-
-    1. A scan sketches each whole text.  Rows with equal sets form one class
-       (combined before the shuffle), so copies never meet pairwise.
-    2. Bands of the sketch give buckets of classes.  A bucket's members are
-       compared with its hub, the one that meets the most others.  Of two
-       members in different components at least one isn't linked to the hub, so
-       they can only be linked if they share a shingle that the hub lacks, or if
-       both are small; such shingles make the buckets of the next round.  What
-       is left after ``STAR_ROUNDS`` of that is compared pair by pair, so no
-       bucket is capped and no link is lost.
-    3. Every link is confirmed on the full sets.
-
-    Null or empty texts, and texts without words, have empty sets and no links.
-    A null id gives component_id null and kept true.  Rows that repeat an id are
-    one document as far as links go.  Other columns are ignored.
-    """
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int, lower: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) of every row; text_key tells texts apart."""
     bands, rows = bands_for(num / den)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drawn = base.mapInArrow(_sketcher(shingle, lower, bands, rows), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    drawn = base.mapInArrow(_sketcher(shingle, lower, bands, rows), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>")
     drawn = stored(drawn, "sketches")
+    # rows with equal sets form a class, which the row of least id speaks for
     full = drawn.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    members = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = cut(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    buckets = stored(members.join(shared, "key", "left_semi").select("key", "rep", "n_shingles"), "buckets")
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = cut(wanted)
-    sets = base.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(shingle, lower), "rep long, shingles array<long>")
-    sets = stored(sets, "sets")
-    size_fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
-
-    links = None
-    roots = cut(wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("root")))
-    live = buckets
+    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    members = classes.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    buckets = stored(members.join(shared, "key", "left_semi").select("key", "class", "n"), "buckets")
+    wanted = classes.join(buckets, "class", "left_semi").select(F.col("least_id").alias("doc_id"), "class", "set_a")
+    sets = base.join(wanted, "doc_id").select("text", "class", "set_a").mapInArrow(_shingler(shingle, lower), "class long, shingles array<long>")
+    sets = stored(sets.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    roots = cut(sets.select("class", F.col("class").alias("root")))
+    live, first = buckets, True
 
     def merge(found: DataFrame) -> None:
-        nonlocal roots, links
-        links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
+        """Take the verified links (a, b) into the components."""
+        nonlocal roots
+        if not found.take(1):
+            return
         ends = found.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
-        merged = connected_components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = cut(roots.join(merged, "root", "left").select("rep", F.coalesce("to", "root").alias("root")))
-
-    def compare(placed: DataFrame) -> None:
-        """Link the members (key, rep, root, n_shingles) of each bucket pair by pair, across components."""
-        left = placed.select("key", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-        right = placed.select("key", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-        pairs = left.join(right, "key").where((F.col("ra") < F.col("rb")) & size_fits(F.col("na"), F.col("nb")))
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        common = F.size(F.array_intersect("sa", "sb"))
-        found = cut(_with_sets(pairs, sets).where(_linked(common, F.size("sa"), F.size("sb"), num, den)).select("a", "b"))
-        if found.take(1):
-            merge(found)
-
-    for _ in range(STAR_ROUNDS):
+        moved = connected_components(ends, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        before, roots = roots, cut(roots.join(moved, "root", "left").select("class", F.coalesce("to", "root").alias("root")))
+        discard(before)
+
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    while live.take(1):
         # each bucket's hub: the member that meets the most others in all buckets
         sizes = live.groupBy("key").agg(F.count("*").alias("m"))
-        degree = live.join(sizes, "key").groupBy("rep").agg(F.sum("m").alias("degree"))
-        ranked = cut(live.join(degree, "rep"))
-        hub = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("rep").alias("rep"), F.col("n_shingles").alias("n"))).alias("h"))
-        hub = cut(hub.select("key", F.col("h.rep").alias("a"), F.col("h.n").alias("na")))
-        stars = ranked.join(hub, "key").where("rep <> a").select("a", F.col("rep").alias("b"), "na", F.col("n_shingles").alias("nb")).distinct()
-        stars = cut(stars)
-        common = F.size(F.array_intersect("sa", "sb"))
-        stars = cut(_with_sets(stars, sets).select("a", "b", "na", "nb", common.cast("long").alias("common")).withColumn("linked", _linked(F.col("common"), F.col("na"), F.col("nb"), num, den)))
-        merge(stars.where("linked"))
-        # hubs that leave members in different components, one of them not linked to the hub
-        placed = stars.join(roots.toDF("b", "rb"), "b")
-        open_ = placed.groupBy("a").agg(F.min("rb").alias("lo"), F.max("rb").alias("hi"), F.max(~F.col("linked")).alias("some"), F.count("*").alias("m")).where("lo <> hi and some").select("a", "m")
-        placed = cut(placed.join(cut(open_), "a"))
-        compare(placed.where(F.col("m") <= SMALL).select(F.col("a").alias("key"), F.col("b").alias("rep"), F.col("rb").alias("root"), F.col("nb").alias("n_shingles")))
-        placed = placed.where(F.col("m") > SMALL)
-        if not placed.take(1):
-            live = None
+        degree = live.join(sizes, "key").groupBy("class").agg(F.sum("m").alias("degree"))
+        ranked = cut(live.join(degree, "class"))
+        hub = ranked.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("class").alias("class"), F.col("n").alias("n"))).alias("h"))
+        hub = hub.select("key", F.col("h.class").alias("a"), F.col("h.n").alias("na"))
+        # at first the buckets of a hub are one; later each stays by itself, so that inner buckets shrink from round to round
+        group, first = F.col("a" if first else "key"), False
+        stars = cut(ranked.join(hub, "key").where("class <> a").select(group.alias("g"), "a", F.col("class").alias("b"), "na", F.col("n").alias("nb")).distinct())
+        met = _with_sets(stars, sets).select("g", "a", "b", "na", "nb", common.alias("common"))
+        met = cut(met.withColumn("linked", F.col("common") * (num + den) >= num * (F.col("na") + F.col("nb"))))
+        discard(ranked, stars, live)
+        merge(met.where("linked").select("a", "b"))
+        inner = _inner_buckets(met, roots, sets, num, den)
+        discard(met)
+        if inner is None:
             break
-        # Two members x, y of a hub h with x not linked to h share a shingle that h lacks, or else
-        # |x & y| <= min(|x & h|, |y & h|), which few pairs of sizes allow.
-        y = placed.select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("common").alias("cy"), F.col("rb").alias("ry"))
-        fits = F.least("common", "cy") * (num + den) >= num * (F.col("nb") + F.col("ny"))
-        bare = placed.where("not linked").join(y, (placed["a"] == y["a"]) & (F.col("rb") != F.col("ry")) & fits)
-        bare = bare.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
-        bare = cut(_with_sets(bare, sets).where(_linked(common, F.size("sa"), F.size("sb"), num, den)).select("a", "b"))
-        if bare.take(1):
-            merge(bare)
-        # They share num / den * |x| - |x & h| such shingles at least, so one of them is among the rarest that remain of x's.
-        first = F.col("nb") - F.col("common") - F.greatest(F.lit(1), F.ceil(F.col("nb") * num / den - F.col("common") - 1e-9)) + 1
-        extra = _with_sets(placed.select("a", "b", F.col("nb").alias("n_shingles"), "linked", first.alias("first")), sets)
-        extra = extra.select(F.xxhash64("a", "b").alias("member"), F.col("b").alias("rep"), "n_shingles", "linked", "first", "a", F.explode(F.array_except("sb", "sa")).alias("s"))
-        extra = stored(extra.select("member", "rep", "n_shingles", "linked", "first", F.xxhash64("a", "s").alias("key")), "extra")
-        met = cut(extra.groupBy("key").agg(F.count("*").alias("m"), F.max(~F.col("linked")).alias("some")))
-        place = F.row_number().over(Window.partitionBy("member").orderBy("m", "key"))
-        rare = extra.join(met, "key").withColumn("place", place).where("place <= first and m > 1 and some").select("key", "rep", "n_shingles")
-        inner = cut(rare.join(roots, "rep"))
-        mixed = cut(inner.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"))
-        placed = cut(inner.join(mixed, "key").select("key", "rep", "n_shingles", "root", "m"))
-        compare(placed.where(F.col("m") <= SMALL))
-        live = placed.where(F.col("m") > SMALL).select("key", "rep", "n_shingles")
-        if not live.take(1):
-            live = None
-            break
-    if live is not None:
-        compare(live.join(roots, "rep"))
+        pairs = cut(_candidates(inner.where(F.col("m") <= SMALL), num, den))
+        found = _with_sets(pairs, sets).where((num + den) * common >= num * (F.size("sa") + F.size("sb")))
+        found = cut(found.select("a", "b"))
+        merge(found)
+        live = cut(inner.where(F.col("m") > SMALL).select("key", F.col("b").alias("class"), "n"))
+        discard(pairs, found, inner)
 
     # a component is named by its least document
-    named = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    placed = roots.join(named, "root").select("rep", "component_id")
-    placed = cut(placed.join(degree, "rep", "left"))
-    of_class = cut(
-        classes.select("set_a", "set_b", "n_shingles", "rep")
-        .join(placed, "rep", "left")
-        .select("set_a", "set_b", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    out = drawn.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
+    placed = roots.join(classes.select("class", "least_id"), "class")
+    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    placed = placed.join(named, "root").select("class", "component_id")
+    of_class = classes.select("class", "set_a", "set_b", "n_shingles", "least_id").join(placed, "class", "left")
+    of_class = cut(of_class.select("set_a", "set_b", "n_shingles", F.coalesce("component_id", "least_id").alias("component_id")))
+    discard(sets, roots, classes)
+    out = drawn.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id",
-        F.col("n_shingles").cast("long").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+
+
+def _inner_buckets(met: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """What members of a hub's bucket can still be linked by, as buckets of their own; None if nothing can.
+
+    met: (bucket g, hub a, member b, sizes na and nb, common, linked).  Members that are
+    linked to the hub are in one component, so only pairs (x, y) matter of which
+    x isn't linked to it.  If they are linked, either
+
+    * they share more than min(|x & hub|, |y & hub|) shingles, so some that the
+      hub lacks: at least need - |x & hub|, so one is among the rarest of x's; or
+    * they share none that the hub lacks; then both lack ``need + |hub| - |x &
+      hub| - |y & hub|`` shingles of the hub together, which is most of what y
+      lacks, so one is among the rarest of either's.  That takes a y smaller than the hub.
+
+    Rows: key, b, n, common, root, linked, na, kind (0: a shingle that the hub
+    lacks, 1: one that the member lacks), role_x, role_y, left (shingles of this
+    kind from this one on, the rarest first), m (members of the bucket).
+    """
+    placed = met.join(roots.toDF("b", "root"), "b")
+    open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(~F.col("linked")).alias("some")).where("lo <> hi and some").select("g")
+    placed = cut(placed.join(open_, "g"))
+    if not placed.take(1):
+        discard(placed)
+        return None
+    more, lack = F.col("nb") - F.col("common"), F.col("na") - F.col("common")
+    own = _over(F.col("nb") * num, den)  # shingles of a member that any partner shares
+    close = F.col("common") >= own
+    first_more = more - F.greatest(F.lit(1), own - F.col("common")) + 1
+    # shingles that both lack, as a member that isn't linked to the hub, or as its partner
+    as_x = F.when(close & ~F.col("linked"), lack - _over((F.col("na") + F.col("nb")) * num - (num + den) * F.col("common"), num) + 1).otherwise(0)
+    as_y = F.when(close, lack - F.floor((den * lack + num * more) / F.lit(num + den))).otherwise(0)
+    base = placed.select("g", "a", "b", "na", F.col("nb").alias("n"), "common", "linked", "root", first_more.alias("first"), as_x.alias("as_x"), as_y.alias("as_y"), more.alias("more"), lack.alias("lack"))
+    both = _with_sets(base, sets)
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), F.array_except("sb", "sa").alias("s")),
+        F.struct(F.lit(1).alias("kind"), F.when((F.col("as_x") > 0) | (F.col("as_y") > 0), F.array_except("sa", "sb")).otherwise(F.array().cast("array<bigint>")).alias("s")),
     )
+    flat = both.select(*base.columns, F.inline(kinds)).withColumn("s", F.explode("s"))
+    flat = flat.withColumn("key", F.xxhash64("g", "kind", "s")).drop("s")
+    flat = stored(flat, "differences")
+    unlinked = F.max(F.when(F.col("kind") == 0, ~F.col("linked")).otherwise(F.col("as_x") > 0))
+    least = F.min(F.when((F.col("kind") == 1) & (F.col("as_y") > 0), F.col("n"))).alias("least")
+    seen = flat.groupBy("key").agg(F.count("*").alias("times"), unlinked.alias("some"), least)
+    place = F.row_number().over(Window.partitionBy("g", "b", "kind").orderBy("times", "key"))
+    ranked = flat.join(seen, "key").withColumn("place", place).where("times > 1 and some")
+    # x can lack the same as y only if y is small enough for what x shares with the hub
+    fits = (num + den) * F.col("common") >= num * (F.col("n") + F.col("least"))
+    lacks = F.col("kind") == 1
+    role_x = F.when(lacks, (F.col("place") <= F.col("as_x")) & fits).otherwise(~F.col("linked") & (F.col("place") <= F.col("first")))
+    role_y = F.col("place") <= F.when(lacks, F.col("as_y")).otherwise(F.col("first"))
+    left = F.when(lacks, F.col("lack")).otherwise(F.col("more")) - F.col("place") + 1
+    rows = ranked.select("key", "b", "n", "common", "root", "linked", "na", "kind", F.coalesce(role_x, F.lit(False)).alias("role_x"), role_y.alias("role_y"), left.alias("left"))
+    rows = cut(rows.where("role_x or role_y"))
+    kept = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("role_x").alias("x"), F.max("role_y").alias("y"))
+    inner = cut(rows.join(kept.where("m > 1 and lo <> hi and x and y").select("key", "m"), "key"))
+    discard(placed, flat, rows)
+    return inner
+
+
+def _candidates(inner: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the buckets' members, in different components, that share enough shingles if all that can be shared is."""
+    x = inner.where("role_x").select("key", "kind", "na", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("root").alias("rx"), F.col("left").alias("lx"))
+    y = inner.where("role_y").select(F.col("key").alias("key_y"), F.col("b").alias("y"), F.col("n").alias("ny"), F.col("common").alias("cy"), F.col("root").alias("ry"), F.col("left").alias("ly"))
+    most = F.least("lx", "ly") + F.when(F.col("kind") == 0, F.least("cx", "cy")).otherwise(F.col("cx") + F.col("cy") - F.col("na"))
+    need = num * (F.col("nx") + F.col("ny"))
+    enough = ((num + den) * most >= need) & ((F.col("kind") == 0) | ((num + den) * F.least("cx", "cy") >= need))
+    sizes = F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num
+    pairs = x.join(y, (F.col("key") == F.col("key_y")) & (F.col("rx") != F.col("ry")) & sizes & enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Group documents whose sets of word shingles have Jaccard similarity >= num / den.
+
+    Returns one row per input row: doc_id, n_shingles, component_id (least id
+    that is reachable over links) and kept (doc_id is component_id).
+
+    1. A scan sketches each whole text.  Rows with equal sets form one class
+       (combined before the shuffle), so copies never meet pairwise.
+    2. Bands of the sketch give buckets of classes.  A bucket's members are
+       compared with its hub, the one that meets the most others.  Members that
+       are linked to it are in one component; another link needs rare
+       differences to the hub that both members have, which make the inner
+       buckets.  Small ones give candidates, larger ones get hubs of their own,
+       until no bucket is left.  So none is capped and no link is lost.
+    3. Every link is confirmed on the full sets.
+
+    Null or empty texts, and texts without words, have empty sets and no links.
+    A null id gives component_id null and kept true.  Rows that repeat an id are
+    judged each by its own text.  Other columns are ignored.
+    """
+    found = _grouped(docs, shingle, num, den, lower, id_col, text_col)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one left of each group of near duplicates: the one with the least id.
 
-    All columns stay.  Of rows that repeat an id one stays; rows with a null id
-    are in no group and all stay.
+    All columns stay, whatever their names.  Rows that repeat an id are one
+    document: of those that are the least of their group the one whose JSON form
+    is least stays.  Rows with a null id are in no group and
+    all stay.  An empty table gives an empty one.
     """
-    kept = near_duplicates(docs, shingle, num, den, True, id_col, text_col).where("kept and doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    keyed = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return keyed.unionByName(docs.where(F.col(id_col).isNull()))
+    found = _grouped(docs, shingle, num, den, True, id_col, text_col).where("doc_id = component_id")
+    found = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    found = cut(found.withColumnRenamed("doc_id", "id").join(found.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("rows")), "id"))
+    # all columns travel in one, so that none can clash with ours
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"))
+    rows = own.join(found.where("rows = 1"), ["id", "text_key"], "left_semi").unionByName(own.where("id is null"))
+    rows = rows.select("doc")
+    if found.where("rows > 1").take(1):
+        again = own.join(found.where("rows > 1"), ["id", "text_key"], "left_semi")
+        rows = rows.unionByName(again.groupBy("id").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc"))
+    return rows.select("doc.*")

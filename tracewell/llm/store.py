@@ -1,50 +1,13 @@
-"""Where intermediate tables go, and small iterative helpers on tables."""
+"""Where intermediate tables go: the library's store, and a checked broadcast."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.store import cut, discard, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset, as
-    in tests on one machine, a temporary folder of our own is set instead.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        known = context._jsc.sc().getCheckpointDir()
-        named = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named)
-    return named
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table into the shared folder as Parquet and read it again.
-
-    This cuts the lineage, outlives lost executors and, unlike a checkpoint,
-    carries no inferred constraints along, which grow from round to round of an
-    iterative job until planning takes longer than the work.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    # Plans that nobody names any more hold shuffle files and broadcasts until the driver collects its garbage.
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table."""
-    return stored(df, "cut")
+__all__ = ["broadcast_if_small", "cut", "discard", "shared_dir", "stored"]
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
