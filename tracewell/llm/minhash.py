@@ -213,19 +213,19 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, lower: bool, id_
 def _inner_buckets(met: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """What members of a hub's bucket can still be linked by, as buckets of their own; None if nothing can.
 
-    met: (bucket g, hub a, member b, sizes na and nb, common, linked).  Members that are
-    linked to the hub are in one component, so only pairs (x, y) matter of which
-    x isn't linked to it.  If they are linked, either
-
-    * they share more than min(|x & hub|, |y & hub|) shingles, so some that the
-      hub lacks: at least need - |x & hub|, so one is among the rarest of x's; or
-    * they share none that the hub lacks; then both lack ``need + |hub| - |x &
-      hub| - |y & hub|`` shingles of the hub together, which is most of what y
-      lacks, so one is among the rarest of either's.  That takes a y smaller than the hub.
-
-    Rows: key, b, n, common, root, linked, na, kind (0: a shingle that the hub
-    lacks, 1: one that the member lacks), role_x, role_y, left (shingles of this
-    kind from this one on, the rarest first), m (members of the bucket).
+    met: (bucket g, hub a, member b, sizes na and nb, common, linked).  Members
+    that are linked to the hub are in one component, so only pairs (x, y) matter
+    of which x isn't linked to it.  Take every member's differences to the hub:
+    shingles that it has more, and those that it lacks.  x and y share |x & hub|
+    + |y & hub| - |hub| shingles and as many more as they have differences in
+    common.  If they are linked, these are most of what y lacks and has more, and
+    more the less x is like the hub; so one of them is among the rarest of x's
+    differences and of y's.
+
+    Rows: key, b, n, root, role_x, role_y, weight, left, m.  weight is (num +
+    den) * (|b & hub| - |hub| / 2) - num * n, so a pair is linked iff its weights
+    and (num + den) * (common differences) add up to 0 or more; left is the
+    differences from this one on, the rarest first; m the members of the bucket.
     """
     placed = met.join(roots.toDF("b", "root"), "b")
     open_ = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(~F.col("linked")).alias("some")).where("lo <> hi and some").select("g")
@@ -233,48 +233,42 @@ def _inner_buckets(met: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
     if not placed.take(1):
         discard(placed)
         return None
+    both = num + den
     more, lack = F.col("nb") - F.col("common"), F.col("na") - F.col("common")
-    own = _over(F.col("nb") * num, den)  # shingles of a member that any partner shares
-    close = F.col("common") >= own
-    first_more = more - F.greatest(F.lit(1), own - F.col("common")) + 1
-    # shingles that both lack, as a member that isn't linked to the hub, or as its partner
-    as_x = F.when(close & ~F.col("linked"), lack - _over((F.col("na") + F.col("nb")) * num - (num + den) * F.col("common"), num) + 1).otherwise(0)
-    as_y = F.when(close, lack - F.floor((den * lack + num * more) / F.lit(num + den))).otherwise(0)
-    base = placed.select("g", "a", "b", "na", F.col("nb").alias("n"), "common", "linked", "root", first_more.alias("first"), as_x.alias("as_x"), as_y.alias("as_y"), more.alias("more"), lack.alias("lack"))
-    both = _with_sets(base, sets)
-    kinds = F.array(
-        F.struct(F.lit(0).alias("kind"), F.array_except("sb", "sa").alias("s")),
-        F.struct(F.lit(1).alias("kind"), F.when((F.col("as_x") > 0) | (F.col("as_y") > 0), F.array_except("sa", "sb")).otherwise(F.array().cast("array<bigint>")).alias("s")),
-    )
-    flat = both.select(*base.columns, F.inline(kinds)).withColumn("s", F.explode("s"))
-    flat = flat.withColumn("key", F.xxhash64("g", "kind", "s")).drop("s")
-    flat = stored(flat, "differences")
-    unlinked = F.max(F.when(F.col("kind") == 0, ~F.col("linked")).otherwise(F.col("as_x") > 0))
-    least = F.min(F.when((F.col("kind") == 1) & (F.col("as_y") > 0), F.col("n"))).alias("least")
-    seen = flat.groupBy("key").agg(F.count("*").alias("times"), unlinked.alias("some"), least)
-    place = F.row_number().over(Window.partitionBy("g", "b", "kind").orderBy("times", "key"))
-    ranked = flat.join(seen, "key").withColumn("place", place).where("times > 1 and some")
-    # x can lack the same as y only if y is small enough for what x shares with the hub
-    fits = (num + den) * F.col("common") >= num * (F.col("n") + F.col("least"))
-    lacks = F.col("kind") == 1
-    role_x = F.when(lacks, (F.col("place") <= F.col("as_x")) & fits).otherwise(~F.col("linked") & (F.col("place") <= F.col("first")))
-    role_y = F.col("place") <= F.when(lacks, F.col("as_y")).otherwise(F.col("first"))
-    left = F.when(lacks, F.col("lack")).otherwise(F.col("more")) - F.col("place") + 1
-    rows = ranked.select("key", "b", "n", "common", "root", "linked", "na", "kind", F.coalesce(role_x, F.lit(False)).alias("role_x"), role_y.alias("role_y"), left.alias("left"))
-    rows = cut(rows.where("role_x or role_y"))
-    kept = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("role_x").alias("x"), F.max("role_y").alias("y"))
-    inner = cut(rows.join(kept.where("m > 1 and lo <> hi and x and y").select("key", "m"), "key"))
-    discard(placed, flat, rows)
+    # the least differences that a linked pair has in common: by x, and by y if x isn't linked to the hub
+    by_x = _over((F.col("na") + F.col("nb")) * num - both * F.col("common"), den)
+    by_y = F.floor((den * lack + num * more) / F.lit(both)) + 1
+    as_x = F.when(F.col("linked"), 0).otherwise(more + lack - by_x + 1)
+    as_y = more + lack - F.when(F.col("linked"), by_y).otherwise(F.greatest(by_x, by_y)) + 1
+    weight = both * (F.col("common") - F.col("na") / 2) - num * F.col("nb")
+    base = placed.select("g", "a", "b", F.col("nb").alias("n"), "root", weight.alias("weight"), (more + lack).alias("size"), as_x.alias("as_x"), as_y.alias("as_y"))
+    base = base.where("as_x > 0 or as_y > 0")
+    differences = F.explode(F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")))
+    flat = _with_sets(base, sets).select("g", "b", "n", "root", "weight", "size", "as_x", "as_y", differences.alias("s"))
+    flat = stored(flat.withColumn("key", F.xxhash64("g", "s")).drop("s"), "differences")
+    seen = flat.groupBy("key").agg(F.count("*").alias("times"), F.max(F.col("as_x") > 0).alias("x"), F.max(F.col("as_y") > 0).alias("y"))
+    place = F.row_number().over(Window.partitionBy("g", "b").orderBy("times", "key"))
+    ranked = flat.join(seen, "key").withColumn("place", place).where("times > 1 and x and y and (place <= as_x or place <= as_y)")
+    rows = cut(ranked.select("key", "b", "n", "root", (F.col("place") <= F.col("as_x")).alias("role_x"), (F.col("place") <= F.col("as_y")).alias("role_y"), "weight", (F.col("size") - F.col("place") + 1).alias("left")))
+    # only members that some partner in the bucket can be enough for, going by the greatest weights and what is left
+    top = lambda role, c: F.max(F.when(F.col(role), c))
+    full = F.col("weight") + both * F.col("left")
+    best = rows.groupBy("key").agg(*[top(f"role_{r}", c).alias(f"{n}_{r}") for r in "xy" for n, c in (("weight", F.col("weight")), ("full", full))], F.min("root").alias("lo"), F.max("root").alias("hi"))
+    enough = lambda r: (F.col("weight") + F.col(f"full_{r}") >= 0) & (full + F.col(f"weight_{r}") >= 0)
+    rows_in = rows.join(best.where("lo <> hi"), "key")
+    rows_in = rows_in.withColumn("role_x", F.coalesce(F.col("role_x") & enough("y"), F.lit(False))).withColumn("role_y", F.coalesce(F.col("role_y") & enough("x"), F.lit(False)))
+    kept = cut(rows_in.where("role_x or role_y").select(*rows.columns))
+    counts = kept.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("role_x").alias("x"), F.max("role_y").alias("y"))
+    inner = cut(kept.join(counts.where("m > 1 and lo <> hi and x and y").select("key", "m"), "key"))
+    discard(placed, flat, rows, kept)
     return inner
 
 
 def _candidates(inner: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the buckets' members, in different components, that share enough shingles if all that can be shared is."""
-    x = inner.where("role_x").select("key", "kind", "na", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("root").alias("rx"), F.col("left").alias("lx"))
-    y = inner.where("role_y").select(F.col("key").alias("key_y"), F.col("b").alias("y"), F.col("n").alias("ny"), F.col("common").alias("cy"), F.col("root").alias("ry"), F.col("left").alias("ly"))
-    most = F.least("lx", "ly") + F.when(F.col("kind") == 0, F.least("cx", "cy")).otherwise(F.col("cx") + F.col("cy") - F.col("na"))
-    need = num * (F.col("nx") + F.col("ny"))
-    enough = ((num + den) * most >= need) & ((F.col("kind") == 0) | ((num + den) * F.least("cx", "cy") >= need))
+    """Pairs (a, b) of the buckets' members, in different components, that are linked if all that they can have in common is."""
+    x = inner.where("role_x").select("key", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("weight").alias("wx"), F.col("left").alias("lx"))
+    y = inner.where("role_y").select(F.col("key").alias("key_y"), F.col("b").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("weight").alias("wy"), F.col("left").alias("ly"))
+    enough = F.col("wx") + F.col("wy") + (num + den) * F.least("lx", "ly") >= 0
     sizes = F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num
     pairs = x.join(y, (F.col("key") == F.col("key_y")) & (F.col("rx") != F.col("ry")) & sizes & enough)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
