@@ -109,25 +109,58 @@ def test_viterbi_matches_plain_dynamic_programming():
 
 
 def test_block_max_search_is_exact():
+    """Against dense cosine over all terms of the examples."""
     rng = np.random.default_rng(4)
-    n, v = 300, 40
-    vectors = []
-    for _ in range(n):
-        t = np.sort(rng.choice(v, rng.integers(0, 6), replace=False))
-        vectors.append((t, rng.integers(1, 5, len(t))))
-    idf = rng.uniform(1, 5, v)
-    index = toxicity.build_index(np.arange(v, dtype=np.uint64), idf, np.arange(n), rng.integers(0, 2, n).astype(float), np.ones(n), vectors)
-    dense = np.zeros((n, v))
-    for i, (t, c) in enumerate(vectors):
-        if len(t):
-            dense[i, t] = index.vector(t, c)
-    for _ in range(60):
-        t = np.sort(rng.choice(v, rng.integers(1, 6), replace=False))
-        q = index.vector(t, rng.integers(1, 5, len(t)))
+    n, v = 700, 300
+    labels = rng.integers(0, 2, n).astype(float)
+    popular = 1 / np.arange(1, v + 1)
+    sets = [np.sort(rng.choice(v, rng.integers(0, 25), replace=False, p=popular / popular.sum())) for _ in range(n)]
+    example = np.repeat(np.arange(n), [len(t) for t in sets])
+    term, count = np.concatenate(sets), rng.integers(1, 5, len(example)).astype(float)
+    key = (term * 977 + 13).astype(np.uint64)
+    index = toxicity.build_index(np.arange(n) * 10, labels, np.ones(n), example, key, count)
+    assert len(index.keys) == len(np.unique(term))
+    dense, place = np.zeros((n, len(index.keys))), np.argsort(index.ids)
+    for i in range(n):
+        own = example == i
+        if own.any():
+            t = np.searchsorted(index.keys, key[own])
+            dense[place[i], t] = index.vector(t, count[own])
+            terms, weights = index.example(int(place[i]))
+            assert np.allclose(dense[place[i], terms], weights, atol=1e-6) and len(terms) == own.sum()
+    for skip in [-1] * 60 + list(range(20)):
+        t = np.sort(rng.choice(len(index.keys), rng.integers(1, 30), replace=False))
+        q = index.vector(t, rng.integers(1, 5, len(t)).astype(float))
         sims = np.round(dense[:, t] @ q, 6)
+        sims[skip] = sims[skip] if skip < 0 else 0
         want = [i for i in np.lexsort((np.arange(n), -sims)) if sims[i] > 0][:10]
-        got, s = index.nearest(t, q, 10)
-        assert np.allclose(s, sims[want], atol=2e-6) and np.allclose(sims[got], sims[want], atol=2e-6)
+        got, s = index.nearest(t, q, 10, skip)
+        assert skip not in got and np.allclose(s, sims[want], atol=2e-6) and np.allclose(sims[got], sims[want], atol=2e-6)
+
+
+def test_toxicity_evidence_is_the_nearest_by_brute_force(spark, tables):
+    """Scores and evidence of the whole operator against dense cosine of all examples."""
+    docs, labels = (t.where("doc_id < 400") for t in tables)
+    base = docs.select("doc_id", "text")
+    model = toxicity.fit_toxicity(base, labels.select("doc_id", F.col("toxic").alias("label")))
+    index = model.index
+    texts = {r["doc_id"]: r["text"] for r in base.collect()}
+
+    def vector(text):
+        import pyarrow as pa
+
+        key, count = np.unique(Words(pa.array([text]), PUNCT, lower=True).hashes, return_counts=True)
+        known = np.isin(key, index.keys)
+        out = np.zeros(len(index.keys))
+        at = np.searchsorted(index.keys, key[known])
+        out[at] = index.vector(at, count[known]) if known.any() else 0
+        return out
+
+    dense = np.array([vector(texts[i]) for i in index.ids.tolist()])
+    for r in toxicity.toxicity_evidence(base, model).collect():
+        sims = np.sort(dense @ vector(texts[r["doc_id"]]))[::-1]
+        found = [e["similarity"] for e in r["evidence"]]
+        assert len(found) == min(15, (sims > 1e-6).sum()) and np.allclose(found, sims[: len(found)], atol=3e-6)
 
 
 def test_models_take_awkward_rows(spark):

@@ -7,9 +7,20 @@ from pyspark.sql import functions as F
 
 from ..operators.store import cut, discard, shared_dir, stored
 
-__all__ = ["broadcast_if_small", "cut", "discard", "shared_dir", "stored"]
+__all__ = ["bounded_batches", "broadcast_if_small", "cut", "discard", "shared_dir", "stored"]
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """The table with a broadcast hint if it has no more than ``rows`` rows, else as it is: then joins shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Bytes of an Arrow batch on its way to a Python worker: rows are few where texts are long.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose Arrow batches are bounded by bytes, not by rows alone."""
+    df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df

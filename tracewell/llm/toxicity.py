@@ -1,14 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled examples; its vocabulary is the
-terms that their labels depend on.  Examples stand in blocks, and for each term
-and block the index knows the greatest weight, so whole blocks whose bound is
-below the k-th best similarity are skipped without changing the result.
+The index holds all terms of a bounded sample of labelled examples.  A term
+weighs its inverse document frequency among all documents, times how much the
+examples' labels depend on it; no term is left out.  Like examples stand in one
+block, and for each term and block the index knows the greatest weight, so
+blocks whose bound is below the k-th best similarity are skipped without
+changing the result.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,207 +18,260 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import fold, isotonic
-from .store import cut
-from .tokens import PUNCT, U64, Words, mix, slices
+from .store import bounded_batches, cut, stored
+from .tokens import PUNCT, U64, Words, slices
 
 #: Labelled examples of either label that the index takes at most (those of least hash): the documented bound of the sample.
 EXAMPLES = 2000
-#: Terms of the vocabulary at most, by strength of association with a label.
-VOCABULARY = 4096
-#: Association that a term needs, in standard errors, and examples that it occurs in.
-LEAST_Z, LEAST_DF = 4.0, 5
 NEIGHBOURS = 15
 BLOCK = 64
-#: Beginnings of words that are terms of their own, in bytes.
-PREFIXES = (4, 5, 6)
-
-
-def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of each word and each beginning of a longer word."""
-    row = words.word_rows()
-    rows, keys = [row], [words.hashes]
-    length = words.ends - words.starts
-    lower = np.arange(256, dtype=np.uint64)
-    lower[65:91] += 32
-    for n in PREFIXES:
-        long_ = np.flatnonzero(length > n)
-        key = np.zeros(len(long_), np.uint64)
-        for i in range(n):
-            key = (key << U64(8)) | lower[words.raw[words.starts[long_] + i]]
-        rows.append(row[long_])
-        keys.append(mix(key, 31 + n))
-    return np.concatenate(rows), np.concatenate(keys)
+#: Blocks that are searched before any is skipped.
+FIRST = 3
+#: A term's labels are shrunk by so many examples in which it is as common under either label.
+PRIOR = 50.0
+#: Bins of votes for calibration.
+BINS = 20
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of every range, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors in blocks of ``BLOCK``."""
+    """Examples as unit vectors, their postings by term and place, and groups of postings by term and block."""
 
-    keys: np.ndarray  # sorted term hashes of the vocabulary
-    idf: np.ndarray
+    keys: np.ndarray  # sorted hashes of all terms of the examples
+    term_weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # how many labelled documents an example stands for
-    matrix: np.ndarray = field(repr=False)  # (examples, terms), float32
-    maxima: np.ndarray = field(repr=False)  # (blocks, terms)
-    postings: list = field(default_factory=list, repr=False)  # by block: term -> (places, weights)
-    curve_x: np.ndarray | None = None
-    curve_y: np.ndarray | None = None
-    prior: float = 0.5
-    alone: float = 0.0  # share of label 1 among examples without any term
+    stands: np.ndarray  # how many labelled documents an example stands for
+    places: np.ndarray  # of postings, by term and place
+    weights: np.ndarray
+    group_at: np.ndarray  # term -> its first group
+    group_block: np.ndarray
+    group_max: np.ndarray
+    group_start: np.ndarray  # group -> its first posting
+
+    def coded(self, row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the terms that the index knows, by row and term."""
+        n = max(len(self.keys), 1)
+        at = np.searchsorted(self.keys, key)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == key[known]
+        code, count = np.unique(row[known] * n + at[known], return_counts=True)
+        return code // n, code % n, count
 
     def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
-        return w / np.linalg.norm(w)
+        w = (1 + np.log(count)) * self.term_weight[term]
+        norm = np.linalg.norm(w)
+        return w / norm if norm > 0 else w
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples (similarity above 0; ties by place) and their similarities."""
-        bound = self.maxima[:, term] @ weight
+        n = self.group_at[term + 1] - self.group_at[term]
+        group, factor = _ranges(self.group_at[term], n), np.repeat(weight, n)
+        block = self.group_block[group]
+        bound = np.bincount(block, self.group_max[group] * factor, -(-len(self.ids) // BLOCK)) * (1 + 1e-5)
         order = np.argsort(-bound, kind="stable")
-        found_i, found_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(found_i) >= k and bound[b] < least - 1e-6):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist()):
-                hit = self.postings[b].get(t)
-                if hit is not None:
-                    score[hit[0]] += w * hit[1]
-            at = np.flatnonzero(score > 0)
-            if skip >= 0:
-                at = at[at + b * BLOCK != skip]
-            found_i, found_s = np.concatenate([found_i, at + b * BLOCK]), np.concatenate([found_s, np.round(score[at], 6)])
-            if len(found_i) > k:
-                best = np.lexsort((found_i, -found_s))[:k]
-                found_i, found_s = found_i[best], found_s[best]
-            if len(found_i) >= k:
-                least = found_s.min()
-        best = np.lexsort((found_i, -found_s))
-        return found_i[best], found_s[best]
+        open_ = np.zeros(len(bound), bool)
+        open_[order[:FIRST]] = True
+        scores, least = np.zeros(len(self.ids)), 0.0
+        for turn in range(2):
+            own = open_[block]
+            g = group[own]
+            size = self.group_start[g + 1] - self.group_start[g]
+            at = _ranges(self.group_start[g], size)
+            scores += np.bincount(self.places[at], self.weights[at] * np.repeat(factor[own], size), len(self.ids))
+            if turn == 0:
+                if skip >= 0:
+                    scores[skip] = 0
+                if len(scores) > k:
+                    least = np.partition(scores, -k)[-k]
+                open_ = (bound > 0) & (bound >= least - 2e-6) & ~open_
+        if skip >= 0:
+            scores[skip] = 0
+        scores = np.round(scores, 6)
+        found = np.flatnonzero(scores > 0)
+        best = found[np.lexsort((found, -scores[found]))[:k]]
+        return best, scores[best]
 
     def vote(self, at: np.ndarray, similarity: np.ndarray) -> float:
-        """Share of label 1 among the neighbours, weighed by similarity and by what each stands for."""
-        w = similarity**2 * self.weights[at]
+        """Share of label 1 among the neighbours, weighed by similarity and by what each stands for; -1 without neighbours."""
+        w = similarity**2 * self.stands[at]
         return float((w * self.labels[at]).sum() / w.sum()) if len(at) else -1.0
 
-    def calibrated(self, vote: float) -> float:
-        return self.alone if vote < 0 else float(np.interp(vote, self.curve_x, self.curve_y))
-
-
-def build_index(keys, idf, ids, labels, stands, vectors) -> BlockMaxIndex:
-    """vectors: for each example (terms, counts)."""
-    n = len(ids)
-    blocks = max(1, -(-n // BLOCK))
-    index = BlockMaxIndex(keys, idf, ids, labels, stands, np.zeros((0, 0), np.float32), np.zeros((blocks, len(keys)), np.float32))
-    lists: list[dict] = [{} for _ in range(blocks)]
-    for i, (t, c) in enumerate(vectors):
-        if len(t):
-            for term, weight in zip(t.tolist(), index.vector(t, c).tolist()):
-                lists[i // BLOCK].setdefault(term, []).append((i % BLOCK, weight))
-    for b, known in enumerate(lists):
-        index.postings.append({t: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for t, v in known.items()})
-        for t, v in known.items():
-            index.maxima[b, t] = max(w for _, w in v) * (1 + 1e-6)
-    votes = np.full(n, -1.0)
-    for i, (t, c) in enumerate(vectors):  # each example is judged by the others
-        if len(t):
-            votes[i] = index.vote(*index.nearest(t, index.vector(t, c), NEIGHBOURS, skip=i))
-    total = stands.sum()
-    index.prior = float((stands * labels).sum() / total) if total else 0.5
-    bare = votes < 0
-    index.alone = float((stands[bare] * labels[bare]).sum() + index.prior) / float(stands[bare].sum() + 1)
-    x, y, w = [], [], []
-    bins = np.minimum((votes * 20).astype(int), 19)
-    for b in range(20):
-        inside = (bins == b) & ~bare
-        if inside.any():
-            mass, hit = stands[inside].sum(), (stands[inside] * labels[inside]).sum()
-            x.append(float(votes[inside].mean()))
-            y.append((hit + index.prior) / (mass + 1))
-            w.append(mass)
-    index.curve_x, index.curve_y = (np.array(x), isotonic(np.array(y), np.array(w))) if x else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    return index
-
-
-def fit_toxicity(docs: DataFrame, known: DataFrame, examples: int = EXAMPLES) -> BlockMaxIndex:
-    """Index a bounded sample of the labelled documents; known: (doc_id, label).
-
-    Of either label the ``examples`` rows of least hash are taken; each stands
-    for its share of that label's rows.  Vocabulary and vectors are worked out
-    on Spark; what reaches the driver is at most VOCABULARY terms, and 2 *
-    examples vectors over these.
+    def example(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of an example."""
+        at = np.flatnonzero(self.places == place)
+        groups = np.searchsorted(self.group_start, at, "right") - 1
+        return np.searchsorted(self.group_at, groups, "right") - 1, self.weights[at].astype(np.float64)
+
+
+def build_index(ids: np.ndarray, labels: np.ndarray, stands: np.ndarray, example: np.ndarray, key: np.ndarray, count: np.ndarray, frequency: dict | None = None, total: int = 0) -> BlockMaxIndex:
+    """Index examples by their terms: (example, key, count) are parallel, example is a position in ``ids``.
+
+    frequency (keys, documents): in how many of ``total`` documents terms occur;
+    without it, the examples are counted.
+    """
+    keys, term = np.unique(key, return_inverse=True)
+    n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
+    d1, d0 = (np.bincount(term, labels[example] == y, len(keys)) for y in (1, 0))
+    contrast = np.ones(len(keys))
+    if n1 and n0:
+        contrast = np.abs(np.log((d1 + PRIOR * n1 / (n1 + n0)) / n1) - np.log((d0 + PRIOR * n0 / (n1 + n0)) / n0))
+    df, n = (d1 + d0, len(ids)) if frequency is None else (frequency, total)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * contrast**2
+    w = (1 + np.log(count)) * weight[term]
+    norm = np.sqrt(np.bincount(example, w * w, len(ids)))
+    w = w / np.where(norm > 0, norm, 1)[example]
+    # like examples stand together: by their most common term (so by language), then by their heaviest one
+    common, heavy = np.full(len(ids), -1), np.full(len(ids), -1)
+    for to, by in ((common, df[term]), (heavy, w)):
+        order = np.argsort(by, kind="stable")
+        to[example[order]] = term[order]
+    order = np.lexsort((ids, heavy, common))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    at = np.lexsort((place[example], term))
+    places, term, w = place[example][at], term[at], w[at].astype(np.float32)
+    block = places // BLOCK
+    new = np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    most = np.maximum.reduceat(w, start) if len(start) else np.zeros(0, np.float32)
+    return BlockMaxIndex(keys, weight, ids[order], labels[order], stands[order], places, w, np.searchsorted(term[start], np.arange(len(keys) + 1)), block[start], most, np.append(start, len(w)))
+
+
+@dataclass
+class Toxicity:
+    """An index and what its votes mean."""
+
+    index: BlockMaxIndex
+    curve_x: np.ndarray
+    curve_y: np.ndarray
+    alone: float  # the score of texts without neighbours
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return np.clip(np.where(votes < 0, self.alone, np.interp(votes, self.curve_x, self.curve_y)), 0, 1)
+
+
+def _document_frequency(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """In how many rows of (text) each term occurs; each task counts its own rows first, so what comes together is bounded by terms and tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        keys = shared.value
+        totals = np.zeros(len(keys), np.int64)
+        for batch in slices(batches, "text"):
+            words = Words(batch.column(0), PUNCT, lower=True)
+            at = np.searchsorted(keys, words.hashes)
+            known = at < len(keys)
+            known[known] = keys[at[known]] == words.hashes[known]
+            code = np.unique(words.word_rows()[known] * max(len(keys), 1) + at[known])
+            totals += np.bincount(code % max(len(keys), 1), minlength=len(keys))
+        used = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["term", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(keys))
+    out[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
+    return out
+
+
+def fit_toxicity(docs: DataFrame, known: DataFrame, examples: int = EXAMPLES) -> Toxicity:
+    """Index a bounded sample of the labelled documents and calibrate its votes; docs: (doc_id, text), known: (doc_id, label).
+
+    Of either label the ``examples`` rows of least hash are taken, with all
+    their terms; each stands for its share of that label's rows.  What reaches
+    the driver are these examples' terms.  Document frequencies are counted over
+    all rows of ``docs``.  Every example's vote by the others calibrates scores.
     """
+    spark = docs.sparkSession
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 0").orderBy(*order).limit(examples).unionByName(known.where("label = 1").orderBy(*order).limit(examples))
     chosen = cut(chosen.repartition(1))
-    # 2 * examples rows at most, so the text isn't shuffled
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # 2 * examples rows at most, so the text isn't shuffled; of rows that repeat an id the least text counts
+    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in slices(batches, "text"):
-            row, key = terms(Words(batch.column(1), PUNCT, lower=True))
-            pairs, n = np.unique(np.stack([row.astype(np.uint64), key], axis=1), axis=0, return_counts=True)
-            at = pa.array(pairs[:, 0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(pairs[:, 1].copy().view(np.int64)), pa.array(n)], names=["doc_id", "label", "term", "tf"])
-
-    found = cut(texts.mapInArrow(run, "doc_id long, label int, term long, tf long"))
-    n1, n0 = min(counts.get(1, 0), examples), min(counts.get(0, 0), examples)
-    df = found.groupBy("term").agg(F.countDistinct(F.when(F.col("label") == 1, F.col("doc_id"))).alias("d1"), F.countDistinct(F.when(F.col("label") == 0, F.col("doc_id"))).alias("d0"))
-    p1, p0 = F.col("d1") / max(n1, 1), F.col("d0") / max(n0, 1)
-    pooled = (F.col("d1") + F.col("d0") + 1) / (n1 + n0 + 2)
-    z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / max(n1, 1) + 1 / max(n0, 1)))
-    strong = df.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("d1") + F.col("d0") >= LEAST_DF)).orderBy(F.desc("z"), "term").limit(VOCABULARY)
-    rows = strong.collect()
-    term = np.array([r["term"] for r in rows], np.int64).view(np.uint64)
-    by = np.argsort(term)
-    keys, dfs = term[by], np.array([r["d1"] + r["d0"] for r in rows], np.float64)[by] if rows else np.zeros(0)
-    idf = np.log((1 + n0 + n1) / (1 + dfs)) + 1
-    kept = found.join(F.broadcast(strong.select("term")), "term").groupBy("doc_id", "term").agg(F.max("tf").alias("tf"))
-    vectors: dict[int, list] = {}
-    for r in kept.collect():
-        vectors.setdefault(r["doc_id"], []).append((int(np.searchsorted(keys, np.int64(r["term"]).view(np.uint64))), r["tf"]))
-    members = sorted((r["doc_id"], r["label"]) for r in chosen.collect())
-    ids, labels = np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.float64)
+            words = Words(batch.column(2), PUNCT, lower=True)
+            row, key = words.word_rows(), words.hashes
+            at = np.lexsort((key, row))
+            row, key = row[at], key[at]
+            start = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))) if len(row) else np.zeros(0, np.int64)
+            own = pa.array(row[start])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(key[start].view(np.int64)), pa.array(np.diff(np.append(start, len(row))))], names=["doc_id", "term", "tf"])
+
+    members = chosen.orderBy("doc_id").toPandas()
+    ids, labels = members["doc_id"].to_numpy(np.int64), members["label"].to_numpy(np.float64)
+    found = texts.mapInArrow(run, "doc_id long, term long, tf long").toPandas()
+    n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
     stands = np.where(labels == 1, counts.get(1, 0) / max(n1, 1), counts.get(0, 0) / max(n0, 1))
-    pairs = [np.array(sorted(vectors.get(i, [])), np.int64).reshape(-1, 2) for i in ids.tolist()]
-    return build_index(keys, idf, ids, labels, stands, [(p[:, 0], p[:, 1]) for p in pairs])
+    key = found["term"].to_numpy(np.int64).view(np.uint64)
+    df = _document_frequency(docs, np.unique(key))
+    index = build_index(ids, labels, stands, np.searchsorted(ids, found["doc_id"].to_numpy(np.int64)), key, found["tf"].to_numpy(np.float64), df, docs.count())
+    shared = spark.sparkContext.broadcast(index)
+
+    def judged(batches):
+        for batch in batches:
+            index = shared.value
+            places = batch.column(0).to_numpy()
+            votes = [index.vote(*index.nearest(*index.example(p), NEIGHBOURS, skip=p)) for p in places.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    votes = np.full(len(ids), -1.0)
+    for r in spark.range(0, len(ids), 1, 16).mapInArrow(judged, "id long, vote double").collect():
+        votes[r["id"]] = r["vote"]
+    return _calibrated(index, votes)
+
+
+def _calibrated(index: BlockMaxIndex, votes: np.ndarray) -> Toxicity:
+    """A monotone curve from votes to the share of label 1, both by bins of votes; votes below 0 are missing."""
+    labels, stands = index.labels, index.stands
+    prior = float((stands * labels).sum() / stands.sum()) if stands.sum() else 0.5
+    bare = votes < 0
+    alone = float((stands[bare] * labels[bare]).sum() + prior) / float(stands[bare].sum() + 1)
+    bins = np.where(bare, BINS, np.minimum((votes * BINS).astype(int), BINS - 1))
+    mass, hit, sums = (np.bincount(bins, w, BINS + 1)[:BINS] for w in (stands, stands * labels, votes))
+    used = np.bincount(bins, minlength=BINS + 1)[:BINS]
+    at = np.flatnonzero(used)
+    if not len(at):
+        return Toxicity(index, np.array([0.0, 1.0]), np.array([0.0, 1.0]), alone)
+    return Toxicity(index, sums[at] / used[at], isotonic((hit[at] + prior) / (mass[at] + 1), mass[at]), alone)
 
 
-def toxicity_evidence(docs: DataFrame, index: BlockMaxIndex, k: int = NEIGHBOURS) -> DataFrame:
+def toxicity_evidence(docs: DataFrame, model: Toxicity, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence) of whole texts; evidence: up to k of (example, label, similarity), nearest first.
 
-    A text without any term of the vocabulary, as an empty or null one, has no
+    A text without any term of the examples, as an empty or null one, has no
     neighbours and gets the rate of label 1 among such examples.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        index, known = shared.value, {}
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(index.keys >> U64(44)).astype(np.int64)] = True
+        model = shared.value
+        index = model.index
+        maybe = np.zeros(1 << 24, bool)
+        maybe[(index.keys >> U64(40)).astype(np.int64)] = True
         for batch in slices(batches, "text"):
-            row, key = terms(Words(batch.column(1), PUNCT, lower=True))
-            hit = maybe[(key >> U64(44)).astype(np.int64)]
-            row, key = row[hit], key[hit]
-            at = np.searchsorted(index.keys, key)
-            real = at < len(index.keys)
-            real[real] = index.keys[at[real]] == key[real]
-            code, n = np.unique(row[real] * max(len(index.keys), 1) + at[real], return_counts=True)
-            owner, term = code // max(len(index.keys), 1), code % max(len(index.keys), 1)
+            words = Words(batch.column(1), PUNCT, lower=True)
+            hit = maybe[(words.hashes >> U64(40)).astype(np.int64)]
+            owner, term, count = index.coded(words.word_rows()[hit], words.hashes[hit])
             cuts = np.searchsorted(owner, np.arange(len(batch) + 1))
-            scores, evidence = np.full(len(batch), index.alone), [[] for _ in range(len(batch))]
+            votes, found = np.full(len(batch), -1.0), [(np.zeros(0, np.int64), np.zeros(0))] * len(batch)
             for i in np.unique(owner).tolist():
-                t, c = term[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]]
-                same = (t.tobytes(), c.tobytes())
-                if same not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    places, similarity = index.nearest(t, index.vector(t, c), k)
-                    known[same] = index.calibrated(index.vote(places, similarity)), [{"example": int(index.ids[p]), "label": int(index.labels[p]), "similarity": float(s)} for p, s in zip(places, similarity)]
-                scores[i], evidence[i] = known[same]
-            kind = pa.list_(pa.struct([("example", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scores, 0, 1)), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+                t = term[cuts[i] : cuts[i + 1]]
+                found[i] = index.nearest(t, index.vector(t, count[cuts[i] : cuts[i + 1]]), k)
+                votes[i] = index.vote(*found[i])
+            at = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+            parts = [pa.array(index.ids[at]), pa.array(index.labels[at].astype(np.int32)), pa.array(np.concatenate([f[1] for f in found]) if found else np.zeros(0))]
+            offsets = np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32)
+            evidence = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, names=["example", "label", "similarity"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.calibrated(votes)), evidence], names=["doc_id", "score", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence array<struct<example:long,label:int,similarity:double>>")
 
@@ -225,12 +280,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """(doc_id, held_out, score, predicted, evidence) of all documents.
 
     The index is made of labelled documents outside fold ``held`` alone; of
-    several labels of an id the greatest counts, null labels and null ids are
-    no labels.  Rows that repeat an id are scored each.
+    several labels of an id the greatest counts, labels above 0 are label 1,
+    null labels and null ids are no labels.  Rows that repeat an id are scored
+    each.  Without labels every score is 0.5.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null")
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("label")).where("label is not null and doc_id is not null")
     known = known.where(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max("label").alias("label"))
-    index = fit_toxicity(base, cut(known))
-    out = toxicity_evidence(base, index)
+    known = stored(known.join(base.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    out = toxicity_evidence(base, fit_toxicity(base, known))
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
