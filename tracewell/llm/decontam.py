@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import bounded_batches, stored
 from .tokens import PUNCT, U64, Words, mix, slices
 
 #: Fixed masks; 1: the token counts, 0: it is ignored.
@@ -163,7 +163,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TOKENS, p
     A benchmark of no more than ``broadcast_tokens`` tokens goes to every task;
     a larger one is joined to the documents by seeds, and each pair is verified.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bench = _benchmark(items, item_col, item_text_col, broadcast_tokens, least, percent)
     if bench is None:
         base = stored(base.withColumn("__row", F.monotonically_increasing_id()), "docs")
@@ -247,4 +247,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TOKENS,
             keep[bad] = False
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

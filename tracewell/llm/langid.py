@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import fold
+from .store import bounded_batches
 from .tokens import U64, Words, mix, slices
 
 #: Hashed features: words, byte trigrams, scripts; fixed, so a language's model is bounded.
@@ -26,7 +27,7 @@ SWITCH = 6.0
 #: A script's candidates: languages with this share of their words in it.
 SCRIPT_SHARE = 0.01
 #: Bytes of text that are labelled in lockstep.
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 
 #: First and last code point and number of each script; 0 is Latin, 1 everything else.
 SCRIPTS = (
@@ -165,7 +166,7 @@ def _train(docs: DataFrame) -> DataFrame:
 
 def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
     """Fit on all rows with a language and a text; what reaches the driver is ``FEATURES`` numbers a language at most."""
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    rows = bounded_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     counted = _train(rows).toPandas()
     names = sorted(counted["lang"].unique().tolist())
     if len(names) > MOST_LANGUAGES:
@@ -233,7 +234,7 @@ def language_spans(docs: DataFrame, model: LanguageModel, switch: float = SWITCH
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
 
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("usable"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("usable"))
     return base.mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first:long,words:long>>")
 
 
@@ -245,12 +246,14 @@ def predicted_languages(docs: DataFrame, folds: int = 4, held: int = 2, id_col:
 
 
 def in_a_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
-    """The documents of whose bytes in words at least the share ``least`` is in spans that their language explains; all columns stay.
+    """The documents of whose bytes in words at least the share ``least`` is in spans that their language explains; all columns stay, whatever their names.
 
     A span is explained if its words' log probability in its language is, on
     average, above that in no language, where all features are as likely.  So
     gibberish and languages that weren't learned go, and texts of many learned
-    languages stay.  Texts without letters go.
+    languages stay.  Texts that are null, empty or without letters go, as do all
+    under a model without languages.  Every row is judged by itself, so repeated
+    rows share their fate; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -269,4 +272,4 @@ def in_a_language(docs: DataFrame, model: LanguageModel, least: float = 0.5, swi
             total = np.bincount(row, size, len(batch))
             yield batch.filter(pa.array((total > 0) & (share >= least * total)))
 
-    return docs.where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+    return bounded_batches(docs).where(F.col(text_col).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import bounded_batches, stored
 from .tokens import _BASE, _INVERSE, U64, Words, _powers, mix, slices
 
 #: Lines of fewer words are compared by equality alone: one edit would be too much of them.
@@ -132,7 +132,7 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     and are no source; rows that repeat an id count as one document, and a line
     goes from all of them.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = base.where("doc_id is not null").mapInArrow(_scan(least), "a long, b long, doc_id long, line long, n long, halves array<long>")
     lines = stored(lines, "lines")
     at = F.struct("doc_id", "line")

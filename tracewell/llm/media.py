@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import bounded_batches, stored
 
 #: Bytes of one row of the images that carry texts: 64 RGB pixels.
 ROW_BYTES = 192
@@ -149,7 +149,7 @@ def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raws = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array([encode(text_image(padded(r))) for r in raws], pa.binary())], names=["doc_id", "n_bytes", "image"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, n_bytes long, image binary")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import cut, discard, stored
+from .store import bounded_batches, cut, discard, stored
 from .tokens import U64, Words, mix, slices
 
 EMPTY = U64(2**64 - 1)
@@ -146,7 +146,7 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, lower: bool, id_
     """(doc_id, text_key, n_shingles, component_id) of every row; text_key tells texts apart."""
     bands, rows = bands_for(num / den)
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     drawn = base.mapInArrow(_sketcher(shingle, lower, bands, rows), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>")
     drawn = stored(drawn, "sketches")
     # rows with equal sets form a class, which the row of least id speaks for

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import fold, isotonic
-from .store import stored
+from .store import bounded_batches, stored
 from .tokens import SPACE, Words, slices
 
 NAMES = (
@@ -92,7 +92,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(NAMES)), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "stats"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, stats array<double>")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import bounded_batches, stored
 from .tokens import Words, slices
 
 #: Words of an anchor.
@@ -261,7 +261,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     either side, so a hot reference's rows can be split over tasks, each of which
     builds the reference's automaton; one such text is held at a time.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the texts are shuffled once for pieces and references, whose joins need the same exchange
     keyed = base.where("doc_id is not null")
     anchors = keyed.mapInArrow(_anchors(window), "anchor long, doc_id long, flags byte")
