@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tracewell.llm import linededup
@@ -61,3 +63,23 @@ def test_nulls_repeats_and_empty_tables(spark):
     rows = sorted((r["doc_id"] or -1, r["n_lines"], r["n_removed"]) for r in linededup.without_near_lines(docs).collect())
     assert rows == [(-1, 1, 0), (4, 1, 0), (4, 1, 0), (8, 0, 0)]
     assert linededup.without_near_lines(docs.where("false")).count() == 0
+
+
+def test_within_one_edit_is_the_edit_distance():
+    rng = random.Random(2)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    for _ in range(3000):
+        a = [rng.randrange(3) for _ in range(rng.randrange(7))]
+        b = list(a) if rng.random() < 0.7 else [rng.randrange(3) for _ in range(rng.randrange(7))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = [rng.randrange(3)] * rng.randrange(2)
+        assert linededup.within_one_edit(np.array(a, int), np.array(b, int)) == (distance(a, b) <= 1)

@@ -5,7 +5,8 @@ agree once the right word is deleted from one or from both.  So every line
 emits the hashes of what deleting one word leaves; equal hashes meet.  With the
 deleted place in the key, those that meet are within the bound, so each key only
 needs its earliest line and no pairs are built.  Lines that share neither half
-with another line can't be within the bound and emit nothing.
+with another line can't be within the bound and emit nothing.  Every pair that
+meets is confirmed by its edit distance before the later line goes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, stored
+from .store import bounded_batches, discard, stored
 from .tokens import _BASE, _INVERSE, U64, Words, _powers, mix, slices
 
 #: Lines of fewer words are compared by equality alone: one edit would be too much of them.
@@ -102,6 +103,46 @@ def _variants(least: int):
     return run
 
 
+def _line_words():
+    """(doc_id, line, words) of the wanted lines; words are hashes in order."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            lines = Lines(batch.column(1))
+            wanted = batch.column(2)
+            owner = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
+            pairs = owner * (1 << 40) + wanted.flatten().to_numpy()
+            at = np.flatnonzero(np.isin(lines.row * (1 << 40) + lines.number, pairs))
+            n = lines.e[at] - lines.s[at]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            place = np.repeat(lines.s[at] - ends[:-1], n) + np.arange(ends[-1])
+            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(lines.words.hashes[place].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), words], names=["doc_id", "line", "words"])
+
+    return run
+
+
+def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether one word put in, left out or replaced, or nothing, makes b of a."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    differ = np.flatnonzero(a != b[: len(a)])
+    if not len(differ):
+        return True
+    first = int(differ[0])
+    return len(differ) == 1 if len(a) == len(b) else bool((a[first:] == b[first + 1 :]).all())
+
+
+def _confirmed(batches):
+    """(doc_id, line) of the pairs (doc_id, line, words, other) that are within one edit."""
+    for batch in batches:
+        own, other = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3)))
+        same = [within_one_edit(own[1][own[0][i] : own[0][i + 1]], other[1][other[0][i] : other[0][i + 1]]) for i in range(len(batch))]
+        yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
+
+
 def _kept(digest: bool):
     def run(batches):
         for batch in slices(batches, "text"):
@@ -139,22 +180,34 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     firsts = lines.groupBy("a", "b").agg(F.min(at).alias("first"), F.count("*").alias("copies"))
     copied = stored(firsts.where("copies > 1").select("a", "b", "first"), "copied")
     copies = lines.select("a", "b", "doc_id", "line").join(copied, ["a", "b"])
-    later = copies.where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line")
+    later = stored(copies.where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line"), "later")
     # one line of each group of copies goes on
     ones = lines.where(F.size("halves") > 0).join(copied.select("a", "b", F.col("first.doc_id").alias("d"), F.col("first.line").alias("l")), ["a", "b"], "left")
     ones = ones.where("d is null or (d = doc_id and l = line)").select("doc_id", "line", "a", "b", F.explode("halves").alias("half"))
     ones = ones.select("doc_id", "line", "half")
     met = ones.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     wanted = ones.join(met, "half", "left_semi").select("doc_id", "line").distinct()
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
+    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("wanted")), "wanted")
+    discard(lines, copied)
     variants = base.join(wanted, "doc_id", "left").select("doc_id", "text", "wanted").mapInArrow(_variants(least), "key long, kind byte, doc_id long, line long")
     variants = stored(variants, "variants")
+    discard(wanted)
     least_of = lambda kind: F.min(F.when(F.col("kind").isin(*kind), F.struct("doc_id", "line")))
     met = variants.groupBy("key").agg(least_of([0]).alias("like"), least_of([1]).alias("longer"), least_of([2]).alias("shorter"), F.count("*").alias("c")).where("c > 1")
     met = stored(met.select("key", "like", "longer", "shorter"), "met")
     own = F.struct("doc_id", "line")
     other = F.when(F.col("kind") == 0, F.col("like")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
-    near = variants.join(met, "key").where(other < own).select("doc_id", "line")
+    near = variants.join(met, "key").where(other < own).select("doc_id", "line", other["doc_id"].alias("other_doc"), other["line"].alias("other_line")).distinct()
+    near = stored(near, "near")
+    discard(variants, met)
+    ends = near.select("doc_id", "line").unionByName(near.select(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))).distinct()
+    ends = ends.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
+    words = base.join(ends, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_line_words(), "doc_id long, line long, words array<long>")
+    words = stored(words, "words")
+    others = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other"))
+    pairs = near.join(words, ["doc_id", "line"]).join(others, ["other_doc", "other_line"]).select("doc_id", "line", "words", "other")
+    near = stored(pairs.mapInArrow(_confirmed, "doc_id long, line long").distinct(), "confirmed")
     # the copies of a line that goes are later than it, so they go as well
-    gone = later.unionByName(near).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    gone = stored(later.unionByName(near).groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
+    discard(words, near, later)
     return base.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_kept(digest), "doc_id long, n_lines long, n_removed long, kept string")
