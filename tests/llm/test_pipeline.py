@@ -30,7 +30,10 @@ def test_stages_one_by_one(spark):
     before, rows = seen["mixing"]
     assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in before.collect()}
     total = sum(len(words(r["text"])) for r in before.collect())
-    assert abs(sum(len(words(r["text"])) for r in rows) - total) <= 20
+    # whole documents: a source's last one may be too many or too few
+    longest = max(len(words(r["text"])) for r in before.collect())
+    assert abs(sum(len(words(r["text"])) for r in rows) - total) <= longest * len({r["source"] for r in before.collect()})
+    assert {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in before.collect()}
     assert len(seen["sharding"][1]) == len(rows)
 
 

@@ -92,7 +92,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     copy of the row that a leaf of the splitting tree draws with its block, and
     ``taken`` sums their words: size in each whole pass, and in the last,
     partial pass size or, for one row of a source, part of it.  A null source is a
-    source; rows that repeat an id are drawn one by one; empty input gives none.
+    source; rows that repeat an id are drawn one by one, but equal rows alike; empty input gives none.
     Draws depend on ids, sources and the seed alone, so reruns agree.
     """
     own = [F.col(c) for c in docs.columns] if carry else []
@@ -104,11 +104,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
         F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__crc"),
         *([] if carry else [F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("__row")]),
     )
-    light = sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h"))
     if not carry:
         sized = stored(sized, "sized")
-        light = sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h"))
-    else:
+    key = F.col(id_col) if carry else F.col("doc_id")
+    light = sized.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h"), key.cast("long").alias("id"), F.col("__crc").alias("crc"))
+    if carry:
         light = stored(light, "sized")
     sources = _plan(light, weights, most, blocks, seed)
     sums = in_blocks(light, sources).groupBy("source", "block", "passes", "rest").agg(F.sum("size").alias("words"))
@@ -125,14 +125,18 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     state = cut(state.select(F.col("source").alias("__s2"), F.col("block").alias("__b"), F.col("drawn").alias("__drawn"), F.col("words").alias("__words"), "__leaves"))
     rows = sized.join(broadcast_if_small(named), F.col("__source").eqNullSafe(F.col("__s"))).withColumn("__block", F.pmod(F.col("__h"), F.col("__n")))
     rows = rows.join(broadcast_if_small(state), F.col("__source").eqNullSafe(F.col("__s2")) & (F.col("__block") == F.col("__b")))
-    part = (F.col("__drawn") > 0) & (F.col("__drawn") < F.col("__words"))
-    whole = rows.where(~part).withColumn("__last", F.when(F.col("__drawn") > 0, F.col("__size")).otherwise(F.lit(0)))
-    ties = [F.col(id_col) if carry else F.col("doc_id"), F.col("__size"), F.col("__crc")]
-    ahead = Window.partitionBy("__source", "__block").orderBy("__h", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.where(part).withColumn("__ahead", F.coalesce(F.sum("__size").over(ahead), F.lit(0)))
-    edge = edge.withColumn("__last", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__drawn") - F.col("__ahead")))).drop("__ahead")
-    rows = whole.unionByName(edge)
-    key = F.col(id_col) if carry else F.col("doc_id")
+    # Where the draw of a source's last block ends: ranked by narrow rows, so that no task sorts a block's texts.
+    order = ["h", "id", "size", "crc"]
+    edges = in_blocks(light, sources).select("source", "block", *order)
+    partial = table.where("drawn > 0 and drawn < words").select(F.col("source").alias("__s4"), F.col("block").alias("__b4"), "drawn")
+    edges = edges.join(broadcast_if_small(partial), F.col("source").eqNullSafe(F.col("__s4")) & (F.col("block") == F.col("__b4")))
+    ahead = Window.partitionBy("source", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).where("ahead < drawn and drawn <= ahead + size")
+    edges = cut(edges.select("__s4", "__b4", F.struct(*order).alias("__end"), (F.col("drawn") - F.col("ahead")).alias("__end_words")))
+    rows = rows.join(broadcast_if_small(edges), F.col("__source").eqNullSafe(F.col("__s4")) & (F.col("__block") == F.col("__b4")), "left")
+    own = F.struct(F.col("__h").alias("h"), key.cast("long").alias("id"), F.col("__size").alias("size"), F.col("__crc").alias("crc"))
+    last = F.when(F.col("__drawn") == 0, 0).when(F.col("__end").isNull() | (own < F.col("__end")), F.col("__size")).when(own == F.col("__end"), F.col("__end_words")).otherwise(0)
+    rows = rows.withColumn("__last", last)
 
     def copy(leaf: Column) -> Column:
         words = F.when(leaf["turn"] <= F.col("__passes"), F.col("__size")).otherwise(F.col("__last")).cast("long")
@@ -209,22 +213,18 @@ def mix_rows(docs: DataFrame, levels: int = LEVELS, seed: int = 7, **options) ->
     return records.groupBy(*own).agg(taken).drop("row")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", levels: int = LEVELS) -> DataFrame:
-    """The documents as the mix takes them: whole copies as often as drawn, and the cut one of each source.
+def mixed_documents(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = LEVELS) -> DataFrame:
+    """The documents as the mix takes them, whole and unchanged, as often as drawn.
 
     The copies come by output shard of the splitting tree, in a local random
-    order.  All columns stay.  A row that isn't drawn goes; the copy of which only part
-    is drawn keeps its first words, joined by single spaces, and ``length_col``,
-    if there is such a column, counts its characters.
+    order.  All columns stay, whatever their names.  A row that isn't drawn goes;
+    of the copy of which only part is drawn, one a source at most, the whole
+    document is taken if that is nearer to the target than none of it.  Null
+    texts have no words and are never drawn; a null source is a source; rows
+    that repeat an id are drawn one by one; an empty table gives an empty one.
     """
-    rows, _ = mixed(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, carry=True, levels=levels)
-    copies = rows.withColumn("__copy", F.explode("__placed"))
-    placed = [F.col("__copy.words").alias("__words"), F.col("__copy.out_shard").alias("out_shard"), F.col("__copy.place").alias("place")]
-    part = F.col("__copy.words") < F.col("__size")
-    words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")), F.lit(1), F.col("__copy.words").cast("int"))
-    cut_rows = copies.where(part).withColumn(text_col, F.array_join(words, " "))
-    if length_col in docs.columns:
-        cut_rows = cut_rows.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    out = copies.where(~part).unionByName(cut_rows)
-    out = out.select(F.struct(*docs.columns).alias("__doc"), *placed)
-    return _in_shards(out).select("__doc.*")
+    # all columns travel in one, so that none can clash with ours
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    rows, _ = mixed(packed, seed=seed, carry=True, levels=levels)
+    copies = rows.select("doc", "__size", F.explode("__placed").alias("copy")).where(F.col("copy.words") * 2 >= F.col("__size"))
+    return _in_shards(copies.select("doc", "copy.out_shard", "copy.place")).select("doc.*")
