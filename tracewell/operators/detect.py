@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import dense_index, running_sums
+from .store import cut
+
+
+QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9}
+
 
 def loss_thresholds(losses: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Largest, mean, percentiles, variance and deviation (of the population) of the losses."""
-    q = lambda p: F.percentile("loss", F.lit(p))
-    aggregates = [F.max("loss").alias("max_val_loss"), F.avg("loss").alias("mean_val_loss"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.var_pop("loss").alias("var"), F.stddev_pop("loss").alias("std")]
-    return losses.groupBy(*(by or [])).agg(*aggregates)
+    """Largest, mean, percentiles, variance and deviation (of the population) of the losses.
+
+    Percentiles are exact: losses are numbered in sorted ranges and the rows
+    around each rank looked up, so no task holds all of them.
+    """
+    by = by or []
+    ranked = dense_index(losses.where("loss is not null").select(*by, "loss"), [*by, "loss"], "__rank")
+    groups = ranked.groupBy(*by).agg(
+        F.min("__rank").alias("__first"), F.count("*").alias("__n"), F.max("loss").alias("max_val_loss"), F.avg("loss").alias("mean_val_loss"), F.var_pop("loss").alias("var"), F.stddev_pop("loss").alias("std")
+    )
+    groups = cut(groups)
+    ranks = F.explode(F.array(*[F.struct(F.lit(n).alias("q"), ((F.col("__n") - 1) * p).alias("at")) for n, p in QUANTILES.items()]))
+    wanted = groups.where("__n > 0").select(*by, "__first", ranks.alias("r")).select(*by, "__first", "r.q", "r.at")
+    share = F.col("at") - F.floor("at")
+    sides = F.explode(F.array(F.struct(F.floor("at").alias("i"), (1 - share).alias("w")), F.struct(F.ceil("at").alias("i"), share.alias("w"))))
+    wanted = wanted.select(*by, "q", "__first", sides.alias("s")).select(*by, "q", (F.col("__first") + F.col("s.i")).alias("__rank"), F.col("s.w").alias("w"))
+    found = wanted.join(ranked.select("__rank", "loss"), "__rank")
+    percentiles = found.groupBy(*by).agg(*[F.sum(F.when(F.col("q") == n, F.col("w") * F.col("loss"))).alias(n) for n in QUANTILES])
+    out = groups.join(percentiles, by, "left") if by else groups.crossJoin(F.broadcast(percentiles))
+    return out.select(*by, "max_val_loss", "mean_val_loss", *QUANTILES, "var", "std")
 
 
 def threshold(stats: DataFrame, method: str = "max_val_loss") -> DataFrame:
@@ -99,21 +121,18 @@ def classification_metrics(results: DataFrame, by: list[str] | None = None) -> D
 
 
 def score_curve(results: DataFrame) -> DataFrame:
-    """(score, tp, fp, p, n): labels at or above each distinct score, and in all."""
+    """(score, pos, neg, tp, fp, p, n): labels with each distinct score, at or above it, and in all."""
     groups = results.groupBy("score").agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return groups.select("score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
+    curve = running_sums(groups, [F.desc("score")], {"pos": "tp", "neg": "fp"})
+    total = results.agg(F.sum("y_true").alias("p"), F.sum(1 - F.col("y_true")).alias("n"))
+    return curve.crossJoin(F.broadcast(total))
 
 
 def ranking_metrics(results: DataFrame) -> DataFrame:
     """(auc, ap): area under the ROC curve by trapezoids, average precision by steps; null without both labels."""
-    curve = score_curve(results)
-    down = Window.orderBy(F.desc("score"))
-    last = curve.withColumn("tp0", F.coalesce(F.lag("tp").over(down), F.lit(0))).withColumn("fp0", F.coalesce(F.lag("fp").over(down), F.lit(0)))
-    area = F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2.0)
-    steps = F.sum((F.col("tp") - F.col("tp0")) * F.col("tp") / (F.col("tp") + F.col("fp")))
-    out = last.agg(area.alias("a"), steps.alias("s"), F.max("p").alias("p"), F.max("n").alias("n"))
+    area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0)
+    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    out = score_curve(results).agg(area.alias("a"), steps.alias("s"), F.max("p").alias("p"), F.max("n").alias("n"))
     return out.select(_ratio(F.col("a"), F.col("p") * F.col("n")).alias("auc"), _ratio(F.col("s"), F.col("p")).alias("ap"))
 
 

@@ -11,6 +11,10 @@ from ..functions.text import tokenize_nodes
 from ..sources.cdm import NODE_TYPES, RELATIONS
 
 
+#: Texts that one task of the word-vector training takes.
+ROWS_A_TASK = 200_000
+
+
 def build_corpus(nodes: DataFrame, use_node_types: bool = False) -> DataFrame:
     """(msg, tokens): one token list for each distinct message, that of its greatest node id."""
     rows = nodes.select("msg", "index_id", tokenize_nodes(F.col("node_type"), F.col("msg"), use_node_types).alias("tokens"))
@@ -23,8 +27,13 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-def train_word_vectors(corpus: DataFrame, dim: int = 128, window: int = 5, min_count: int = 1, epochs: int = 50, seed: int = 0, partitions: int = 1) -> DataFrame:
-    """(word, vector): skip-gram vectors of length 1; more partitions train faster and less well."""
+def train_word_vectors(corpus: DataFrame, dim: int = 128, window: int = 5, min_count: int = 1, epochs: int = 50, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """(word, vector): skip-gram vectors of length 1.
+
+    Partitions train side by side and are averaged after each epoch: faster and
+    less well.  By default there is one for every ``ROWS_A_TASK`` texts.
+    """
+    partitions = partitions or 1 + corpus.count() // ROWS_A_TASK
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="v").fit(corpus)
     return model.getVectors().select("word", unit(vector_to_array("vector")).alias("vector"))
 

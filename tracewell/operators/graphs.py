@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import EASTERN, local_day, ns_to_text, text_to_ns
 from ..sources.cdm import RELATIONS
-from .order import dense_index
+from .order import dense_index, dense_index_within
 
 MINUTE = 60_000_000_000
 ORDER = ["timestamp_rec", "event_uuid", "_id"]
@@ -32,9 +32,7 @@ def graph_events(events: DataFrame, relations: tuple[str, ...] = RELATIONS) -> D
 
 def with_batches(events: DataFrame, batch_size: int = 1024) -> DataFrame:
     """``seq`` from 0 within the day, in order of time, and ``batch`` of so many events."""
-    numbered = dense_index(events, ["day", *ORDER], "__seq")
-    first = numbered.groupBy("day").agg(F.min("__seq").alias("__first"))  # a row for each day
-    numbered = numbered.join(first, "day").withColumn("seq", F.col("__seq") - F.col("__first")).drop("__seq", "__first")
+    numbered = dense_index_within(events, "day", ORDER, "seq")
     return numbered.withColumn("batch", F.floor(F.col("seq") / batch_size).cast("long"))
 
 
@@ -135,7 +133,7 @@ def max_node_id(tw_edges: DataFrame) -> DataFrame:
 def reindex_nodes(tw_edges: DataFrame) -> DataFrame:
     """(tw, node, local): ids from 0 inside each window, in order of id."""
     ends = tw_edges.select("tw", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return ends.withColumn("local", F.row_number().over(Window.partitionBy("tw").orderBy("node")) - 1)
+    return dense_index_within(ends, "tw", ["node"], "local")
 
 
 def edge_to_node_features(edges: DataFrame, feature: str = "feature", order: list[str] | None = None) -> DataFrame:

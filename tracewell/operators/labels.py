@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.times import EASTERN, text_nanos_to_ns, text_to_ns
 
 
+#: Attacks that are broadcast.
+FEW = 1000
+HOUR = 3_600_000_000_000
+
+
 def resolve_ground_truth(truth: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found: attack, node, node_uuid, node_label; missing: rows whose uuid is no node)."""
     known = nodes.select("node_uuid", F.col("index_id").alias("node"))
@@ -25,8 +30,16 @@ def attack_windows_ns(attacks: DataFrame, tz: str = EASTERN) -> DataFrame:
 
 
 def events_in_attacks(events: DataFrame, attacks: DataFrame) -> DataFrame:
-    """Events with every attack whose interval, ends included, holds their time; attacks are a few rows."""
-    return events.join(F.broadcast(attacks), F.col("timestamp_rec").between(F.col("start_ns"), F.col("end_ns")))
+    """Events with every attack whose interval, ends included, holds their time.
+
+    Few attacks are broadcast; more are spread over the hours that they touch
+    and joined by the hour.
+    """
+    inside = F.col("timestamp_rec").between(F.col("start_ns"), F.col("end_ns"))
+    if attacks.limit(FEW + 1).count() <= FEW:
+        return events.join(F.broadcast(attacks), inside)
+    spread = attacks.withColumn("__hour", F.explode(F.sequence(F.floor(F.col("start_ns") / HOUR), F.floor(F.col("end_ns") / HOUR))))
+    return events.withColumn("__hour", F.floor(F.col("timestamp_rec") / HOUR)).join(spread, "__hour").where(inside).drop("__hour")
 
 
 def malicious_times(events: DataFrame, attacks: DataFrame, truth: DataFrame) -> DataFrame:

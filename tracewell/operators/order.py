@@ -1,8 +1,8 @@
-"""Dense row numbers without a global window."""
+"""Dense row numbers and running sums without a global window."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import cut
@@ -23,3 +23,25 @@ def dense_index(df: DataFrame, keys: list[str], name: str = "index_id", start: i
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     return placed.join(offsets, "__p").withColumn(name, F.col("__o") + F.col("__i") + F.lit(start)).drop("__m", "__p", "__i", "__o")
+
+
+def dense_index_within(df: DataFrame, group: str, keys: list[str], name: str, start: int = 0) -> DataFrame:
+    """Number the rows of every group by the keys' order; a large group is numbered by many tasks."""
+    numbered = dense_index(df, [group, *keys], "__n")
+    first = numbered.groupBy(F.col(group).alias("__g")).agg(F.min("__n").alias("__first"))  # a row for each group
+    joined = numbered.join(first, F.col(group).eqNullSafe(F.col("__g")))
+    return joined.withColumn(name, F.col("__n") - F.col("__first") + F.lit(start)).drop("__n", "__g", "__first")
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """The rows with running sums in the given order, own row included; sums: column -> name of its sum.
+
+    Ranges are summed in parallel; only one sum per range is added up.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy("__p").agg(*[F.sum(c).alias(f"__{n}") for c, n in sums.items()])  # a row for each range
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__p", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums.values()])
+    inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(offsets, "__p")
+    return joined.select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"__{n}")).alias(n) for c, n in sums.items()])

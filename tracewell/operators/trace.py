@@ -15,10 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
-
-#: Rounds after which a spread that still changes is an error.
-MAX_ROUNDS = 500
+from .order import dense_index_within
+from .store import cut, discard
 
 
 def results_by_window(results: DataFrame, tw_nodes: DataFrame) -> DataFrame:
@@ -59,8 +57,7 @@ def combined_score(degree: DataFrame, loss: DataFrame) -> DataFrame:
 
 def version_edges(tw_edges: DataFrame) -> DataFrame:
     """(tw, seq, src, vsrc, dst, vdst): edges in order of time between versions of nodes; self-loops are dropped."""
-    seq = F.row_number().over(Window.partitionBy("tw").orderBy("time", "event_uuid"))
-    edges = tw_edges.where("src <> dst").withColumn("seq", seq)
+    edges = dense_index_within(tw_edges.where("src <> dst"), "tw", ["time", "event_uuid"], "seq", 1)
     ends = edges.select("tw", "seq", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("into")))).alias("e")).select("tw", "seq", "e.node", "e.into")
     by = Window.partitionBy("tw", "node").orderBy("seq")
     version = F.sum("into").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.first("into").over(by)
@@ -81,18 +78,19 @@ def _spread(edges: DataFrame, seeds: DataFrame, keys: list[str], on: list[str],
     here, there, at, to = ("dst", "src", "vdst", "vsrc") if backward else ("src", "dst", "vsrc", "vdst")
     best = F.max if backward else F.min
     state = cut(seeds.select(*keys, "node", "v"))
-    frontier = state
-    for _ in range(MAX_ROUNDS):
+    frontier = cut(state)
+    while True:
         step = frontier.join(edges.withColumnRenamed(here, "node"), [*on, "node"])
         step = step.where(F.col(at) <= F.col("v") if backward else F.col(at) >= F.col("v"))
         step = step.groupBy(*keys, F.col(there).alias("node")).agg(best(to).alias("v"))
         known = state.withColumnRenamed("v", "old")
         better = F.col("old").isNull() | (F.col("v") > F.col("old") if backward else F.col("v") < F.col("old"))
-        frontier = cut(step.join(known, [*keys, "node"], "left").where(better).select(*keys, "node", "v"))
+        last, frontier = frontier, cut(step.join(known, [*keys, "node"], "left").where(better).select(*keys, "node", "v"))
+        discard(last)
         if not frontier.take(1):
             return state
-        state = cut(state.unionByName(frontier).groupBy(*keys, "node").agg(best("v").alias("v")))
-    raise RuntimeError(f"tracing did not settle in {MAX_ROUNDS} rounds")
+        before, state = state, cut(state.unionByName(frontier).groupBy(*keys, "node").agg(best("v").alias("v")))
+        discard(before)
 
 
 def backward_reach(versioned: DataFrame, pois: DataFrame) -> DataFrame:
@@ -234,18 +232,19 @@ def _temporal(edges: DataFrame, pois: DataFrame, backward: bool) -> DataFrame:
     best = F.max if backward else F.min
     bound = F.lit(2**63 - 1 if backward else -(2**63)).cast("long")
     state = cut(pois.select("tw", "poi", F.col("poi").alias("node"), bound.alias("time")))
-    frontier = state
-    for _ in range(MAX_ROUNDS):
+    frontier = cut(state)
+    while True:
         step = frontier.withColumnRenamed("time", "t").join(edges.select("tw", F.col(here).alias("node"), F.col(there).alias("next"), "time"), ["tw", "node"])
         step = step.where(F.col("time") < F.col("t") if backward else F.col("time") > F.col("t"))
         step = step.groupBy("tw", "poi", F.col("next").alias("node")).agg(best("time").alias("time"))
         known = state.withColumnRenamed("time", "old")
         better = F.col("old").isNull() | (F.col("time") > F.col("old") if backward else F.col("time") < F.col("old"))
-        frontier = cut(step.join(known, ["tw", "poi", "node"], "left").where(better).select("tw", "poi", "node", "time"))
+        last, frontier = frontier, cut(step.join(known, ["tw", "poi", "node"], "left").where(better).select("tw", "poi", "node", "time"))
+        discard(last)
         if not frontier.take(1):
             return state
-        state = cut(state.unionByName(frontier).groupBy("tw", "poi", "node").agg(best("time").alias("time")))
-    raise RuntimeError(f"tracing did not settle in {MAX_ROUNDS} rounds")
+        before, state = state, cut(state.unionByName(frontier).groupBy("tw", "poi", "node").agg(best("time").alias("time")))
+        discard(before)
 
 
 def temporal_backward(edges: DataFrame, pois: DataFrame) -> DataFrame:

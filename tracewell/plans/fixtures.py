@@ -1,4 +1,9 @@
-"""Audit data derived from the general-purpose tables, so that every operator has input that grows with them."""
+"""Audit data derived from the general-purpose tables, so that every operator has input that grows with them.
+
+Users are subjects.  What an event's key names is, by its remainder, a file of
+the user's group of ten, a remote host that all users share (so hosts are hubs),
+or the subject that the user descends from; nodes grow with users.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graphs, scoring
 from ..operators.order import dense_index
+from ..operators.store import cut
 from ..sources.cdm import orient_edges
 
 BATCH, MINUTES = 16, 60.0
@@ -32,13 +38,14 @@ class Fixture:
     def raw_events(self) -> DataFrame:
         """subject, object, operation, event_uuid, timestamp_rec, _id, loss, day."""
         e = self.table("events")
-        o = F.get_json_object("props", "$.k").cast("long") % 4
-        obj = F.when(o < 2, F.concat(F.lit("F"), o.cast("string"))).when(o == 2, F.concat(F.lit("N"), o.cast("string"))).otherwise(F.concat(F.lit("S"), (o + 100).cast("string")))
+        k, user = F.get_json_object("props", "$.k").cast("long"), F.col("user_id")
+        file = F.concat(F.lit("F"), F.floor(user / 10).cast("string"), F.lit("_"), k.cast("string"))
+        obj = F.when(k % 4 < 2, file).when(k % 4 == 2, F.concat(F.lit("N"), k.cast("string"))).otherwise(F.concat(F.lit("S"), F.floor(user / 2).cast("string")))
         operation = F.lit("EVENT_OTHER")
         for kind, name in OPERATIONS.items():
             operation = F.when(F.col("event_type") == kind, name).otherwise(operation)
         return e.select(
-            F.concat(F.lit("S"), (F.col("user_id") % 6).cast("string")).alias("subject"),
+            F.concat(F.lit("S"), user.cast("string")).alias("subject"),
             obj.alias("object"),
             operation.alias("operation"),
             F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("event_uuid"),
@@ -63,7 +70,7 @@ class Fixture:
         for c, v in {"src_addr": "10.0.0.1", "src_port": "4444", "dst_addr": "1.2.3.4", "dst_port": "80"}.items():
             n = n.withColumn(c, only("netflow", F.lit(v)))
         n = n.withColumn("msg", X.node_message(F.col("node_type"), F.col("path"), F.col("cmd"), F.col("dst_addr"), F.col("dst_port")))
-        return n.withColumn("label", F.col("msg"))
+        return cut(n.withColumn("label", F.col("msg")))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -77,7 +84,7 @@ class Fixture:
     def windowed(self) -> DataFrame:
         """Graph events with their greedy window and its number ``tw``."""
         batched = graphs.with_batches(graphs.graph_events(self.events), BATCH)
-        return graphs.number_windows(graphs.assign_windows(batched, MINUTES, BATCH))
+        return cut(graphs.number_windows(graphs.assign_windows(batched, MINUTES, BATCH)))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -89,7 +96,7 @@ class Fixture:
         kinds = self.nodes.select("index_id", "node_type")
         e = self.edges.join(kinds.toDF("src", "src_type"), "src").join(kinds.toDF("dst", "dst_type"), "dst")
         e = e.join(self.raw_events.select("event_uuid", "loss"), "event_uuid")
-        return graphs.assign_split(e, TRAIN, VAL, TEST)
+        return cut(graphs.assign_split(e, TRAIN, VAL, TEST))
 
     def losses(self, split: str) -> DataFrame:
         """srcnode, dstnode, loss, tw, edge_type, time of a split's fused edges."""
@@ -110,10 +117,11 @@ class Fixture:
 
     @cached_property
     def doc_scores(self) -> DataFrame:
-        """node, score, y_true, y_hat, tw_with_max_loss: labelled documents as nodes with scores."""
-        d = self.table("documents").select(F.col("doc_id").alias("node"), (F.col("n_chars") % 997).cast("double").alias("score"))
+        """node, score, y_true, y_hat, tw_with_max_loss: labelled documents as nodes with scores, about as many scores as documents."""
+        score = F.col("n_chars").cast("double") / (F.col("doc_id") % 97 + 1)
+        d = self.table("documents").select(F.col("doc_id").alias("node"), score.alias("score"))
         rows = d.join(self.table("labels").select(F.col("doc_id").alias("node"), F.col("toxic").alias("y_true")), "node")
-        return rows.select("node", "score", "y_true", (F.col("score") > 900).cast("int").alias("y_hat"), (F.col("node") % 7).cast("int").alias("tw_with_max_loss"))
+        return rows.select("node", "score", "y_true", (F.col("score") > 100).cast("int").alias("y_hat"), (F.col("node") % 7).cast("int").alias("tw_with_max_loss"))
 
     @cached_property
     def trade_edges(self) -> DataFrame:

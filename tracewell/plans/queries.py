@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import times as T
 from ..operators import detect, features, graphs, labels, scoring, trace
-from ..sources import cdm
+from ..operators.order import dense_index
+from ..operators.store import shared_dir
+from ..sources import cdm, tables
 from . import fixtures
 from .fixtures import Fixture
 
@@ -19,11 +22,11 @@ SQL: dict[str, str] = {}
 
 _RAW = """
 raw AS (
-  SELECT event_id, epoch_us(ts) * 1000 AS ns, CAST(user_id % 6 AS VARCHAR) AS s, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 4 AS o,
+  SELECT event_id, epoch_us(ts) * 1000 AS ns, CAST(user_id AS VARCHAR) AS s, user_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k,
     event_type, value, CAST(day(ts) AS INTEGER) AS day FROM events),
 ev AS (
   SELECT event_id AS _id, 'E' || event_id AS event_uuid, ns AS timestamp_rec, 'S' || s AS subject,
-    CASE WHEN o < 2 THEN 'F' || o WHEN o = 2 THEN 'N' || o ELSE 'S' || (100 + o) END AS object,
+    CASE WHEN k % 4 < 2 THEN 'F' || (user_id // 10) || '_' || k WHEN k % 4 = 2 THEN 'N' || k ELSE 'S' || (user_id // 2) END AS object,
     CASE event_type WHEN 'click' THEN 'EVENT_READ' WHEN 'view' THEN 'EVENT_OPEN' WHEN 'purchase' THEN 'EVENT_WRITE' WHEN 'signup' THEN 'EVENT_SENDTO' ELSE 'EVENT_OTHER' END AS operation,
     CAST(value AS DOUBLE) / 100.0 AS loss, day FROM raw),
 uu AS (SELECT DISTINCT u FROM (SELECT subject AS u FROM ev UNION ALL SELECT object FROM ev)),
@@ -70,7 +73,7 @@ truth AS (
 )
 _DOCS = """
 sc AS (
-  SELECT d.doc_id AS node, CAST(d.n_chars % 997 AS DOUBLE) AS score, l.toxic AS y_true, CASE WHEN d.n_chars % 997 > 900 THEN 1 ELSE 0 END AS y_hat, CAST(d.doc_id % 7 AS INTEGER) AS tw_with_max_loss
+  SELECT d.doc_id AS node, CAST(d.n_chars AS DOUBLE) / (d.doc_id % 97 + 1) AS score, l.toxic AS y_true, CASE WHEN CAST(d.n_chars AS DOUBLE) / (d.doc_id % 97 + 1) > 100 THEN 1 ELSE 0 END AS y_hat, CAST(d.doc_id % 7 AS INTEGER) AS tw_with_max_loss
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 gr AS (SELECT score, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM sc GROUP BY score),
 cv AS (
@@ -142,7 +145,7 @@ def cdm_events(fx):
 def cdm_subject_commands(fx):
     """Last command of each subject, taken from its events (last write wins)."""
     e = fx.table("events")
-    rows = e.select(F.concat(F.lit("S"), (F.col("user_id") % 6).cast("string")).alias("uuid"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("cmd"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    rows = e.select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("uuid"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("cmd"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
     return cdm.dedup_last(rows, "uuid", ["t", "event_id"], ["cmd"])
 
 
@@ -156,11 +159,112 @@ def relation_filter(fx):
 def dense_numbers(fx):
     """Dense numbers of all order lines, without a global window."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    from ..operators.order import dense_index
-
     return dense_index(fx.table("lineitem").select(keys), keys).select("index_id", "l_orderkey", "l_linenumber", "l_partkey")
 
 
+def _folder(fx: Fixture, name: str) -> str:
+    """A new folder among the shared ones."""
+    return f"{shared_dir(fx.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(raw_sql("SELECT count(*) AS n, CASE left(node_uuid, 1) WHEN 'S' THEN 'Subject' WHEN 'F' THEN 'FileObject' ELSE 'NetFlowObject' END AS kind FROM nodes GROUP BY ALL UNION ALL SELECT count(*), 'Event' FROM ev"))
+def log_files(fx):
+    """Raw lines written as text files and read back, by kind."""
+    path = _folder(fx, "logs")
+    cdm_lines(fx).select("value").write.text(path)
+    return cdm.read_cdm(fx.spark, path, "part-*").groupBy(cdm.cdm_kind(F.col("value")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+_CADETS = """,
+cl AS (
+  SELECT node_uuid AS u, node_type AS t, CAST(regexp_extract(node_uuid, '[0-9]+$') AS BIGINT) AS k FROM nodes),
+ce AS (
+  SELECT subject, object, 'x' || (_id % 5) AS exec, CASE WHEN _id % 9 = 4 THEN NULL ELSE '/p/' || (_id % 7) END AS path,
+    lpad(CAST(timestamp_rec AS VARCHAR), 20, '0') || event_uuid AS at FROM ev),
+cn AS (
+  SELECT u, 'netflow' AS t, NULL AS path, NULL AS cmd, '1.2.3.4' AS dst_addr, 0 AS r FROM cl WHERE t = 'netflow' AND k % 8 = 2
+  UNION ALL SELECT u, 'netflow', NULL, NULL, NULL, 0 FROM cl WHERE t = 'file' AND k % 16 = 1
+  UNION ALL SELECT l.u, 'subject', NULL, arg_max(e.exec, e.at), NULL, 1 FROM cl l JOIN ce e ON e.subject = l.u WHERE l.t = 'subject' GROUP BY l.u
+  UNION ALL SELECT l.u, 'file', nullif(arg_max(coalesce(e.path, '?'), e.at), '?'), NULL, NULL, 2 FROM cl l JOIN ce e ON e.object = l.u WHERE l.t = 'file' AND k % 16 <> 1 GROUP BY l.u)"""
+
+
+def cadets_lines(fx: Fixture) -> DataFrame:
+    """Raw records of the cadets_e3 kind: commands and paths in events, unix sockets, netflows without remote end."""
+    p = cdm.PREFIX + "18."
+    k = F.regexp_extract("node_uuid", "[0-9]+$", 0).cast("long")
+    subject = F.format_string('{"datum":{"' + p + 'Subject":{"uuid":"%s","type":"SUBJECT_PROCESS"}}}', "node_uuid")
+    file = F.format_string('{"datum":{"' + p + 'FileObject":{"uuid":"%s","type":"%s"}}}', "node_uuid", F.when(k % 16 == 1, "FILE_OBJECT_UNIX_SOCKET").otherwise("FILE_OBJECT_FILE"))
+    remote = F.when(k % 8 == 2, ',"remoteAddress":"1.2.3.4","remotePort":80').otherwise("")
+    flow = F.format_string('{"datum":{"' + p + 'NetFlowObject":{"uuid":"%s","localAddress":"10.0.0.1","localPort":4444%s}}}', "node_uuid", remote)
+    path = F.when(F.col("_id") % 9 == 4, "null").otherwise(F.format_string('{"string":"/p/%s"}', (F.col("_id") % 7).cast("string")))
+    event = F.format_string('{"datum":{"' + p + 'Event":{"uuid":"%s","type":"%s","subject":{"' + p + 'UUID":"%s"},"predicateObject":{"' + p + 'UUID":"%s"},"predicateObjectPath":%s,"timestampNanos":%s,"properties":{"map":{"exec":"x%s"}}}}}', "event_uuid", "operation", "subject", "object", path, F.col("timestamp_rec").cast("string"), (F.col("_id") % 5).cast("string"))
+    kind = F.when(F.col("node_type") == "subject", subject).when(F.col("node_type") == "file", file).otherwise(flow)
+    lines = fx.nodes.select(kind.alias("value")).unionByName(fx.raw_events.select(event.alias("value")))
+    return lines.withColumn("file", F.lit("derived")).withColumn("line_id", F.monotonically_increasing_id())
+
+
+@query(raw_sql(_CADETS.lstrip("\n") + " SELECT row_number() OVER (ORDER BY r, u) - 1 AS index_id, u AS node_uuid, t AS node_type, path, cmd, dst_addr FROM cn"))
+def cdm_cadets_nodes(fx):
+    """Nodes of the profile whose commands and paths stand in events."""
+    nodes, _ = cdm.ingest(cadets_lines(fx), cdm.PROFILES["cadets_e3"])
+    return nodes.select("index_id", "node_uuid", "node_type", "path", "cmd", "dst_addr")
+
+
+@query(raw_sql(_CADETS.lstrip("\n") + " SELECT e.event_uuid, e.operation, CASE WHEN e.operation IN ('EVENT_READ', 'EVENT_OPEN') THEN e.object ELSE e.subject END AS src, CASE WHEN e.operation IN ('EVENT_READ', 'EVENT_OPEN') THEN e.subject ELSE e.object END AS dst FROM ev e WHERE e.operation <> 'EVENT_OTHER' AND e.subject IN (SELECT u FROM cn WHERE t = 'subject') AND e.object IN (SELECT u FROM cn)"))
+def cdm_cadets_events(fx):
+    """Events of that profile, by the uuids of their ends."""
+    nodes, events = cdm.ingest(cadets_lines(fx), cdm.PROFILES["cadets_e3"])
+    named = lambda c: nodes.select(F.col("index_id").alias(f"{c}_index_id"), F.col("node_uuid").alias(c))
+    return events.join(named("src"), "src_index_id").join(named("dst"), "dst_index_id").select("event_uuid", "operation", "src", "dst")
+
+
+@query(raw_sql("SELECT index_id, node_uuid, node_type, CASE node_type WHEN 'file' THEN '/data/' || node_uuid END AS path, CASE node_type WHEN 'subject' THEN node_uuid || ' -x' END AS cmd, CASE node_type WHEN 'netflow' THEN '10.0.0.1' END AS src_addr, CASE node_type WHEN 'netflow' THEN '80' END AS dst_port FROM nodes"))
+def cdm_wrapped_nodes(fx):
+    """Nodes of the profile that wraps addresses and ports and knows subjects by their command alone."""
+    p, n = cdm.PREFIX + "20.", fx.nodes
+    subject = F.format_string('{"datum":{"' + p + 'Subject":{"uuid":"%s","cmdLine":{"string":"%s"},"properties":{"map":{"path":"%s"}}}}}', "node_uuid", "cmd", "path")
+    file = F.format_string('{"datum":{"' + p + 'FileObject":{"uuid":"%s","baseObject":{"properties":{"map":{"path":"%s"}}},"type":"FILE_OBJECT_FILE"}}}', "node_uuid", "path")
+    flow = F.format_string('{"datum":{"' + p + 'NetFlowObject":{"uuid":"%s","localAddress":{"string":"%s"},"localPort":{"int":%s},"remoteAddress":{"string":"%s"},"remotePort":{"int":%s}}}}', "node_uuid", "src_addr", "src_port", "dst_addr", "dst_port")
+    kind = F.when(F.col("node_type") == "subject", subject).when(F.col("node_type") == "file", file).otherwise(flow)
+    lines = n.select(kind.alias("value")).withColumn("file", F.lit("derived")).withColumn("line_id", F.monotonically_increasing_id())
+    nodes, _ = cdm.ingest(lines, cdm.PROFILES["clearscope_e5"])
+    return nodes.select("index_id", "node_uuid", "node_type", "path", "cmd", "src_addr", "dst_port")
+
+
+@query(raw_sql("SELECT src AS src_index_id, dst AS dst_index_id, operation, event_uuid, timestamp_rec FROM ed"))
+def stored_event_table(fx):
+    """Node and event tables written and read back; here the events."""
+    path = _folder(fx, "tables")
+    tables.write_tables({"nodes": fx.nodes, "event": fx.events}, path)
+    return tables.read_tables(fx.spark, path, "event").select("src_index_id", "dst_index_id", "operation", "event_uuid", "timestamp_rec")
+
+
+@query(win_sql("SELECT day, CAST(tw AS INTEGER) AS tw, src, dst, operation, time, event_uuid FROM fused WHERE day IN (24, 25, 26)"))
+def stored_graphs(fx):
+    """Window graphs written by day; three days read back."""
+    path = _folder(fx, "graphs")
+    tables.write_graphs(fx.edges, graphs.window_nodes(fx.windowed, fx.nodes), path)
+    return tables.read_graphs(fx.spark, path, [24, 25, 26]).select("day", F.col("tw").cast("int").alias("tw"), "src", "dst", "operation", "time", "event_uuid")
+
+
+@query(win_sql("SELECT CAST(l.tw AS INTEGER) AS tw, l.split, 3 AS model_epoch, l.srcnode, l.dstnode, s.msg AS srcmsg, d.msg AS dstmsg, l.edge_type, l.time, round(l.loss, 9) AS loss FROM ls l JOIN nodes s ON l.srcnode = s.index_id JOIN nodes d ON l.dstnode = d.index_id WHERE l.split = 'val'"))
+def stored_losses(fx):
+    """Edge losses written as CSV by split, epoch and window, and read back."""
+    path = _folder(fx, "losses")
+    e = scoring.describe_losses(fx.losses("val"), fx.nodes.select("index_id", "msg"))
+    tables.write_losses(e.withColumn("split", F.lit("val")).withColumn("model_epoch", F.lit(3)), path)
+    rows = tables.read_losses(fx.spark, path)
+    return rows.select("tw", "split", "model_epoch", "srcnode", "dstnode", "srcmsg", "dstmsg", "edge_type", "time", F.round("loss", 9).alias("loss"))
+
+
+@query(win_sql("SELECT node_uuid, node_label, CAST(node AS VARCHAR) AS node_id FROM truth"))
+def stored_truth(fx):
+    """Ground truth written as CSV and read back."""
+    path = _folder(fx, "truth")
+    fx.truth.select("node_uuid", "node_label", "node_id").write.csv(path)
+    return tables.read_ground_truth(fx.spark, path).drop("attack")
+
+
 # -- text and time ----------------------------------------------------------
 
 
@@ -198,6 +302,21 @@ def corpus_messages(fx):
     return corpus.join(best, "msg").select("msg", "copies", "index_id")
 
 
+@query("SELECT DISTINCT p_name AS msg, list_concat(['file'], string_split(p_name, ' ')) AS tokens FROM part UNION ALL SELECT DISTINCT '10.' || s_nationkey || ':' || s_suppkey, list_concat(['netflow'], ['10', '.', CAST(s_nationkey AS VARCHAR), ':', CAST(s_suppkey AS VARCHAR)]) FROM supplier")
+def typed_tokens(fx):
+    """Token lists of the corpus, led by the node's type."""
+    files = fx.table("part").select(F.col("p_name").alias("msg"), F.col("p_partkey").alias("index_id"), F.lit("file").alias("node_type"))
+    flows = fx.table("supplier").select(F.concat(F.lit("10."), F.col("s_nationkey").cast("string"), F.lit(":"), F.col("s_suppkey").cast("string")).alias("msg"), F.col("s_suppkey").alias("index_id"), F.lit("netflow").alias("node_type"))
+    return features.build_corpus(files.unionByName(flows), use_node_types=True).select("msg", "tokens")
+
+
+@query("SELECT o_orderpriority, count(DISTINCT coalesce(o_orderstatus, '') || '|' || CAST(o_custkey AS VARCHAR)) AS n FROM orders GROUP BY o_orderpriority")
+def row_hash_counts(fx):
+    """Distinct rows by their hash, which are as many as distinct rows."""
+    o = fx.table("orders")
+    return o.groupBy("o_orderpriority").agg(F.countDistinct(X.hash_list(F.coalesce("o_orderstatus", F.lit("")), F.col("o_custkey").cast("string"))).alias("n"))
+
+
 @query("SELECT page_id, regexp_extract(url, '([^./?]+)$', 1) AS extension, len(string_split(url, '.')) AS n FROM pages")
 def file_extensions(fx):
     """Extension of a name, here of the last dotted part of urls."""
@@ -289,7 +408,7 @@ def greatest_node(fx):
 @query(f"WITH {_TRADE}, n AS (SELECT tw, src AS node FROM tr UNION SELECT tw, dst FROM tr) SELECT tw, node, CAST(row_number() OVER (PARTITION BY tw ORDER BY node) - 1 AS INTEGER) AS local FROM n")
 def local_ids(fx):
     """Ids from 0 inside each window."""
-    return graphs.reindex_nodes(fx.trade_edges)
+    return graphs.reindex_nodes(fx.trade_edges).withColumn("local", F.col("local").cast("int"))
 
 
 @query(f"WITH {_TRADE}, n AS (SELECT tw, src AS node, 'src' AS role, operation, time, event_uuid FROM tr UNION ALL SELECT tw, dst, 'dst', operation, time, event_uuid FROM tr) SELECT tw, node, role, arg_max(operation, lpad(CAST(time AS VARCHAR), 20, '0') || event_uuid) AS feature FROM n GROUP BY tw, node, role")
@@ -332,6 +451,29 @@ def node_text_vectors(fx):
     return features.node_vectors(n, vectors)
 
 
+_W = "1.0 / n + (n - 1) * (1.0 / (30.0 * n)) / 2 - (i - 1) * (1.0 / (30.0 * n))"
+
+
+@query(f"WITH m AS (SELECT DISTINCT p_name AS msg, string_split(p_name, ' ') AS t FROM part), w AS (SELECT msg, len(t) AS n, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS word FROM m), s AS (SELECT msg, sum(len(word) * ({_W})) AS a, sum(ascii(word) * ({_W})) AS b FROM w GROUP BY msg) SELECT p_partkey AS index_id, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM part JOIN s ON p_name = msg")
+def given_node_vectors(fx):
+    """Position-weighted node vectors under given word vectors: a word's length and first letter."""
+    n = fx.table("part").select(F.col("p_name").alias("msg"), F.col("p_partkey").alias("index_id"), F.lit("file").alias("node_type"))
+    words = features.build_corpus(n).select(F.explode("tokens").alias("word")).distinct()
+    words = words.select("word", F.array(F.length("word").cast("double"), F.ascii("word").cast("double")).alias("vector"))
+    found = features.node_vectors(n, words)
+    return found.select("index_id", F.round(F.get("vector", F.lit(0)), 6).alias("x"), F.round(F.get("vector", F.lit(1)), 6).alias("y"))
+
+
+@query(win_sql("SELECT event_uuid, [CASE src_type WHEN 'subject' THEN 1.0 ELSE 0.0 END, CASE src_type WHEN 'file' THEN 1.0 ELSE 0.0 END, CASE src_type WHEN 'netflow' THEN 1.0 ELSE 0.0 END] AS x_src, CAST(16 AS INTEGER) AS n_msg, CASE operation WHEN 'EVENT_OPEN' THEN 3 WHEN 'EVENT_READ' THEN 4 WHEN 'EVENT_SENDTO' THEN 8 WHEN 'EVENT_WRITE' THEN 9 END AS edge FROM typed"))
+def type_only_edges(fx):
+    """Edge vectors split without the text vectors, the relation among the message."""
+    n = fx.nodes
+    vectors = n.select("index_id", F.array(*[(F.col("index_id") / 10.0) for _ in range(4)]).alias("vector"))
+    e = features.edge_vectors(fx.typed_edges.select("event_uuid", "src", "dst", "operation"), n, vectors)
+    s = features.split_edge_vector(e, 4, predict_relation=False, mode="only_type")
+    return s.select("event_uuid", "x_src", F.size("msg").alias("n_msg"), F.array_position("edge_feats", F.lit(1.0)).cast("int").alias("edge"))
+
+
 @query(win_sql("SELECT event_uuid, [CASE src_type WHEN 'subject' THEN 1.0 ELSE 0.0 END, CASE src_type WHEN 'file' THEN 1.0 ELSE 0.0 END, CASE src_type WHEN 'netflow' THEN 1.0 ELSE 0.0 END] AS x_type, CASE operation WHEN 'EVENT_OPEN' THEN 3 WHEN 'EVENT_READ' THEN 4 WHEN 'EVENT_SENDTO' THEN 8 WHEN 'EVENT_WRITE' THEN 9 END AS y, CAST(22 AS INTEGER) AS n_msg, round(src / 10.0, 6) AS first_src FROM typed"))
 def edge_vector_parts(fx):
     """Edge vectors assembled and split again."""
@@ -343,8 +485,6 @@ def edge_vector_parts(fx):
 
 
 def _numbered(fx) -> DataFrame:
-    from ..operators.order import dense_index
-
     e = dense_index(fx.edges.select("src", "dst", "tw", "time", "event_uuid"), ["tw", "time", "event_uuid"], "e_id")
     return e.withColumn("batch", F.floor(F.col("e_id") / 32).cast("long"))
 
@@ -479,10 +619,10 @@ def ranking_quality(fx):
     return detect.ranking_metrics(fx.doc_scores).select(F.round("auc", 9).alias("auc"), F.round("ap", 9).alias("ap"))
 
 
-@query(f"WITH {_DOCS} SELECT score, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall FROM cv")
+@query(f"WITH {_DOCS} SELECT round(score, 9) AS score, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall FROM cv")
 def precision_recall(fx):
     c = detect.pr_curve(fx.doc_scores)
-    return c.select("score", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+    return c.select(F.round("score", 9).alias("score"), F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
 
 @query(f"WITH {_DOCS} SELECT score AS threshold, round(tp / p, 9) AS tpr, round(fp / n, 9) AS fpr FROM cv WHERE tp / p >= 0.16 ORDER BY fp / n, score DESC LIMIT 1")
@@ -601,8 +741,7 @@ def interest_points(fx):
     """Alerted nodes of every window."""
     e = _test_edges(fx)
     tw_nodes = e.select("tw", F.explode(F.array("src", "dst")).alias("index_id")).distinct()
-    top = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("node")))
-    results = _node_results(fx).withColumn("y_hat", (top <= 3).cast("int"))
+    results = _node_results(fx).orderBy(F.desc("score"), F.desc("node")).limit(3).withColumn("y_hat", F.lit(1))
     return trace.points_of_interest(trace.results_by_window(results, tw_nodes))
 
 
@@ -630,7 +769,7 @@ _VE = ", ve AS (SELECT tw, src, dst, time, event_uuid, row_number() OVER (PARTIT
 @query(win_sql(_TE + _VE + " SELECT tw, CAST(seq AS INTEGER) AS seq, src, vsrc, dst, vdst FROM vx"))
 def versioned_edges(fx):
     """Edges between versions of nodes."""
-    return trace.version_edges(_test_edges(fx))
+    return trace.version_edges(_test_edges(fx)).withColumn("seq", F.col("seq").cast("int"))
 
 
 _BACK = _VE + ", tops AS (SELECT tw, node, max(v) AS last FROM vn GROUP BY ALL), re AS (SELECT p.tw, p.poi, p.poi AS node, CAST(t.last AS BIGINT) AS v FROM po p JOIN tops t ON t.tw = p.tw AND t.node = p.poi UNION SELECT r.tw, r.poi, x.src, x.vsrc FROM re r JOIN vx x ON x.tw = r.tw AND x.dst = r.node AND x.vdst <= r.v)"
@@ -704,6 +843,29 @@ def metrics_after_tracing(fx):
     return trace.results_after_trace(rows, trace.n_hop(e, _pois(fx), 1)).withColumn("score", F.round("score", 9))
 
 
+@query(win_sql(_TE + _H1 + ", tn AS (SELECT tw, src AS node FROM te UNION SELECT tw, dst FROM te) SELECT t.tw, s.node, round(s.score, 9) AS score, CASE WHEN g.node IS NULL THEN 0 ELSE 1 END AS y_true, CASE WHEN h.node IS NULL THEN 0 ELSE 1 END AS y_hat FROM tn t JOIN scored s ON s.node = t.node LEFT JOIN truth g ON g.node = s.node LEFT JOIN (SELECT DISTINCT tw, node FROM h1) h ON h.tw = t.tw AND h.node = t.node"))
+def window_results_after_tracing(fx):
+    """Results after tracing, window by window."""
+    e = _test_edges(fx)
+    tw_nodes = e.select("tw", F.explode(F.array("src", "dst")).alias("index_id")).distinct()
+    rows = trace.results_by_window(detect.label_truth(_node_results(fx), fx.truth), tw_nodes)
+    return trace.results_after_trace(rows, trace.n_hop(e, _pois(fx), 1), "window").withColumn("score", F.round("score", 9))
+
+
+@query(win_sql(_TE + _H1 + " SELECT DISTINCT node FROM h1"))
+def all_traced_nodes(fx):
+    """Nodes of any trace (here neighbours of the pois)."""
+    return trace.traced_nodes(trace.n_hop(_test_edges(fx), _pois(fx), 1), by_window=False)
+
+
+@query(win_sql(_TE + _H1 + " SELECT h.tw, h.poi, CASE WHEN max(CASE WHEN h.node = h.poi AND t.node IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 'TP' ELSE 'FP' END AS tp_or_fp, count(t.node) AS tps, count(*) - count(t.node) AS fps FROM h1 h LEFT JOIN truth t ON t.node = h.node GROUP BY h.tw, h.poi"))
+def stored_trace_report(fx):
+    """The trace report written as CSV and read back."""
+    path = _folder(fx, "report")
+    tables.write_trace_report(trace.trace_report(trace.n_hop(_test_edges(fx), _pois(fx), 1), fx.truth), path)
+    return fx.spark.read.csv(path, header=True, schema="tw int, poi long, tp_or_fp string, tps long, fps long")
+
+
 @query(win_sql(_TE + " SELECT s.msg AS src_path, d.msg AS dst_path, e.operation, round(max(e.loss), 9) AS score, min(e.time) AS first, max(e.time) AS last, count(*) AS n_edges FROM te e JOIN nodes s ON e.src = s.index_id JOIN nodes d ON e.dst = d.index_id GROUP BY ALL"))
 def contracted_graph(fx):
     """Nodes of one name and type as one."""

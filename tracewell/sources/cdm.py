@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import node_hash
 from ..operators.order import dense_index
+from ..operators.store import cut
 
 PREFIX = "com.bbn.tc.schema.avro.cdm"
 
@@ -208,12 +209,7 @@ def event_table(records: DataFrame, nodes: DataFrame, profile: Profile) -> DataF
 
 
 def ingest(raw: DataFrame, profile: Profile) -> tuple[DataFrame, DataFrame]:
-    """Raw lines to (nodes, events)."""
-    records = parse_records(raw, profile)
+    """Raw lines to (nodes, events); the lines are parsed once and stored in narrow columns."""
+    records = cut(parse_records(raw, profile))
     nodes = assign_index(netflow_nodes(records, profile), subject_nodes(records, profile), file_nodes(records, profile))
     return nodes, event_table(records, nodes, profile)
-
-
-def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key with all its columns."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where("__r = 1").drop("__r")
