@@ -167,12 +167,13 @@ def _train(docs: DataFrame) -> DataFrame:
 def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
     """Fit on all rows with a language and a text; what reaches the driver is ``FEATURES`` numbers a language at most."""
     rows = bounded_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counted = _train(rows).toPandas()
-    names = sorted(counted["lang"].unique().tolist())
+    counted = _train(rows).toArrow()
+    names = sorted(counted["lang"].unique().to_pylist())
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"{len(names)} languages; a model holds {MOST_LANGUAGES} at most")
     table = np.zeros((len(names), FEATURES))
-    table[counted["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), counted["feature"].to_numpy()] = counted["n"]
+    code = {x: i for i, x in enumerate(names)}
+    table[[code[x] for x in counted["lang"].to_pylist()], counted["feature"].to_numpy()] = counted["n"].to_numpy()
     logs = np.empty((len(names), WORDS + GRAMS), np.float32)
     for a, b in ((0, WORDS), (WORDS, WORDS + GRAMS)):
         part = table[:, a:b] + 0.5

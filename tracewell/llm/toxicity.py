@@ -174,9 +174,9 @@ def _document_frequency(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["term", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(keys))
-    out[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
+    out[counted["term"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
@@ -206,14 +206,14 @@ def fit_toxicity(docs: DataFrame, known: DataFrame, examples: int = EXAMPLES) ->
             own = pa.array(row[start])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), pa.array(key[start].view(np.int64)), pa.array(np.diff(np.append(start, len(row))))], names=["doc_id", "term", "tf"])
 
-    members = chosen.orderBy("doc_id").toPandas()
-    ids, labels = members["doc_id"].to_numpy(np.int64), members["label"].to_numpy(np.float64)
-    found = texts.mapInArrow(run, "doc_id long, term long, tf long").toPandas()
+    members = chosen.orderBy("doc_id").toArrow()
+    ids, labels = members["doc_id"].to_numpy(), members["label"].to_numpy().astype(np.float64)
+    found = texts.mapInArrow(run, "doc_id long, term long, tf long").toArrow()
     n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
     stands = np.where(labels == 1, counts.get(1, 0) / max(n1, 1), counts.get(0, 0) / max(n0, 1))
-    key = found["term"].to_numpy(np.int64).view(np.uint64)
+    key = found["term"].to_numpy().view(np.uint64)
     df = _document_frequency(docs, np.unique(key))
-    index = build_index(ids, labels, stands, np.searchsorted(ids, found["doc_id"].to_numpy(np.int64)), key, found["tf"].to_numpy(np.float64), df, docs.count())
+    index = build_index(ids, labels, stands, np.searchsorted(ids, found["doc_id"].to_numpy()), key, found["tf"].to_numpy().astype(np.float64), df, docs.count())
     shared = spark.sparkContext.broadcast(index)
 
     def judged(batches):
