@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, media, minhash, mixing, quality, sharding, substring, toxicity
+from . import decontam, langid, linededup, media, minhash, mixing, quality, sharding, substring, tokalign, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,6 +104,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenizers' ids of all documents in groups over the same bytes."""
+    return tokalign.aligned_tokens(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 OP9_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
@@ -152,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
