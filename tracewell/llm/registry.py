@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, media, minhash, mixing, quality, sharding, substring, tokalign, toxicity
+from . import decontam, langid, linededup, media, minhash, mixing, quality, sharding, substring, tokalign, toxicity, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -104,6 +104,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records in ZIP packages, read back by ranges."""
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
+OP11_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+m AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS copy FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN copy THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN copy THEN first END AS refers_to
+FROM m
+"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tokenizers' ids of all documents in groups over the same bytes."""
     return tokalign.aligned_tokens(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
@@ -157,9 +172,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_columns": op8_media_columns,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op11_warc": op11_warc,
         "op13_token_alignment": op13_token_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_mixing": OP9_SQL, "op11_warc": OP11_SQL}
