@@ -36,7 +36,7 @@ from .tokens import slices
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A block of documents ends with so many bytes of text or so many units.
-BLOCK_BYTES, BLOCK_UNITS = 32 << 20, 500_000
+BLOCK_BYTES, BLOCK_UNITS = 32 << 20, 300_000
 #: Bytes of units that are encoded in one call.
 ENCODE_BYTES = 1 << 18
 
@@ -104,6 +104,7 @@ class Aligner:
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
+        self.a_shown, self.b_shown = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
         self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
         # texts may be cut into units only if no token reaches from one into the next
         parts = json.loads(a_json)
@@ -208,9 +209,12 @@ class Block:
             a, b = pair
             cuts, links = align(a, b, self.aligner.a_size, self.aligner.b_size)
             i = j = 0
-            shown = []
+            shown, left, right = [], self.aligner.a_shown, self.aligner.b_shown
             for x, y in cuts:
-                shown.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+                if x - i == y - j == 1:
+                    shown.append(f"{left[a[i]]}|{right[b[j]]}")
+                else:
+                    shown.append(",".join([left[t] for t in a[i:x]]) + "|" + ",".join([right[t] for t in b[j:y]]))
                 i, j = x, y
             self.texts.append(";".join(shown))
             self.n.extend((len(a), len(b), len(cuts)))
@@ -248,7 +252,7 @@ class Block:
     def full(self) -> bool:
         return self.bytes >= BLOCK_BYTES or len(self.texts) >= BLOCK_UNITS
 
-    def row(self, name: str) -> dict[str, list]:
+    def row(self, name: str) -> pa.RecordBatch:
         """One row: the documents and units packed, and the block's pairs of ids with how often they are linked."""
         units, at = np.frombuffer(self.units, np.int32) if self.units else np.zeros(0, np.int32), np.frombuffer(self.units_at, np.int64)
         links, links_at = np.frombuffer(self.links, np.int64) if self.links else np.zeros(0, np.int64), np.frombuffer(self.links_at, np.int64)
@@ -264,7 +268,8 @@ class Block:
         docs |= {c: pa.array(sums[:, i]) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
         linked = {"places": pa.LargeListArray.from_arrays(links_at, place.astype(np.int32))}
         used = np.flatnonzero(counts)
-        return {"block": [name], "docs": [_packed(docs)], "linked": [_packed(linked)], "pairs": [[{"place": int(i), "pair": int(pairs[i]), "n": int(counts[i])} for i in used]]}
+        told = pa.StructArray.from_arrays([pa.array(used.astype(np.int32)), pa.array(pairs[used]), pa.array(counts[used])], names=["place", "pair", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([_packed(docs)], pa.binary()), pa.array([_packed(linked)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), told)], names=["block", "docs", "linked", "pairs"])
 
 
 def _packed(columns: dict[str, pa.Array]) -> bytes:
@@ -285,9 +290,6 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return flat.values.to_numpy(zero_copy_only=False), flat.offsets.to_numpy()
 
 
-_BLOCK = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("linked", pa.binary()), ("pairs", pa.list_(pa.struct([("place", pa.int32()), ("pair", pa.int64()), ("n", pa.int64())])))])
-
-
 def aligned_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = FOLDER, digest: bool = False) -> DataFrame:
     """(block, docs, linked, pairs), one row for each block of documents, stored: packed alignments, and the block's pairs of ids with their counts."""
     with open(f"{folder}/{BYTE_BPE}", encoding="utf-8") as a, open(f"{folder}/{PIECE_BPE}", "rb") as b:
@@ -299,10 +301,10 @@ def aligned_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part in slices(batches, "text"):
             block.add(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist())
             if block.full():
-                yield pa.RecordBatch.from_pydict(block.row(f"{task}-{made}"), _BLOCK)
+                yield block.row(f"{task}-{made}")
                 made, block = made + 1, Block(aligner, digest)
         if block.ids:
-            yield pa.RecordBatch.from_pydict(block.row(f"{task}-{made}"), _BLOCK)
+            yield block.row(f"{task}-{made}")
 
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return stored(base.mapInArrow(run, "block string, docs binary, linked binary, pairs array<struct<place int, pair long, n long>>"), "aligned")
