@@ -1,5 +1,6 @@
 """Windows, run collapse and neighbour memory against sequential versions."""
 
+import functools
 import random
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import features, graphs, trace
+from tracewell.operators.order import running
 
 MIN = graphs.MINUTE
 
@@ -140,33 +142,115 @@ def component(rows, poi, scores):
     return result
 
 
-def test_component_tracing_matches_the_versioned_graph(spark):
-    rng = random.Random(4)
-    rows, pois, expect, scores = [], [], {}, []
-    for tw in range(40):
-        n = rng.randrange(2, 9)
-        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 25))]
-        rows += [(tw, s, d, i, f"E{i:03d}") for i, (s, d) in enumerate(edges)]
+def shortest(rows, poi, scores):
+    """As component, by one path of fewest steps for each entry and exit; of equal ones that which leaves a node first, then to the least node."""
+    last, edges = versioned(rows)
+    result = {poi}
+    if poi not in last:
+        return result
+    for mirrored in (False, True):
+        steps = [((b[0], -b[1]), (a[0], -a[1])) if mirrored else (a, b) for a, b in edges]
+        goal = (poi, 0 if mirrored else last[poi])
+        if not any(b == goal for _, b in steps):
+            continue
+        hops, todo = {goal: 0}, [goal]
+        for b in todo:
+            for x, y in steps:
+                if y == b and x not in hops:
+                    hops[x] = hops[b] + 1
+                    todo.append(x)
+        groups = {}
+        entered = {b for _, b in steps}
+        for start in hops:
+            if start in entered:
+                continue
+            at, nodes = start, {start[0]}
+            while at != goal:
+                ways = [b for a, b in steps if a == at and hops.get(b) == hops[at] - 1]
+                at = min(ways, key=lambda b: (b[0] == at[0], b))
+                nodes.add(at[0])
+            groups[start[0]] = nodes
+        means = {}
+        for e, nodes in groups.items():
+            rest = [scores[n] for n in nodes if n != poi]
+            means[e] = round(sum(rest) / len(rest), 9) if rest else 0
+        for e, m in means.items():
+            if m == max(means.values()):
+                result |= groups[e]
+    return result
+
+
+def traced_windows(rng, windows, most_nodes, most_edges):
+    rows, pois, scores, graphs_ = [], [], [], {}
+    for tw in range(windows):
+        n = rng.randrange(2, most_nodes)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, most_edges))]
+        rows += [(tw, s, d, i, f"E{i:05d}") for i, (s, d) in enumerate(edges)]
         own = {i: rng.randrange(5) / 4 for i in range(n)}
         scores += [(tw, i, s) for i, s in own.items()]
         poi = rng.randrange(n)
         pois.append((tw, poi))
-        expect[tw] = component(edges, poi, own)
+        graphs_[tw] = (edges, poi, own)
+    return rows, pois, scores, graphs_
+
+
+def traced(spark, rows, pois, scores, trace_with):
     e = spark.createDataFrame(rows, "tw int, src long, dst long, time long, event_uuid string")
     p, s = spark.createDataFrame(pois, "tw int, poi long"), spark.createDataFrame(scores, "tw int, node long, score double")
     got = defaultdict(set)
-    for r in trace.trace_component(e, p, s).collect():
+    for r in trace_with(e, p, s).collect():
         got[r["tw"]].add(r["node"])
-    assert dict(got) == expect
-    paths = defaultdict(set)
-    for r in trace.trace_shortest_path(e, p, s).collect():
-        paths[r["tw"]].add(r["node"])
-    assert set(paths) == set(expect) and all(dict(pois)[tw] in nodes for tw, nodes in paths.items())
+    return dict(got)
+
+
+@pytest.mark.parametrize("seed, windows, nodes, edges", [(4, 60, 9, 25), (5, 12, 90, 260)])
+def test_tracing_matches_the_versioned_graph(spark, seed, windows, nodes, edges):
+    rows, pois, scores, plain = traced_windows(random.Random(seed), windows, nodes, edges)
+    assert traced(spark, rows, pois, scores, trace.trace_component) == {tw: component(*g) for tw, g in plain.items()}
+    assert traced(spark, rows, pois, scores, trace.trace_shortest_path) == {tw: shortest(*g) for tw, g in plain.items()}
+
+
+def test_many_entries_fill_several_words(spark):
+    """A hundred and fifty entries that all lead to one poi by way of a hub."""
+    n = 150
+    rows = [(0, i, 1000 + i % 3, i, f"E{i:05d}") for i in range(n)] + [(0, 1000 + k, 2000, n + k, f"E{n + k:05d}") for k in range(3)]
+    scores = [(0, i, 1.0 if i in (7, 70, 140) else 0.0) for i in range(n)] + [(0, 1000 + k, 0.5) for k in range(3)]
+    edges, own = [(r[1], r[2]) for r in rows], {i: s for _, i, s in scores} | {2000: 0.0}
+    for fn, brute in ((trace.trace_component, component), (trace.trace_shortest_path, shortest)):
+        got = traced(spark, rows, [(0, 2000)], scores, fn)[0]
+        assert got == brute(edges, 2000, own) == {7, 70, 140, 1000 + 7 % 3, 1000 + 70 % 3, 1000 + 140 % 3, 2000}
+
+
+def test_versions_of_a_hub_are_counted_by_many_tasks(spark):
+    rng = random.Random(6)
+    pairs = [(0, i % 50 + 1) if rng.random() < 0.4 else (i % 50 + 1, 0) for i in range(4000)]
+    rows = [(tw, s, d, i, f"E{i:05d}") for tw in (0, 1) for i, (s, d) in enumerate(pairs)]
+    df = trace.version_edges(spark.createDataFrame(rows, "tw int, src long, dst long, time long, event_uuid string"))
+    seen, _ = versioned(pairs)
+    tops = defaultdict(int)
+    for r in df.collect():
+        for n, v in ((r["src"], r["vsrc"]), (r["dst"], r["vdst"])):
+            tops[r["tw"], n] = max(tops[r["tw"], n], v)
+    assert dict(tops) == {(tw, n): v for tw in (0, 1) for n, v in seen.items()}
 
 
-def test_fewest_hops():
-    edges = [((1, 0), (2, 0)), ((2, 0), (4, 1)), ((1, 0), (3, 0)), ((3, 0), (4, 1)), ((4, 0), (4, 1))]
-    assert trace._fewest_hops(edges, [(1, 0), (9, 0), (4, 0)], (4, 1)) == {(1, 0): {1, 2, 4}, (4, 0): {4}}
+@pytest.mark.parametrize("own", [True, False])
+def test_running_aggregates(spark, own):
+    rng = random.Random(7)
+    rows = [(0 if rng.random() < 0.8 else rng.randrange(1, 5), i, rng.randrange(100)) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, t long, x long").repartition(5)
+    got = running(df, ["k"], [F.col("t")], {"s": ("sum", F.col("x")), "lo": ("min", F.struct("x", "t")), "hi": ("max", F.col("x")), "bits": ("bit_or", F.col("x"))}, own)
+    for k in range(5):
+        mine = sorted(r for r in rows if r[0] == k)
+        upto = []
+        for r in sorted((r for r in got.collect() if r["k"] == k), key=lambda r: r["t"]):
+            if own:
+                upto.append(mine[len(upto)])
+            want = (sum(m[2] for m in upto), min((m[2], m[1]) for m in upto), max(m[2] for m in upto), functools.reduce(int.__or__, (m[2] for m in upto))) if upto else (None,) * 4
+            assert (r["s"], r["lo"] and tuple(r["lo"]), r["hi"], r["bits"]) == want
+            if not own:
+                upto.append(mine[len(upto)])
 
 
 def test_greedy_cuts_of_one_batch():

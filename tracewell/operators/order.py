@@ -1,4 +1,4 @@
-"""Dense row numbers and running sums without a global window."""
+"""Dense row numbers, running sums and running aggregates of keys without a task for a whole table or key."""
 
 from __future__ import annotations
 
@@ -45,3 +45,31 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> Da
     inside = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(offsets, "__p")
     return joined.select(*df.columns, *[(F.sum(c).over(inside) + F.col(f"__{n}")).alias(n) for c, n in sums.items()])
+
+
+#: How the aggregate of earlier ranges and that of a range's own rows make one.
+_BOTH = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "bit_or": (F.bit_or, lambda a, b: F.coalesce(a.bitwiseOR(b), a, b)),
+}
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], aggs: dict[str, tuple[str, Column]], own: bool = True) -> DataFrame:
+    """The rows with aggregates of their key's rows up to them in the given order, the own row included or not.
+
+    aggs: name -> (sum, min, max or bit_or, column).  Rows are cut into ranges of
+    key and order, so a key with many rows is worked on by many tasks.  Only one
+    key can go on from a range to the next; what it brings along is at most one
+    row for each range.  Keys aren't null; without a tie-breaker in the order,
+    ties come in any order.
+    """
+    ranged = cut(df.repartitionByRange(*[F.col(k) for k in by], *order).withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy("__p", *by).agg(*[_BOTH[f][0](c).alias(f"__{n}") for n, (f, c) in aggs.items()])
+    before = Window.partitionBy(*by).orderBy("__p")
+    carried = totals.select("__p", *by, F.row_number().over(before).alias("__r"), *[_BOTH[f][0](f"__{n}").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias(f"__{n}") for n, (f, _) in aggs.items()])
+    carried = carried.where("__r > 1").drop("__r")  # of keys that began in an earlier range: no more than ranges
+    inside = Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    joined = ranged.join(F.broadcast(carried), ["__p", *by], "left")
+    return joined.select(*df.columns, *[_BOTH[f][1](F.col(f"__{n}"), _BOTH[f][0](c).over(inside)).alias(n) for n, (f, c) in aggs.items()])

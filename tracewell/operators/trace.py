@@ -9,13 +9,10 @@ frontier with the edges until nothing changes.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import dense_index_within
+from .order import dense_index, dense_index_within, running
 from .store import cut, discard
 
 
@@ -45,23 +42,25 @@ def loss_score(tw_nodes: DataFrame, scores: DataFrame) -> DataFrame:
 
 def combined_score(degree: DataFrame, loss: DataFrame) -> DataFrame:
     """(tw, node, score): both scores scaled to 0..1 inside the window, added; a constant one counts 0."""
-    by = Window.partitionBy("tw")
 
     def scaled(df: DataFrame, name: str) -> DataFrame:
-        lo, hi = F.min("score").over(by), F.max("score").over(by)
-        return df.select("tw", "node", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0).alias(name))
+        bounds = df.groupBy("tw").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))  # a row for each window
+        lo, hi = F.col("lo"), F.col("hi")
+        return df.join(bounds, "tw").select("tw", "node", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(0.0).alias(name))
 
     both = scaled(degree, "a").join(scaled(loss, "b"), ["tw", "node"], "full_outer")
     return both.select("tw", "node", (F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("score"))
 
 
 def version_edges(tw_edges: DataFrame) -> DataFrame:
-    """(tw, seq, src, vsrc, dst, vdst): edges in order of time between versions of nodes; self-loops are dropped."""
+    """(tw, seq, src, vsrc, dst, vdst): edges in order of time between versions of nodes; self-loops are dropped.
+
+    A node's version counts the edges into it, but for one that it began with.
+    """
     edges = dense_index_within(tw_edges.where("src <> dst"), "tw", ["time", "event_uuid"], "seq", 1)
     ends = edges.select("tw", "seq", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(0).alias("into")), F.struct(F.col("dst").alias("node"), F.lit(1).alias("into")))).alias("e")).select("tw", "seq", "e.node", "e.into")
-    by = Window.partitionBy("tw", "node").orderBy("seq")
-    version = F.sum("into").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.first("into").over(by)
-    ends = ends.withColumn("v", version)
+    ends = running(ends, ["tw", "node"], [F.col("seq")], {"n": ("sum", F.col("into")), "first": ("min", F.struct("seq", "into"))})
+    ends = ends.withColumn("v", F.col("n") - F.col("first.into"))
     sides = ends.groupBy("tw", "seq").agg(*[F.max(F.when(F.col("into") == k, F.col(c))).alias(f"{p}{n}") for k, n in ((0, "src"), (1, "dst")) for c, p in (("node", ""), ("v", "v"))])
     return sides.select("tw", "seq", "src", "vsrc", "dst", "vdst")
 
@@ -105,21 +104,65 @@ def forward_reach(versioned: DataFrame, pois: DataFrame) -> DataFrame:
     return _spread(versioned.drop("seq"), pois.join(known, ["tw", "poi"]).withColumn("node", F.col("poi")).withColumn("v", F.lit(0).cast("long")), ["tw", "poi"], ["tw"], False)
 
 
-def _within(versioned: DataFrame, reach: DataFrame, backward: bool) -> DataFrame:
-    """Edges whose both ends lie in a poi's reach: (tw, poi, src, vsrc, dst, vdst)."""
-    src = reach.select("tw", "poi", F.col("node").alias("src"), F.col("v").alias("bs"))
-    dst = reach.select("tw", "poi", F.col("node").alias("dst"), F.col("v").alias("bd"))
-    both = versioned.drop("seq").join(src, ["tw", "src"]).join(dst, ["tw", "poi", "dst"])
-    inside = (F.col("vsrc") <= F.col("bs")) & (F.col("vdst") <= F.col("bd")) if backward else (F.col("vsrc") >= F.col("bs")) & (F.col("vdst") >= F.col("bd"))
-    return cut(both.where(inside).select("tw", "poi", "src", "vsrc", "dst", "vdst"))
+_SIDE = ["side", "tw", "poi"]
+
+
+def _sides(versioned: DataFrame, pois: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges: side, tw, src, vsrc, dst, vdst; goals: side, tw, poi, node, v; starts: side, tw, node, v), stored.
+
+    Side 0 leads from entries to a poi's last version.  Side 1 is side 0 of the
+    mirrored graph: edges turned round and versions below zero, so that it leads
+    from exits to the poi's version 0.  A poi without edges on a side has no goal
+    there.
+    """
+    facts = cut(node_versions(versioned))
+    mirrored = versioned.select(F.lit(1).alias("side"), "tw", F.col("dst").alias("src"), (-F.col("vdst")).alias("vsrc"), F.col("src").alias("dst"), (-F.col("vsrc")).alias("vdst"))
+    edges = cut(versioned.select(F.lit(0).alias("side"), "tw", "src", "vsrc", "dst", "vdst").unionByName(mirrored))
+    own = pois.select("tw", "poi").distinct().join(facts.withColumnRenamed("node", "poi"), ["tw", "poi"])
+    ahead = F.array(F.struct(F.lit(0).alias("side"), F.col("starts").alias("mark"), F.col("last").alias("v")), F.struct(F.lit(1).alias("side"), F.col("ends").alias("mark"), F.lit(0).cast("long").alias("v")))
+    goals = own.select("tw", "poi", "last", F.explode(ahead).alias("g")).where("not (last = 0 and g.mark)").select("g.side", "tw", "poi", F.col("poi").alias("node"), "g.v")
+    first = F.array(F.struct(F.lit(0).alias("side"), F.col("starts").alias("mark"), F.lit(0).cast("long").alias("v")), F.struct(F.lit(1).alias("side"), F.col("ends").alias("mark"), (-F.col("last")).alias("v")))
+    starts = facts.select("tw", "node", F.explode(first).alias("s")).where("s.mark").select("s.side", "tw", "node", "s.v")
+    return edges, cut(goals), cut(starts)
+
+
+def _best(means: DataFrame) -> DataFrame:
+    """The rows of each side of a poi that have its highest mean."""
+    return means.join(means.groupBy(*_SIDE).agg(F.max("mean").alias("top")), _SIDE).where("mean = top").drop("mean", "top")
+
+
+def _mean() -> Column:
+    return F.coalesce(F.round(F.sum("s") / F.sum("c"), 12), F.lit(0.0)).alias("mean")
 
 
-def _best_groups(members: DataFrame, scores: DataFrame) -> DataFrame:
-    """Of each poi's groups those with the highest mean score without the poi itself: (tw, poi, node)."""
-    joined = members.join(scores, ["tw", "node"], "left").withColumn("s", F.when(F.col("node") != F.col("poi"), F.coalesce("score", F.lit(0.0))))
-    means = joined.groupBy("tw", "poi", "group").agg(F.coalesce(F.round(F.avg("s"), 12), F.lit(0.0)).alias("mean"))
-    best = means.withColumn("r", F.rank().over(Window.partitionBy("tw", "poi").orderBy(F.desc("mean")))).where("r = 1")
-    return members.join(best.select("tw", "poi", "group"), ["tw", "poi", "group"], "left_semi").select("tw", "poi", "node").distinct()
+def _scored(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """Members with their score ``s`` and how often it counts, ``c``: a node without a score counts 0, the poi doesn't count."""
+    joined = members.join(scores.select("tw", "node", "score"), ["tw", "node"], "left")
+    other = F.col("node") != F.col("poi")
+    return joined.withColumn("s", F.when(other, F.coalesce("score", F.lit(0.0)))).withColumn("c", F.when(other, 1))
+
+
+def _spread_sets(inner: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(side, tw, poi, word, node, bits): which of the seeds reach each node along edges that lead on in time.
+
+    seeds: side, tw, poi, word, node, v, bits: sets of up to 64 entries.  Entries
+    that first reach a node at one version share a row; only what is new goes on.
+    """
+    keys = [*_SIDE, "word", "node"]
+    state = cut(seeds.select(*keys, "v", "bits"))
+    frontier = cut(state)
+    while True:
+        step = frontier.join(inner.withColumnRenamed("src", "node"), [*_SIDE, "node"]).where("vsrc >= v")
+        step = step.groupBy(*_SIDE, "word", F.col("dst").alias("node"), F.col("vdst").alias("v")).agg(F.bit_or("bits").alias("bits"))
+        both = state.withColumn("new", F.lit(0)).unionByName(step.withColumn("new", F.lit(1)))
+        seen = running(both, keys, [F.col("v"), F.col("new")], {"seen": ("bit_or", F.col("bits"))}, own=False)
+        left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))
+        merged = cut(seen.withColumn("bits", left).where("bits <> 0").select(*keys, "v", "bits", "new"))
+        discard(frontier, state)
+        frontier, state = cut(merged.where("new = 1").drop("new")), cut(merged.drop("new"))
+        discard(merged)
+        if not frontier.take(1):
+            return state.groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
 
 
 def trace_component(tw_edges: DataFrame, pois: DataFrame, scores: DataFrame) -> DataFrame:
@@ -127,93 +170,94 @@ def trace_component(tw_edges: DataFrame, pois: DataFrame, scores: DataFrame) ->
 
     Entries precede the poi and have no predecessor; an entry's nodes lie on any
     path from it to the poi; likewise exits.  pois: (tw, poi); scores: (tw, node,
-    score).  Pois that aren't in their window's edges stand alone.
+    score).  Pois that aren't in their window's edges stand alone.  Entries are
+    carried as sets of bits, 64 in a row, so what is kept grows with the poi's
+    reach, not with entries times nodes.
     """
-    versioned = cut(version_edges(tw_edges))
-    facts = cut(node_versions(versioned))
-    poi_facts = pois.join(facts.withColumnRenamed("node", "poi"), ["tw", "poi"])
-    scores = scores.select("tw", "node", "score")
-
-    back_pois = poi_facts.where("not (last = 0 and starts)").select("tw", "poi")
-    reach = backward_reach(versioned, back_pois)
-    inner = _within(versioned, reach, True)
-    entries = reach.join(facts.where("starts").select("tw", "node"), ["tw", "node"]).select("tw", "poi", F.col("node").alias("group"), "node", F.lit(0).cast("long").alias("v"))
-    before = _spread(inner, entries, ["tw", "poi", "group"], ["tw", "poi"], False)
-
-    front_pois = poi_facts.where("not (last = 0 and ends)").select("tw", "poi")
-    ahead = forward_reach(versioned, front_pois)
-    outer = _within(versioned, ahead, False)
-    exits = ahead.join(facts.where("ends").select("tw", "node", "last"), ["tw", "node"]).select("tw", "poi", F.col("node").alias("group"), "node", F.col("last").alias("v"))
-    after = _spread(outer, exits, ["tw", "poi", "group"], ["tw", "poi"], True)
-
-    own = pois.select("tw", "poi", F.col("poi").alias("node"))
-    return _best_groups(before, scores).unionByName(_best_groups(after, scores)).unionByName(own).distinct()
-
-
-def _fewest_hops(edges: list[tuple], starts: list, goal: tuple) -> dict:
-    """For each start the nodes of one path to the goal with the fewest edges; of equal ones the one through the least nodes."""
-    into = defaultdict(set)
-    for a, b in edges:
-        into[b].add(a)
-    hops, queue, follow = {goal: 0}, deque([goal]), {}
-    while queue:
-        b = queue.popleft()
-        for a in sorted(into[b]):
-            if a not in hops:
-                hops[a] = hops[b] + 1
-                follow[a] = b
-                queue.append(a)
-            elif hops[a] == hops[b] + 1 and b < follow[a]:
-                follow[a] = b
-    out = {}
-    for s in starts:
-        if s in hops:
-            path = [s]
-            while path[-1] != goal:
-                path.append(follow[path[-1]])
-            out[s] = {n for n, _ in path}
-    return out
+    edges, goals, starts = _sides(cut(version_edges(tw_edges)), pois)
+    reach = _spread(edges, goals, _SIDE, ["side", "tw"], True)
+    src, dst = (reach.select(*_SIDE, F.col("node").alias(c), F.col("v").alias(f"{c}_top")) for c in ("src", "dst"))
+    inner = edges.join(src, ["side", "tw", "src"]).join(dst, [*_SIDE, "dst"]).where("vsrc <= src_top and vdst <= dst_top")
+    inner = cut(inner.select(*_SIDE, "src", "vsrc", "dst", "vdst"))
+    entries = reach.select(*_SIDE, "node").join(starts, ["side", "tw", "node"])
+    entries = dense_index(entries, [*_SIDE, "node"], "e").withColumn("word", F.floor(F.col("e") / 64)).withColumn("bits", F.expr("shiftleft(1L, cast(e % 64 as int))"))
+    sets = cut(_spread_sets(inner, entries))
+
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("bits", b) == 1)).alias("bit")
+    means = _scored(sets, scores).select(*_SIDE, "word", "s", "c", bit).groupBy(*_SIDE, "word", "bit").agg(_mean())
+    best = _best(means).groupBy(*_SIDE, "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("chosen"))
+    between = sets.join(best, [*_SIDE, "word"]).where(F.col("bits").bitwiseAND(F.col("chosen")) != 0).select("tw", "poi", "node")
+    return between.unionByName(pois.select("tw", "poi", F.col("poi").alias("node"))).distinct()
+
+
+def _hops(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(side, tw, poi, node, v, w, to, vto): from node at version v it takes w steps to the goal by the edge to ``to`` at ``vto``.
+
+    A step is an edge or going on to the node's next version.  Only versions that
+    edges leave from have rows: from any other version one first goes on to the
+    version at which v + w is least.  Every round hands on what has got shorter;
+    what an edge's end needs is found among its node's rows by a running minimum
+    from the highest version down.
+    """
+    keys = [*_SIDE, "node"]
+    none = F.lit(None).cast("long")
+    state = cut(goals.select(*keys, "v", F.lit(0).cast("long").alias("w"), none.alias("to"), none.alias("vto")))
+    frontier = cut(state)
+    while True:
+        tops = frontier.groupBy(*keys).agg(F.max("v").alias("top"))
+        asked = edges.withColumnRenamed("dst", "node").join(tops, ["side", "tw", "node"]).where("vdst <= top")
+        asked = asked.select(*keys, F.col("vdst").alias("v"), F.lit(1).alias("asks"), none.alias("sum"), "src", "vsrc")
+        told = frontier.select(*keys, "v", F.lit(0).alias("asks"), (F.col("v") + F.col("w")).alias("sum"), none.alias("src"), none.alias("vsrc"))
+        found = running(asked.unionByName(told), keys, [F.desc("v"), F.col("asks")], {"least": ("min", F.col("sum"))}).where("asks = 1 and least is not null")
+        step = found.select(*_SIDE, F.col("src").alias("node"), F.col("vsrc").alias("v"), F.struct((F.col("least") - F.col("v") + 1).alias("w"), F.col("node").alias("to"), F.col("v").alias("vto")).alias("s"))
+        step = step.groupBy(*keys, "v").agg(F.min("s").alias("s")).select(*keys, "v", "s.*")
+        known = state.select(*keys, "v", F.col("w").alias("old"))
+        last, frontier = frontier, cut(step.join(known, [*keys, "v"], "left").withColumn("shorter", F.col("old").isNull() | (F.col("w") < F.col("old"))))
+        discard(last)
+        every = state.unionByName(frontier.drop("old", "shorter")).groupBy(*keys, "v").agg(F.min(F.struct("w", "to", "vto")).alias("s"))
+        before, state = state, cut(every.select(*keys, "v", "s.*"))
+        discard(before)
+        last, frontier = frontier, cut(frontier.where("shorter").select(*keys, "v", "w"))
+        discard(last)
+        if not frontier.take(1):
+            return state
+
+
+def _walk(hops: DataFrame, starts: DataFrame) -> DataFrame:
+    """(side, tw, poi, group, node): the nodes on the way from each start (node, v) of a poi to its goal, step by step."""
+    keys = [*_SIDE, "node"]
+    none = F.lit(None).cast("long")
+    cursors = cut(starts.select(*_SIDE, F.col("node").alias("group"), "node", "v"))
+    seen = []
+    while cursors.take(1):
+        seen.append(cursors)
+        told = hops.join(cursors.select(*keys).distinct(), keys, "left_semi")
+        told = told.select(*keys, "v", F.lit(0).alias("asks"), F.struct((F.col("v") + F.col("w")).alias("sum"), F.col("v").alias("leave"), "to", "vto").alias("way"), none.alias("group"))
+        asked = cursors.select(*keys, "v", F.lit(1).alias("asks"), F.lit(None).cast(told.schema["way"].dataType).alias("way"), "group")
+        found = running(asked.unionByName(told), keys, [F.desc("v"), F.col("asks")], {"best": ("min", F.col("way"))}).where("asks = 1")
+        cursors = cut(found.where("best.to is not null").select(*_SIDE, "group", F.col("best.to").alias("node"), F.col("best.vto").alias("v")))
+    if not seen:
+        return cursors.drop("v")
+    out = seen[0]
+    for df in seen[1:]:
+        out = out.unionByName(df)
+    return out.drop("v").distinct()
 
 
 def trace_shortest_path(tw_edges: DataFrame, pois: DataFrame, scores: DataFrame) -> DataFrame:
-    """As trace_component, but a group is one path of fewest edges from an entry to the poi, or from the poi to an exit.
+    """As trace_component, but a group is one path of fewest steps from an entry to the poi, or from the poi to an exit.
 
-    Each (tw, poi) is searched in one small group: the edges inside its reach.
+    A step is an edge or going on to a node's next version.  Of equally short
+    paths it is the one that leaves each node earliest, seen from the entry (or
+    exit), and then goes on to the least node.
     """
-    versioned = cut(version_edges(tw_edges))
-    facts = cut(node_versions(versioned))
-    poi_facts = pois.join(facts.withColumnRenamed("node", "poi"), ["tw", "poi"])
-
-    def paths(backward: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            tw, poi, last = int(pdf["tw"].iloc[0]), int(pdf["poi"].iloc[0]), int(pdf["poi_last"].iloc[0])
-            sides = pd.concat([pdf[["src", "vsrc", "src_mark", "src_last"]].set_axis(["n", "v", "m", "l"], axis=1), pdf[["dst", "vdst", "dst_mark", "dst_last"]].set_axis(["n", "v", "m", "l"], axis=1)])
-            tops = sides.groupby("n").agg(v=("v", "max"), m=("m", "max"), l=("l", "max"))
-            edges = list(zip(zip(pdf["src"], pdf["vsrc"]), zip(pdf["dst"], pdf["vdst"])))
-            for n, row in tops.iterrows():
-                edges += [((n, k), (n, k + 1)) for k in range(int(row["l"]))]
-            if backward:
-                found = _fewest_hops(edges, [(n, 0) for n in sorted(tops[tops["m"]].index)], (poi, last))
-            else:
-                turned = [(b, a) for a, b in edges]
-                found = _fewest_hops(turned, [(n, int(tops.loc[n, "l"])) for n in sorted(tops[tops["m"]].index)], (poi, 0))
-            rows = [(tw, poi, int(s[0]), int(n)) for s, nodes in found.items() for n in nodes]
-            return pd.DataFrame(rows, columns=["tw", "poi", "group", "node"])
-
-        return run
-
-    def side(backward: bool) -> DataFrame:
-        mark = "starts" if backward else "ends"
-        chosen = poi_facts.where(f"not (last = 0 and {mark})").select("tw", "poi")
-        reach = backward_reach(versioned, chosen) if backward else forward_reach(versioned, chosen)
-        inner = _within(versioned, reach, backward)
-        named = lambda c: facts.select("tw", F.col("node").alias(c), F.col(mark).alias(f"{c}_mark"), F.col("last").alias(f"{c}_last"))
-        inner = inner.join(named("src"), ["tw", "src"]).join(named("dst"), ["tw", "dst"]).join(named("poi").drop("poi_mark"), ["tw", "poi"])
-        return inner.groupBy("tw", "poi").applyInPandas(paths(backward), "tw int, poi long, group long, node long")
-
-    own = pois.select("tw", "poi", F.col("poi").alias("node"))
-    scores = scores.select("tw", "node", "score")
-    return _best_groups(side(True), scores).unionByName(_best_groups(side(False), scores)).unionByName(own).distinct()
+    edges, goals, starts = _sides(cut(version_edges(tw_edges)), pois)
+    hops = _hops(edges, goals)
+    begun = hops.groupBy(*_SIDE, "node").agg(F.max("v").alias("top")).join(starts, ["side", "tw", "node"]).where("v <= top")
+    members = cut(_walk(hops, begun))
+    means = _scored(members, scores).groupBy(*_SIDE, "group").agg(_mean())
+    between = members.join(_best(means), [*_SIDE, "group"], "left_semi").select("tw", "poi", "node")
+    return between.unionByName(pois.select("tw", "poi", F.col("poi").alias("node"))).distinct()
 
 
 def n_hop(tw_edges: DataFrame, pois: DataFrame, n: int) -> DataFrame:
