@@ -787,14 +787,56 @@ def forward_reaches(fx):
     return trace.forward_reach(trace.version_edges(_test_edges(fx)), _pois(fx))
 
 
-@query()
+#: Both sides of tracing as one: side 1 is the mirrored graph, with edges turned round and versions below zero.
+_TWO = _VE + """, fa AS (
+  SELECT tw, node, CAST(max(v) AS BIGINT) AS last, arg_min(into_, seq) = 0 AS starts, coalesce(max(CASE WHEN into_ = 0 THEN v END), -1) < max(v) AS ends FROM vn GROUP BY ALL),
+xe AS (SELECT 0 AS side, tw, src AS a, vsrc AS va, dst AS b, vdst AS vb FROM vx UNION ALL SELECT 1, tw, dst, -vdst, src, -vsrc FROM vx),
+gs AS (
+  SELECT 0 AS side, p.tw, p.poi, p.poi AS node, f.last AS v FROM po p JOIN fa f ON f.tw = p.tw AND f.node = p.poi WHERE NOT (f.last = 0 AND f.starts)
+  UNION ALL SELECT 1, p.tw, p.poi, p.poi, CAST(0 AS BIGINT) FROM po p JOIN fa f ON f.tw = p.tw AND f.node = p.poi WHERE NOT (f.last = 0 AND f.ends)),
+st AS (SELECT 0 AS side, tw, node, CAST(0 AS BIGINT) AS v FROM fa WHERE starts UNION ALL SELECT 1, tw, node, -last FROM fa WHERE ends)"""
+_CHOSEN = """, mn AS (
+  SELECT m.side, m.tw, m.poi, m.grp, coalesce(round(avg(CASE WHEN m.node <> m.poi THEN coalesce(d.score, 0.0) END), 12), 0.0) AS mean
+  FROM mb m LEFT JOIN dg d ON d.tw = m.tw AND d.node = m.node GROUP BY ALL),
+be AS (SELECT side, tw, poi, grp FROM (SELECT *, rank() OVER (PARTITION BY side, tw, poi ORDER BY mean DESC) AS r FROM mn) WHERE r = 1)
+SELECT m.tw, m.poi, m.node FROM mb m JOIN be USING (side, tw, poi, grp) UNION SELECT tw, poi, poi FROM po"""
+_SETS = """, rv AS (
+  SELECT * FROM gs UNION SELECT r.side, r.tw, r.poi, x.a, x.va FROM rv r JOIN xe x ON x.side = r.side AND x.tw = r.tw AND x.b = r.node AND x.vb <= r.v),
+rc AS (SELECT side, tw, poi, node, max(v) AS v FROM rv GROUP BY ALL),
+inn AS (
+  SELECT x.side, x.tw, s.poi, x.a, x.va, x.b, x.vb FROM xe x JOIN rc s ON s.side = x.side AND s.tw = x.tw AND s.node = x.a AND x.va <= s.v
+  JOIN rc d ON d.side = x.side AND d.tw = x.tw AND d.poi = s.poi AND d.node = x.b AND x.vb <= d.v),
+sp AS (
+  SELECT r.side, r.tw, r.poi, r.node AS grp, r.node, s.v FROM rc r JOIN st s ON s.side = r.side AND s.tw = r.tw AND s.node = r.node
+  UNION SELECT p.side, p.tw, p.poi, p.grp, x.b, x.vb FROM sp p JOIN inn x ON x.side = p.side AND x.tw = p.tw AND x.poi = p.poi AND x.a = p.node AND x.va >= p.v),
+mb AS (SELECT DISTINCT side, tw, poi, grp, node FROM sp)"""
+_PATHS = """, se AS (
+  SELECT side, tw, a, va, b, vb, 0 AS stays FROM xe
+  UNION ALL SELECT side, tw, node, CASE side WHEN 0 THEN k ELSE -k - 1 END, node, CASE side WHEN 0 THEN k + 1 ELSE -k END, 1
+  FROM (SELECT tw, node, unnest(range(0, last)) AS k FROM fa), (VALUES (0), (1)) q(side)),
+hp AS (
+  SELECT *, 0 AS h FROM gs UNION SELECT p.side, p.tw, p.poi, x.a, x.va, p.h + 1 FROM hp p JOIN se x ON x.side = p.side AND x.tw = p.tw AND x.b = p.node AND x.vb = p.v),
+di AS (SELECT side, tw, poi, node, v, min(h) AS h FROM hp GROUP BY ALL),
+nx AS (
+  SELECT * FROM (
+    SELECT d.side, d.tw, d.poi, d.node, d.v, x.b, x.vb, row_number() OVER (PARTITION BY d.side, d.tw, d.poi, d.node, d.v ORDER BY x.stays, x.b, x.vb) AS r
+    FROM di d JOIN se x ON x.side = d.side AND x.tw = d.tw AND x.a = d.node AND x.va = d.v
+    JOIN di e ON e.side = d.side AND e.tw = d.tw AND e.poi = d.poi AND e.node = x.b AND e.v = x.vb AND e.h = d.h - 1)
+  WHERE r = 1),
+wk AS (
+  SELECT d.side, d.tw, d.poi, d.node AS grp, d.node, d.v FROM di d JOIN st s ON s.side = d.side AND s.tw = d.tw AND s.node = d.node AND s.v = d.v
+  UNION SELECT w.side, w.tw, w.poi, w.grp, n.b, n.vb FROM wk w JOIN nx n ON n.side = w.side AND n.tw = w.tw AND n.poi = w.poi AND n.node = w.node AND n.v = w.v),
+mb AS (SELECT DISTINCT side, tw, poi, grp, node FROM wk)"""
+
+
+@query(win_sql(_TE + _DS + _TWO + _SETS + _CHOSEN))
 def component_traces(fx):
     """Nodes between the pois and their best entries and exits."""
     e = _test_edges(fx)
     return trace.trace_component(e, _pois(fx), trace.degree_score(e))
 
 
-@query()
+@query(win_sql(_TE + _DS + _TWO + _PATHS + _CHOSEN))
 def path_traces(fx):
     """Nodes on one shortest path to the best entries and exits."""
     e = _test_edges(fx)
