@@ -239,6 +239,21 @@ def stored_event_table(fx):
     return tables.read_tables(fx.spark, path, "event").select("src_index_id", "dst_index_id", "operation", "event_uuid", "timestamp_rec")
 
 
+#: Database of the queries that need one; unset, an embedded one in memory, which only a single JVM can reach.
+DATABASE = "spark.tracewell.jdbc.url"
+
+
+@query(raw_sql("SELECT src AS src_index_id, dst AS dst_index_id, operation, event_uuid, timestamp_rec FROM ed"))
+def database_event_table(fx):
+    """The event table appended to a database, twice, and read back in eight ranges of time of near equal rows."""
+    url = fx.spark.conf.get(DATABASE, None) or f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    name = f"event_{uuid.uuid4().hex[:12]}"
+    events = fx.events.select("src_index_id", "dst_index_id", "operation", "event_uuid", "timestamp_rec")
+    for _ in range(2):
+        tables.write_tables({name: events}, url, {name: ["event_uuid"]}, {name: "operation VARCHAR(64), event_uuid VARCHAR(64)"})
+    return tables.read_tables(fx.spark, url, name, 8)
+
+
 @query(win_sql("SELECT day, CAST(tw AS INTEGER) AS tw, src, dst, operation, time, event_uuid FROM fused WHERE day IN (24, 25, 26)"))
 def stored_graphs(fx):
     """Window graphs written by day; three days read back."""
@@ -257,12 +272,12 @@ def stored_losses(fx):
     return rows.select("tw", "split", "model_epoch", "srcnode", "dstnode", "srcmsg", "dstmsg", "edge_type", "time", F.round("loss", 9).alias("loss"))
 
 
-@query(win_sql("SELECT node_uuid, node_label, CAST(node AS VARCHAR) AS node_id FROM truth"))
+@query(win_sql("SELECT attack, node_uuid, node_label, CAST(node AS VARCHAR) AS node_id FROM truth"))
 def stored_truth(fx):
-    """Ground truth written as CSV and read back."""
+    """Ground truth written as CSV, a folder for each attack, and read back with the attack that the path names."""
     path = _folder(fx, "truth")
-    fx.truth.select("node_uuid", "node_label", "node_id").write.csv(path)
-    return tables.read_ground_truth(fx.spark, path).drop("attack")
+    fx.truth.select("attack", "node_uuid", "node_label", "node_id").write.partitionBy("attack").csv(path)
+    return tables.read_ground_truth(fx.spark, path)
 
 
 # -- text and time ----------------------------------------------------------
