@@ -4,7 +4,6 @@ import functools
 import random
 from collections import defaultdict
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +252,18 @@ def test_running_aggregates(spark, own):
                 upto.append(mine[len(upto)])
 
 
-def test_greedy_cuts_of_one_batch():
-    one = pd.DataFrame({"day": [1], "batch": [0], "first": [5], "last": [9]})
-    assert len(graphs.greedy_cuts(one, 100, True)) == 0 and len(graphs.greedy_cuts(one, 100, False)) == 1
+def test_windows_of_one_batch_and_of_none(spark):
+    one = spark.createDataFrame([(0, "EVENT_READ", 1, "E1", 5, 1, 1), (0, "EVENT_READ", 1, "E2", 9, 2, 1)], SCHEMA)
+    assert graphs.assign_windows(graphs.with_batches(one, 16), 1, 16).count() == 0
+    tail = graphs.assign_windows(graphs.with_batches(one, 16), 1, 16, drop_tail=False)
+    assert {(r["day_window"], r["tw_start"], r["tw_end"]) for r in tail.collect()} == {(0, 5, 9)}
+    assert graphs.assign_windows(graphs.with_batches(one.where("false"), 16)).count() == 0
+
+
+def test_many_windows_a_day(spark):
+    """A window for nearly every batch: more than a single round of jumps can reach."""
+    rows = [(0, "EVENT_READ", 1, f"E{i:05d}", i * MIN, i, 1) for i in range(1500)]
+    got = graphs.assign_windows(graphs.with_batches(spark.createDataFrame(rows, SCHEMA), 4), 6, 4).collect()
+    assert {r["_id"]: (r["day"], r["day_window"], r["tw_start"], r["tw_end"]) for r in got} == cut_days(rows, 4, 6, True)
+    assert len({r["day_window"] for r in got}) > 150
+    assert [r["tw"] for r in graphs.number_windows(spark.createDataFrame([(2, 0), (1, 1), (1, 0)], "day int, day_window long")).orderBy("day", "day_window").collect()] == [0, 1, 2]

@@ -5,14 +5,13 @@ events: src_index_id, operation, dst_index_id, event_uuid, timestamp_rec (ns), _
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import EASTERN, local_day, ns_to_text, text_to_ns
 from ..sources.cdm import RELATIONS
-from .order import dense_index, dense_index_within
+from .order import dense_index, dense_index_within, running
+from .store import cut, discard
 
 MINUTE = 60_000_000_000
 ORDER = ["timestamp_rec", "event_uuid", "_id"]
@@ -36,39 +35,55 @@ def with_batches(events: DataFrame, batch_size: int = 1024) -> DataFrame:
     return numbered.withColumn("batch", F.floor(F.col("seq") / batch_size).cast("long"))
 
 
-def greedy_cuts(batches: pd.DataFrame, size: int, drop_tail: bool) -> pd.DataFrame:
-    """One day's batches to windows: a window closes with the first batch that ends later than start + size."""
-    batches = batches.sort_values("batch")
-    ends = batches["last"].to_numpy(np.int64)
-    start, window = int(batches["first"].iloc[0]), 0
-    numbers, starts, closes = np.full(len(ends), -1), np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
-    begin = 0
-    for i, end in enumerate(ends.tolist()):
-        if end > start + size or (i == len(ends) - 1 and not drop_tail):
-            numbers[begin : i + 1], starts[begin : i + 1], closes[begin : i + 1] = window, start, end
-            begin, start, window = i + 1, end, window + 1
-    out = pd.DataFrame({"day": batches["day"], "batch": batches["batch"], "day_window": numbers, "start": starts, "end": closes})
-    return out[out["day_window"] >= 0]
+def _closing_batches(ends: DataFrame, size: int) -> DataFrame:
+    """(day, batch) of all batches that close a window.
+
+    A window that begins at a batch's end closes with the first batch that ends
+    later than ``size`` after; so every batch points to the one that would close
+    after it, and a day's windows are what can be reached from its beginning.
+    Every round jumps four times as far as the one before.
+    """
+    none = F.lit(None).cast("long")
+    told = ends.select("day", F.col("last").alias("at"), F.lit(1).alias("told"), "batch", none.alias("asker"))
+    asked = ends.select("day", (F.col("last") + size).alias("at"), F.lit(0).alias("told"), none.alias("batch"), F.col("batch").alias("asker"))
+    first = ends.groupBy("day").agg((F.min("first") + size).alias("at")).select("day", "at", F.lit(0).alias("told"), none.alias("batch"), F.lit(-1).cast("long").alias("asker"))
+    found = running(told.unionByName(asked).unionByName(first), ["day"], [F.desc("at"), F.col("told")], {"next": ("min", F.col("batch"))})
+    jumps = cut(found.where("told = 0").select("day", F.col("asker").alias("batch"), "next", (F.col("asker") < 0).alias("reached")))
+    while True:
+        far = jumps
+        for here, there in (("next", "next2"), ("next2", "next3"), ("next3", "next4")):
+            far = far.join(jumps.select("day", F.col("batch").alias(here), F.col("next").alias(there)), ["day", here], "left")
+        passed = far.where("reached").select("day", F.explode(F.array("next", "next2", "next3")).alias("batch")).where("batch is not null").distinct()
+        merged = far.select("day", "batch", F.col("next4").alias("next"), "reached").join(passed.withColumn("passed", F.lit(True)), ["day", "batch"], "left")
+        before, jumps = jumps, cut(merged.select("day", "batch", "next", (F.col("reached") | F.coalesce("passed", F.lit(False))).alias("reached")))
+        discard(before)
+        if not jumps.where("reached and next is not null").take(1):
+            return jumps.where("reached and batch >= 0").select("day", "batch")
 
 
 def assign_windows(batched: DataFrame, minutes: float = 15.0, batch_size: int = 1024, drop_tail: bool = True) -> DataFrame:
     """Events with their batch-greedy window: ``day_window`` (from 0 in the day), ``tw_start``, ``tw_end``.
 
-    Only the ends of batches, one row for each ``batch_size`` events, are walked
-    in order, day by day; the events of a day's unfinished last window are dropped.
+    A window closes with the first batch that ends later than its start and the
+    minutes; the next one starts at that batch's end.  Only the ends of batches,
+    one row for each ``batch_size`` events, take part in this.  The events of a
+    day's unfinished last window are dropped, or make a window of their own.
     """
-    size = int(minutes * MINUTE)
-    ends = batched.groupBy("day", "batch").agg(F.min("timestamp_rec").alias("first"), F.max("timestamp_rec").alias("last"))
-    cuts = ends.groupBy("day").applyInPandas(lambda pdf: greedy_cuts(pdf, size, drop_tail), "day int, batch long, day_window long, start long, end long")
-    cuts = cuts.select("day", "batch", "day_window", F.col("start").alias("tw_start"), F.col("end").alias("tw_end"))
-    return batched.join(cuts, ["day", "batch"])
+    ends = cut(batched.groupBy("day", "batch").agg(F.min("timestamp_rec").alias("first"), F.max("timestamp_rec").alias("last")))
+    closing = _closing_batches(ends, int(minutes * MINUTE))
+    if not drop_tail:
+        closing = closing.unionByName(ends.groupBy("day").agg(F.max("batch").alias("batch"))).distinct()
+    marked = ends.join(closing.withColumn("closes", F.lit(1)), ["day", "batch"], "left")
+    placed = running(marked, ["day"], [F.col("batch")], {"before": ("sum", F.coalesce("closes", F.lit(0)).cast("long")), "start": ("max", F.when(F.col("closes") == 1, F.col("last"))), "begin": ("min", F.col("first"))}, own=False)
+    placed = cut(placed.select("day", "batch", F.coalesce("before", F.lit(0)).alias("day_window"), F.coalesce("start", "begin", "first").alias("tw_start"), F.when(F.col("closes") == 1, F.col("last")).alias("end")))
+    ended = placed.where("end is not null").select("day", "day_window", F.col("end").alias("tw_end"))
+    return batched.join(placed.select("day", "batch", "day_window", "tw_start").join(ended, ["day", "day_window"]), ["day", "batch"])
 
 
 def number_windows(windowed: DataFrame) -> DataFrame:
     """``tw``: the place of the window among all, in order of start, from 0."""
-    names = windowed.select("day", "day_window", "tw_start").distinct()
-    ranked = names.withColumn("tw", F.row_number().over(Window.orderBy("day", "day_window")) - 1)  # a row for each window
-    return windowed.join(ranked.select("day", "day_window", "tw"), ["day", "day_window"])
+    names = dense_index(windowed.select("day", "day_window").distinct(), ["day", "day_window"], "tw")
+    return windowed.join(names, ["day", "day_window"])
 
 
 def tumbling_windows(events: DataFrame, minutes: float = 15.0) -> DataFrame:
@@ -82,12 +97,12 @@ def window_name(start: Column, end: Column, tz: str = EASTERN) -> Column:
     return F.concat(ns_to_text(start, tz), F.lit("~"), ns_to_text(end, tz))
 
 
-def fuse_edges(windowed: DataFrame) -> DataFrame:
-    """Collapse runs: of a window's events from src to dst in order of time, the first of each run of one operation."""
+def fuse_edges(windowed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Collapse runs: of a window's events from src to dst in order of time, the first of each run of one operation, with columns to keep."""
     by = Window.partitionBy("day", "tw", "src_index_id", "dst_index_id").orderBy(*ORDER)
     before = windowed.withColumn("__before", F.lag("operation").over(by))
     first = before.where(F.col("__before").isNull() | (F.col("__before") != F.col("operation")))
-    return first.select("day", "tw", F.col("src_index_id").alias("src"), F.col("dst_index_id").alias("dst"), "operation", F.col("timestamp_rec").alias("time"), "event_uuid")
+    return first.select("day", "tw", F.col("src_index_id").alias("src"), F.col("dst_index_id").alias("dst"), "operation", F.col("timestamp_rec").alias("time"), "event_uuid", *keep)
 
 
 def window_nodes(windowed: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ class Fixture:
         for c, v in {"src_addr": "10.0.0.1", "src_port": "4444", "dst_addr": "1.2.3.4", "dst_port": "80"}.items():
             n = n.withColumn(c, only("netflow", F.lit(v)))
         n = n.withColumn("msg", X.node_message(F.col("node_type"), F.col("path"), F.col("cmd"), F.col("dst_addr"), F.col("dst_port")))
-        return cut(n.withColumn("label", F.col("msg")))
+        return n.withColumn("label", F.col("msg"))  # the numbered rows are stored
 
     @cached_property
     def events(self) -> DataFrame:
@@ -78,7 +78,7 @@ class Fixture:
         ids = self.nodes.select("node_uuid", "index_id")
         e = self.raw_events.join(ids.toDF("subject", "src_index_id"), "subject").join(ids.toDF("object", "dst_index_id"), "object")
         e = e.withColumnRenamed("subject", "src_node").withColumnRenamed("object", "dst_node")
-        return orient_edges(e)
+        return cut(orient_edges(e))
 
     @cached_property
     def windowed(self) -> DataFrame:
@@ -94,8 +94,7 @@ class Fixture:
     def typed_edges(self) -> DataFrame:
         """Fused edges with end types, split and the event's own loss."""
         kinds = self.nodes.select("index_id", "node_type")
-        e = self.edges.join(kinds.toDF("src", "src_type"), "src").join(kinds.toDF("dst", "dst_type"), "dst")
-        e = e.join(self.raw_events.select("event_uuid", "loss"), "event_uuid")
+        e = graphs.fuse_edges(self.windowed, ("loss",)).join(kinds.toDF("src", "src_type"), "src").join(kinds.toDF("dst", "dst_type"), "dst")
         return cut(graphs.assign_split(e, TRAIN, VAL, TEST))
 
     def losses(self, split: str) -> DataFrame:
