@@ -93,8 +93,8 @@ def test_units_cut_where_no_token_reaches(sides):
         text = noise(rng, rng.randrange(1, 25))
         units = tokalign.units_of(text)
         assert "".join(map(tokalign.raw_unit, units)) == " " + text
-        found = [aligner._checked(tokalign.raw_unit(u)) for u in units]
-        whole = aligner._checked(" " + text)
+        found = [aligner.checked(tokalign.raw_unit(u)) for u in units]
+        whole = aligner.checked(" " + text)
         assert (whole is None) == (None in found)
         if whole:
             assert whole == tuple([i for f in found for i in f[k]] for k in (0, 1))

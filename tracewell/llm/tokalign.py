@@ -20,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from .tokens import slices
 FOLDER = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A block of documents ends with so many bytes of text or so many units.
-BLOCK_BYTES, BLOCK_UNITS = 32 << 20, 300_000
+BLOCK_BYTES, BLOCK_UNITS = 32 << 20, 500_000
 #: Bytes of units that are encoded in one call.
 ENCODE_BYTES = 1 << 18
 
@@ -54,41 +55,35 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(cuts, links): the index of both lists behind each group, and all pairs of ids whose bytes overlap, in order.
+class Alignment(NamedTuple):
+    """Groups and links of two id lists over the same bytes: ``ends`` of the groups, the index of both lists behind each, and the links with the byte that each ends at."""
 
-    Both lists cover the same bytes; sizes give the bytes of each id.
+    ends: np.ndarray
+    a_at: np.ndarray
+    b_at: np.ndarray
+    links: np.ndarray
+    link_ends: np.ndarray
+
+
+def align(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> Alignment:
+    """Align two lists of ids that cover the same bytes; sizes give the bytes of each id.
+
+    A link is a pair of ids, A's in the upper half of 64 bits.  Inside a group two
+    tokens overlap in one piece, and either side's ends delimit the pieces.
     """
-    a_at: dict[int, int] = {}
-    b_at: dict[int, int] = {}
-    for ids, sizes, at in ((a, a_size, a_at), (b, b_size, b_at)):
-        end = 0
-        for i, t in enumerate(ids, 1):
-            end += sizes[t]
-            at[end] = i
-    cuts, links = [], []
-    i = j = 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        x, y = a_at[end], b_at[end]
-        cuts.append((x, y))
-        if x == i + 1:
-            links += [(a[i], t) for t in b[j:y]]
-        elif y == j + 1:
-            links += [(t, b[j]) for t in a[i:x]]
-        else:  # walk the slice: the token that ends first makes room for the next
-            left, right = a_size[a[i]], b_size[b[j]]
-            while i < x and j < y:
-                links.append((a[i], b[j]))
-                step = min(left, right)
-                left, right = left - step, right - step
-                if not left:
-                    i += 1
-                    left = a_size[a[i]] if i < x else 0
-                if not right:
-                    j += 1
-                    right = b_size[b[j]] if j < y else 0
-        i, j = x, y
-    return cuts, links
+    a_ends, b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+    a_index = dict(zip(a_ends.tolist(), range(1, len(a) + 1)))
+    b_index = dict(zip(b_ends.tolist(), range(1, len(b) + 1)))
+    common = sorted(a_index.keys() & b_index.keys())
+    pieces = np.union1d(a_ends, b_ends)
+    links = a[np.searchsorted(a_ends, pieces)] << 32 | b[np.searchsorted(b_ends, pieces)]
+    return Alignment(np.array(common, np.int64), np.array([a_index[e] for e in common], np.int64), np.array([b_index[e] for e in common], np.int64), links, pieces)
+
+
+def shown_groups(a: list[str], b: list[str], found: Alignment) -> list[str]:
+    """``a1,a2|b1`` for every group."""
+    x, y = found.a_at.tolist(), found.b_at.tolist()
+    return [f"{a[i]}|{b[j]}" if k - i == m - j == 1 else ",".join(a[i:k]) + "|" + ",".join(b[j:m]) for i, k, j, m in zip([0, *x], x, [0, *y], y)]
 
 
 class Aligner:
@@ -105,7 +100,7 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.a_shown, self.b_shown = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
-        self.a_size, self.b_size = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         # texts may be cut into units only if no token reaches from one into the next
         parts = json.loads(a_json)
         plain = parts.get("normalizer") is None and parts.get("pre_tokenizer", {}).get("type") == "ByteLevel"
@@ -119,29 +114,43 @@ class Aligner:
             return a, self.b.encode(raw[1:], num_threads=1)
         return a, self.b.encode(raw, num_threads=1)[1:]  # the blank that the model puts in front joins no line feed
 
-    def encode_units(self, raws: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of many units, encoded in one text; None for a unit that either side doesn't give back byte by byte."""
-        whole = " x" + "".join(raws)
-        a, b = self.encode(whole)
-        data = whole.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-            return [self._checked(r) for r in raws]
-        ends = np.cumsum([2, *[len(r.encode()) for r in raws]])
-        sides = []
-        for ids, sizes in ((a, self.a_size), (b, self.b_size)):
-            own = np.cumsum(np.fromiter((sizes[i] for i in ids), np.int64, len(ids)))
-            at = np.searchsorted(own, ends)
-            if not (own[at] == ends).all():
-                return [self._checked(r) for r in raws]
-            sides.append((ids, (at + 1).tolist()))
-        (a, a_at), (b, b_at) = sides
-        return [(a[a_at[k] : a_at[k + 1]], b[b_at[k] : b_at[k + 1]]) for k in range(len(raws))]
-
-    def _checked(self, raw: str) -> tuple[list[int], list[int]] | None:
+    def checked(self, raw: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides, or None if either doesn't give the text back byte by byte."""
         a, b = self.encode(raw)
         data = raw.encode()
         return (a, b) if b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b]) else None
 
+    def aligned(self, raws: list[str]) -> Iterator[tuple[str | None, int, int, int, np.ndarray]]:
+        """(groups, tokens of A, of B, number of groups, links) of units that may be encoded in one text, in order; groups are None for a unit that doesn't survive."""
+        ids = self.checked(" x" + "".join(raws)) if raws else None
+        if ids is None:
+            for raw in raws:
+                yield self.aligned_unit(raw)
+            return
+        a, b = (np.array(side, np.int64) for side in ids)
+        found = align(a, b, self.a_size, self.b_size)
+        shown = shown_groups([self.a_shown[i] for i in ids[0]], [self.b_shown[i] for i in ids[1]], found)
+        ends = np.cumsum([2, *[len(r.encode()) for r in raws]])
+        groups = np.searchsorted(found.ends, ends, "right")
+        if not (found.ends[groups - 1] == ends).all():  # a token reaches from a unit into the next
+            for raw in raws:
+                yield self.aligned_unit(raw)
+            return
+        links = np.searchsorted(found.link_ends, ends, "right").tolist()
+        n_a, n_b = np.diff(found.a_at[groups - 1]).tolist(), np.diff(found.b_at[groups - 1]).tolist()
+        groups = groups.tolist()
+        for k in range(len(raws)):
+            yield ";".join(shown[groups[k] : groups[k + 1]]), n_a[k], n_b[k], groups[k + 1] - groups[k], found.links[links[k] : links[k + 1]]
+
+    def aligned_unit(self, raw: str) -> tuple[str | None, int, int, int, np.ndarray]:
+        """The same of a unit that is encoded alone."""
+        ids = self.checked(raw)
+        if ids is None:
+            return None, 0, 0, 0, np.zeros(0, np.int64)
+        a, b = (np.array(side, np.int64) for side in ids)
+        found = align(a, b, self.a_size, self.b_size)
+        return ";".join(shown_groups([self.a_shown[i] for i in ids[0]], [self.b_shown[i] for i in ids[1]], found)), len(a), len(b), len(found.ends), found.links
+
 
 @lru_cache(maxsize=2)
 def _aligner(a_json: str, b_proto: bytes) -> Aligner:
@@ -187,38 +196,25 @@ class Block:
         self.units, self.units_at = array("i"), array("q", [0])
 
     def _learn(self, units: list[str]) -> None:
+        """Align new units: sure ones many in a call, others alone."""
         begin = size = 0
-        raws = [raw_unit(u) for u in units]
-        for i, raw in enumerate(raws):
-            size += len(raw)
-            if size >= ENCODE_BYTES or i == len(raws) - 1:
-                # units that may end in white space stand alone; so does one that fills a call
-                part = raws[begin : i + 1]
-                glued = [_SAFE.fullmatch(u) is None for u in units[begin : i + 1]]
-                found = iter(self.aligner.encode_units([r for r, g in zip(part, glued) if not g]))
-                for unit, raw_text, g in zip(units[begin : i + 1], part, glued):
-                    self._keep(unit, self.aligner._checked(raw_text) if g else next(found))
+        sure = [u for u in units if _SAFE.fullmatch(u)]
+        for i, unit in enumerate(sure):
+            size += len(unit)
+            if size >= ENCODE_BYTES or i == len(sure) - 1:
+                part = sure[begin : i + 1]
+                for u, found in zip(part, self.aligner.aligned([raw_unit(u) for u in part])):
+                    self._keep(u, *found)
                 begin, size = i + 1, 0
+        for unit in units:
+            if unit not in self.codes:
+                self._keep(unit, *self.aligner.aligned_unit(raw_unit(unit)))
 
-    def _keep(self, unit: str, pair: tuple[list[int], list[int]] | None) -> None:
+    def _keep(self, unit: str, shown: str | None, n_a: int, n_b: int, n_groups: int, links: np.ndarray) -> None:
         self.codes[unit] = len(self.texts)
-        if pair is None:
-            self.texts.append(None)
-            self.n.extend((0, 0, 0))
-        else:
-            a, b = pair
-            cuts, links = align(a, b, self.aligner.a_size, self.aligner.b_size)
-            i = j = 0
-            shown, left, right = [], self.aligner.a_shown, self.aligner.b_shown
-            for x, y in cuts:
-                if x - i == y - j == 1:
-                    shown.append(f"{left[a[i]]}|{right[b[j]]}")
-                else:
-                    shown.append(",".join([left[t] for t in a[i:x]]) + "|" + ",".join([right[t] for t in b[j:y]]))
-                i, j = x, y
-            self.texts.append(";".join(shown))
-            self.n.extend((len(a), len(b), len(cuts)))
-            self.links.extend([p << 32 | q for p, q in links])
+        self.texts.append(shown)
+        self.n.extend((n_a, n_b, n_groups))
+        self.links.frombytes(links.tobytes())
         self.links_at.append(len(self.links))
 
     def add(self, ids: list[int | None], raws: list[bytes | None]) -> None:
@@ -261,11 +257,8 @@ class Block:
         often = np.bincount(units, minlength=len(per_unit))
         pairs, place = np.unique(links, return_inverse=True)
         counts = np.bincount(place, np.repeat(often, per_unit), len(pairs)).astype(np.int64)
-        totals = np.zeros((len(units) + 1, 4), np.int64)
-        np.cumsum(np.column_stack([n, per_unit])[units], axis=0, out=totals[1:])
-        sums = totals[at[1:]] - totals[at[:-1]]
         docs = {"doc_id": pa.array(self.ids, pa.int64()), "groups": pa.array(self.groups, pa.large_string()), "units": pa.LargeListArray.from_arrays(at, units)}
-        docs |= {c: pa.array(sums[:, i]) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+        docs |= {c: pa.array(_sums(values[units], at)) for c, values in zip(("n_a", "n_b", "n_groups", "n_links"), (n[:, 0], n[:, 1], n[:, 2], per_unit))}
         linked = {"places": pa.LargeListArray.from_arrays(links_at, place.astype(np.int32))}
         used = np.flatnonzero(counts)
         told = pa.StructArray.from_arrays([pa.array(used.astype(np.int32)), pa.array(pairs[used]), pa.array(counts[used])], names=["place", "pair", "n"])
@@ -349,24 +342,24 @@ def aligned_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 table, links = _unpacked(row["docs"].as_py()), _unpacked(row["linked"].as_py())
                 place, links_at = _lists(links.column("places"))
                 found = row["counts"].values
-                values = np.zeros((1 + (int(place.max()) if len(place) else 0), 2), np.int64)
-                if found is not None and len(found):
-                    at = found.field("place").to_numpy()
-                    values[at, 0], values[at, 1] = found.field("total").to_numpy(), found.field("best").to_numpy(zero_copy_only=False)
-                per_unit = _sums(values[place], links_at)
                 units, at = _lists(table.column("units"))
-                sums = _sums(per_unit[units], at)
+                sums = []
+                for field in ("best", "total"):
+                    values = np.zeros(1 + (int(place.max()) if len(place) else 0), np.int64)
+                    if found is not None and len(found):
+                        values[found.field("place").to_numpy()] = found.field(field).to_numpy(zero_copy_only=False)
+                    sums.append(_sums(_sums(values[place], links_at)[units], at))
                 for begin in range(0, len(table), 2048):
                     part = table.slice(begin, 2048).combine_chunks()
-                    own = sums[begin : begin + 2048]
-                    arrays = [part.column(c).combine_chunks() for c in names[:5]] + [pa.array(own[:, 1]), pa.array(own[:, 0]), part.column("groups").cast(pa.string()).combine_chunks()]
+                    own = [pa.array(x[begin : begin + 2048]) for x in sums]
+                    arrays = [part.column(c).combine_chunks() for c in names[:5]] + [*own, part.column("groups").cast(pa.string()).combine_chunks()]
                     yield pa.RecordBatch.from_arrays([a.chunk(0) if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=names)
 
     return both.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of rows between offsets, of empty ranges too."""
-    upto = np.zeros((len(values) + 1, values.shape[1]), np.int64)
-    np.cumsum(values, axis=0, out=upto[1:])
+    """Sums between offsets, of empty ranges too."""
+    upto = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=upto[1:])
     return upto[at[1:]] - upto[at[:-1]]
