@@ -80,3 +80,50 @@ def test_combined_score_of_constant_scores(spark):
     a = spark.createDataFrame([(0, 1, 2.0), (0, 2, 2.0)], "tw int, node long, score double")
     b = spark.createDataFrame([(0, 1, 1.0), (0, 2, 3.0)], "tw int, node long, score double")
     assert {r["node"]: r["score"] for r in trace.combined_score(a, b).collect()} == {1: 0.0, 2: 1.0}
+
+
+def epochs(spark, n=400):
+    rng = random.Random(11)
+    rows = [(e, i, round(rng.random() * (e + 1), 2), int(rng.random() < 0.3), rng.randrange(4)) for e in range(3) for i in range(n)]
+    return spark.createDataFrame(rows, "model_epoch int, node long, score double, y_true int, tw_with_max_loss int").repartition(5)
+
+
+def test_every_measure_by_epoch_is_that_of_the_epoch_alone(spark):
+    every = epochs(spark)
+    limits = spark.createDataFrame([(0, 0.4), (1, 1.0), (2, 1.5)], "model_epoch int, threshold double")
+    bad = spark.createDataFrame([(1,), (3,)], "tw int")
+    by = ["model_epoch"]
+
+    def rows(df):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in (r[c] for c in sorted(df.columns) if c != "model_epoch")) for r in df.collect()), key=str)
+
+    for e in range(3):
+        own, limit = every.where(f"model_epoch = {e}").drop("model_epoch"), limits.where(f"model_epoch = {e}").drop("model_epoch")
+        labelled, labelled_by = detect.label_by_threshold(own, limit), detect.label_by_threshold(every, limits, by)
+        pairs = [
+            (labelled, labelled_by),
+            (detect.label_by_kmeans(own), detect.label_by_kmeans(every, by=by)),
+            (detect.score_curve(own), detect.score_curve(every, by)),
+            (detect.ranking_metrics(own), detect.ranking_metrics(every, by)),
+            (detect.best_threshold(own), detect.best_threshold(every, by=by)),
+            (detect.dor_curve(own, 50), detect.dor_curve(every, 50, by)),
+            (detect.top_nodes(own, 4), detect.top_nodes(every, 4, by)),
+            (detect.fp_window_ratio(labelled, bad), detect.fp_window_ratio(labelled_by, bad, by)),
+        ]
+        for alone, together in pairs:
+            assert rows(alone) == rows(together.where(f"model_epoch = {e}"))
+    assert detect.label_by_threshold(every, limits, by).count() == every.count()
+    assert {r["model_epoch"] for r in detect.evaluate_epochs(every, limits).collect()} == {0, 1, 2}
+
+
+def test_curve_thresholds_by_search_not_by_a_range_join(spark):
+    df = epochs(spark)
+    plan = detect.dor_curve(df, 300, ["model_epoch"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    rows = [r.asDict() for r in df.where("model_epoch = 1").collect()]
+    lo, hi = min(r["score"] for r in rows), max(r["score"] for r in rows)
+    got = sorted((r["threshold"], r["recall"]) for r in detect.dor_curve(df.where("model_epoch = 1"), 7).collect())
+    p = sum(r["y_true"] for r in rows)
+    for i, (t, recall) in enumerate(got):
+        assert abs(t - (lo + i * (hi - lo) / 6)) < 1e-9 and abs(recall - sum(r["y_true"] for r in rows if r["score"] >= t) / p) < 1e-12
+    assert detect.dor_curve(df.where("false"), 7).count() == 0

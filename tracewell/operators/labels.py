@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import EASTERN, text_nanos_to_ns, text_to_ns
+from .intervals import points_in_intervals
 
 
 #: Attacks that are broadcast.
 FEW = 1000
-HOUR = 3_600_000_000_000
 
 
 def resolve_ground_truth(truth: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,14 +32,12 @@ def attack_windows_ns(attacks: DataFrame, tz: str = EASTERN) -> DataFrame:
 def events_in_attacks(events: DataFrame, attacks: DataFrame) -> DataFrame:
     """Events with every attack whose interval, ends included, holds their time.
 
-    Few attacks are broadcast; more are spread over the hours that they touch
-    and joined by the hour.
+    Few attacks are broadcast; more are joined by the buckets that cover them.
     """
     inside = F.col("timestamp_rec").between(F.col("start_ns"), F.col("end_ns"))
     if attacks.limit(FEW + 1).count() <= FEW:
         return events.join(F.broadcast(attacks), inside)
-    spread = attacks.withColumn("__hour", F.explode(F.sequence(F.floor(F.col("start_ns") / HOUR), F.floor(F.col("end_ns") / HOUR))))
-    return events.withColumn("__hour", F.floor(F.col("timestamp_rec") / HOUR)).join(spread, "__hour").where(inside).drop("__hour")
+    return points_in_intervals(events, attacks, "timestamp_rec", "start_ns", "end_ns")
 
 
 def malicious_times(events: DataFrame, attacks: DataFrame, truth: DataFrame) -> DataFrame:
@@ -55,21 +53,15 @@ def declared_bounds(names: DataFrame, tz: str = EASTERN) -> DataFrame:
     return names.select("tw", part(0).alias("start"), part(1).alias("end"))
 
 
-def window_labels(malicious: DataFrame, bounds: DataFrame, bucket: int = 900_000_000_000) -> DataFrame:
-    """(tw, node, n): malicious times strictly inside each window.
-
-    Windows are spread over the time buckets that they touch, so the interval
-    join is an equi-join on the bucket with a filter.
-    """
-    spread = bounds.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    times = malicious.withColumn("bucket", F.floor(F.col("time") / bucket))
-    hits = times.join(spread, "bucket").where((F.col("start") < F.col("time")) & (F.col("time") < F.col("end")))
-    return hits.groupBy("tw", "node").agg(F.count("*").alias("n"))
+def window_labels(malicious: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(tw, node, n): malicious times strictly inside each window; windows may have any length."""
+    hits = points_in_intervals(malicious.select("time", "node"), bounds.select("tw", "start", "end"), "time", "start", "end")
+    return hits.where((F.col("start") < F.col("time")) & (F.col("time") < F.col("end"))).groupBy("tw", "node").agg(F.count("*").alias("n"))
 
 
-def label_coverage(malicious: DataFrame, bounds: DataFrame, bucket: int = 900_000_000_000) -> DataFrame:
+def label_coverage(malicious: DataFrame, bounds: DataFrame) -> DataFrame:
     """(hits, times): pairs of a distinct malicious time and a window that holds it, and distinct times."""
     times = malicious.select("time").distinct()
-    spread = bounds.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    hits = times.withColumn("bucket", F.floor(F.col("time") / bucket)).join(spread, "bucket").where((F.col("start") < F.col("time")) & (F.col("time") < F.col("end")))
+    hits = points_in_intervals(times, bounds.select("tw", "start", "end"), "time", "start", "end")
+    hits = hits.where((F.col("start") < F.col("time")) & (F.col("time") < F.col("end")))
     return hits.agg(F.count("*").alias("hits")).crossJoin(times.agg(F.count("*").alias("times")))

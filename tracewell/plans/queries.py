@@ -673,6 +673,77 @@ def best_model_epoch(fx):
     return detect.best_epoch(stats.select("model_epoch", F.round("mcc", 9).alias("mcc")))
 
 
+#: The labelled documents under five epochs of a model; an epoch's scores are the documents' by their place in it.
+_EPOCHS = """
+ex AS (SELECT CAST(e AS INTEGER) AS model_epoch, node, score / (1 + (node * (e + 1)) % 5) AS score, y_true, tw_with_max_loss FROM sc, (SELECT unnest(range(5)) AS e)),
+el AS (SELECT model_epoch, avg(score) AS threshold FROM ex GROUP BY model_epoch),
+eh AS (SELECT x.*, CASE WHEN x.score > l.threshold THEN 1 ELSE 0 END AS y_hat FROM ex x JOIN el l USING (model_epoch)),
+eg AS (SELECT model_epoch, score, sum(y_true) AS pos, sum(1 - y_true) AS neg FROM ex GROUP BY ALL),
+ec AS (
+  SELECT model_epoch, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model_epoch) AS p, sum(neg) OVER (PARTITION BY model_epoch) AS n
+  FROM eg WINDOW w AS (PARTITION BY model_epoch ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+def _epoch_results(fx: Fixture) -> DataFrame:
+    e = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("model_epoch")
+    d = fx.doc_scores.select("*", e)
+    return d.withColumn("score", F.col("score") / (1 + F.col("node") * (F.col("model_epoch") + 1) % 5)).drop("y_hat")
+
+
+def _epoch_limits(results: DataFrame) -> DataFrame:
+    return results.groupBy("model_epoch").agg(F.avg("score").alias("threshold"))
+
+
+@query(f"WITH {_DOCS}, {_EPOCHS}, cc AS (SELECT model_epoch, sum(CASE WHEN y_true = 1 AND y_hat = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y_true = 0 AND y_hat = 1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y_true = 0 AND y_hat = 0 THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN y_true = 1 AND y_hat = 0 THEN 1 ELSE 0 END) AS fn FROM eh GROUP BY model_epoch), rk AS (SELECT model_epoch, sum(neg * (2 * tp - pos) / 2.0) / (max(p) * max(n)) AS auc, sum(pos * tp / (tp + fp)) / max(p) AS ap FROM ec GROUP BY model_epoch) SELECT model_epoch, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn, round((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 9) AS mcc, round(auc, 9) AS auc, round(ap, 9) AS ap FROM cc JOIN rk USING (model_epoch)")
+def epoch_evaluation(fx):
+    """Counts and measures of five epochs, each with a threshold of its own, in one pass."""
+    r = _epoch_results(fx)
+    m = detect.evaluate_epochs(r, _epoch_limits(r))
+    return m.select("model_epoch", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("mcc", "auc", "ap")])
+
+
+@query(f"WITH {_DOCS}, {_EPOCHS} SELECT model_epoch, round(score, 9) AS score, round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall FROM ec")
+def epoch_precision_recall(fx):
+    """Precision and recall at every score of five epochs."""
+    c = detect.pr_curve(_epoch_results(fx), ["model_epoch"])
+    return c.select("model_epoch", *[F.round(x, 9).alias(x) for x in ("score", "precision", "recall")])
+
+
+@query(f"WITH {_DOCS}, {_EPOCHS} SELECT model_epoch, threshold, tpr, fpr FROM (SELECT model_epoch, round(score, 9) AS threshold, round(tp / p, 9) AS tpr, round(fp / n, 9) AS fpr, row_number() OVER (PARTITION BY model_epoch ORDER BY fp / n, score DESC) AS r FROM ec WHERE tp / p >= 0.16) WHERE r = 1")
+def epoch_thresholds(fx):
+    """Best threshold of each epoch."""
+    b = detect.best_threshold(_epoch_results(fx), by=["model_epoch"])
+    return b.select("model_epoch", *[F.round(c, 9).alias(c) for c in ("threshold", "tpr", "fpr")])
+
+
+@query(f"WITH {_DOCS}, {_EPOCHS}, bd AS (SELECT model_epoch, min(score) AS lo, max(score) AS hi, sum(y_true) AS p, sum(1 - y_true) AS n FROM ex GROUP BY model_epoch), ti AS (SELECT model_epoch, i, CASE WHEN i = 39 THEN hi ELSE lo + i * ((hi - lo) / 39) END AS threshold, p, n FROM bd, (SELECT unnest(range(0, 40)) AS i)), ab AS (SELECT t.model_epoch, i, threshold, max(t.p) AS p, max(t.n) AS n, sum(y_true) AS tp, sum(1 - y_true) AS fp FROM ti t JOIN ex x ON x.model_epoch = t.model_epoch AND x.score >= t.threshold GROUP BY ALL) SELECT model_epoch, round(threshold, 9) AS threshold, CASE WHEN fp * (p - tp) <> 0 THEN round(tp * (n - fp) / (fp * (p - tp)), 6) END AS dor, round(tp / p, 9) AS recall FROM ab")
+def epoch_odds_curves(fx):
+    """Odds ratio and recall over 40 thresholds of each epoch."""
+    c = detect.dor_curve(_epoch_results(fx), 40, ["model_epoch"])
+    return c.select("model_epoch", F.round("threshold", 9).alias("threshold"), F.round("dor", 6).alias("dor"), F.round("recall", 9).alias("recall"))
+
+
+@query(f"WITH {_DOCS}, {_EPOCHS}, best AS (SELECT * FROM (SELECT model_epoch, node, score, row_number() OVER (PARTITION BY model_epoch ORDER BY score DESC, node DESC) AS r FROM ex) WHERE r <= 20), nu AS (SELECT model_epoch, node, row_number() OVER w AS i, sum(score) OVER w AS s1, sum(score * score) OVER w AS q1, count(*) OVER a AS n, sum(score) OVER a AS st, sum(score * score) OVER a AS qt FROM best WINDOW w AS (PARTITION BY model_epoch ORDER BY score, node ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY model_epoch)), er AS (SELECT *, round((q1 - s1 * s1 / i) + (qt - q1 - (st - s1) * (st - s1) / (n - i)), 9) AS err FROM nu WHERE i < n), ct AS (SELECT model_epoch, i FROM (SELECT *, row_number() OVER (PARTITION BY model_epoch ORDER BY err, i) AS r FROM er) WHERE r = 1) SELECT n.model_epoch, n.node FROM nu n JOIN ct c ON n.model_epoch = c.model_epoch AND n.i > c.i")
+def epoch_kmeans_alerts(fx):
+    """Of the twenty best scores of each epoch the higher of two clusters."""
+    return detect.label_by_kmeans(_epoch_results(fx), by=["model_epoch"]).where("y_hat = 1").select("model_epoch", "node")
+
+
+@query(f"WITH {_DOCS}, {_EPOCHS}, tn AS (SELECT model_epoch, node, y_true, CAST(row_number() OVER (PARTITION BY model_epoch, y_true ORDER BY score DESC, node) AS INTEGER) AS place FROM ex) SELECT model_epoch, node, y_true, place FROM tn WHERE place <= 3")
+def epoch_best_nodes(fx):
+    """Three best nodes of either label of each epoch."""
+    return detect.top_nodes(_epoch_results(fx), 3, ["model_epoch"]).select("model_epoch", "node", "y_true", "place")
+
+
+@query(f"WITH {_DOCS}, {_EPOCHS} SELECT model_epoch, round(avg(CASE WHEN tw_with_max_loss IN (1, 3) THEN 1.0 ELSE 0.0 END), 9) AS ratio FROM eh WHERE y_true = 0 AND y_hat = 1 GROUP BY model_epoch")
+def epoch_false_positive_windows(fx):
+    """Share of each epoch's false positives that peak in a malicious window."""
+    r = _epoch_results(fx)
+    bad = r.where("tw_with_max_loss in (1, 3)").select(F.col("tw_with_max_loss").alias("tw")).distinct()
+    ratio = detect.fp_window_ratio(detect.label_by_threshold(r, _epoch_limits(r), ["model_epoch"]), bad, ["model_epoch"])
+    return ratio.select("model_epoch", F.round("ratio", 9).alias("ratio"))
+
+
 # -- labels -----------------------------------------------------------------
 
 _AT = ", att AS (SELECT * FROM (VALUES ('a1', 1706076000 * 1000000000::BIGINT, 1706207400 * 1000000000::BIGINT), ('a2', 1706313600 * 1000000000::BIGINT, 1706399999 * 1000000000::BIGINT)) v(attack, s, e))"
