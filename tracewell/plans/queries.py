@@ -231,6 +231,46 @@ def cdm_wrapped_nodes(fx):
     return nodes.select("index_id", "node_uuid", "node_type", "path", "cmd", "src_addr", "dst_port")
 
 
+def _with_lines(nodes: DataFrame, subject: DataFrame, file: DataFrame, flow: DataFrame) -> DataFrame:
+    kind = F.when(F.col("node_type") == "subject", subject).when(F.col("node_type") == "file", file).otherwise(flow)
+    return nodes.select(kind.alias("value")).withColumn("file", F.lit("derived")).withColumn("line_id", F.monotonically_increasing_id())
+
+
+@query(raw_sql("SELECT row_number() OVER (ORDER BY index_id) - 1 AS index_id, node_uuid, node_type, CASE node_type WHEN 'subject' THEN '/bin/' || node_uuid WHEN 'file' THEN '/data/' || node_uuid END AS path, CASE node_type WHEN 'subject' THEN node_uuid || ' -x' END AS cmd, CASE node_type WHEN 'netflow' THEN '1.2.3.4' END AS dst_addr FROM nodes WHERE NOT (node_type = 'subject' AND CAST(substr(node_uuid, 2) AS INTEGER) % 3 = 1)"))
+def cdm_theia_e5_nodes(fx):
+    """Nodes of the profile that wraps endpoints and drops subjects without a path."""
+    p = cdm.PREFIX + "20."
+    path = F.when(F.regexp_extract("node_uuid", "[0-9]+$", 0).cast("long") % 3 == 1, F.lit("")).otherwise(F.format_string('"path":"%s"', "path"))
+    subject = F.format_string('{"datum":{"' + p + 'Subject":{"uuid":"%s","cmdLine":{"string":"%s"},"properties":{"map":{%s}}}}}', "node_uuid", "cmd", path)
+    file = F.format_string('{"datum":{"' + p + 'FileObject":{"uuid":"%s","baseObject":{"properties":{"map":{"path":"%s"}}},"type":"FILE_OBJECT_FILE"}}}', "node_uuid", "path")
+    flow = F.format_string('{"datum":{"' + p + 'NetFlowObject":{"uuid":"%s","localAddress":{"string":"%s"},"localPort":{"int":%s},"remoteAddress":{"string":"%s"},"remotePort":{"int":%s}}}}', "node_uuid", "src_addr", "src_port", "dst_addr", "dst_port")
+    nodes, _ = cdm.ingest(_with_lines(fx.nodes, subject, file, flow), cdm.PROFILES["theia_e5"])
+    return nodes.select("index_id", "node_uuid", "node_type", "path", "cmd", "dst_addr")
+
+
+@query(raw_sql("SELECT row_number() OVER (ORDER BY index_id) - 1 AS index_id, node_uuid, node_type, CASE node_type WHEN 'file' THEN '/data/' || node_uuid END AS path, CASE node_type WHEN 'subject' THEN node_uuid || ' -x' END AS cmd, CASE WHEN node_type = 'netflow' THEN '10.0.0.1' END AS src_addr FROM nodes WHERE NOT (node_type = 'file' AND CAST(regexp_extract(node_uuid, '[0-9]+$') AS BIGINT) % 16 = 1)"))
+def cdm_clearscope_e3_nodes(fx):
+    """Nodes of the profile with plain endpoints and subjects known by their command; files without a path are none."""
+    p = cdm.PREFIX + "18."
+    path = F.when(F.regexp_extract("node_uuid", "[0-9]+$", 0).cast("long") % 16 == 1, F.lit("null")).otherwise(F.format_string('{"path":"%s"}', "path"))
+    subject = F.format_string('{"datum":{"' + p + 'Subject":{"uuid":"%s","cmdLine":{"string":"%s"},"properties":{"map":{"path":"%s"}}}}}', "node_uuid", "cmd", "path")
+    file = F.format_string('{"datum":{"' + p + 'FileObject":{"uuid":"%s","baseObject":{"properties":{"map":%s}},"type":"FILE_OBJECT_FILE"}}}', "node_uuid", path)
+    flow = F.format_string('{"datum":{"' + p + 'NetFlowObject":{"uuid":"%s","localAddress":"%s","localPort":%s,"remoteAddress":"","remotePort":0}}}', "node_uuid", "src_addr", "src_port")
+    nodes, _ = cdm.ingest(_with_lines(fx.nodes, subject, file, flow), cdm.PROFILES["clearscope_e3"])
+    return nodes.select("index_id", "node_uuid", "node_type", "path", "cmd", "src_addr")
+
+
+@query(raw_sql("SELECT o.u AS node_uuid, nullif(arg_max(CASE WHEN e._id % 6 = 5 THEN '?' ELSE '/p/' || (e._id % 7) END, lpad(CAST(e.timestamp_rec AS VARCHAR), 20, '0') || e.event_uuid), '?') AS path FROM (SELECT node_uuid AS u FROM nodes WHERE node_type = 'file') o JOIN ev e ON e.object = o.u GROUP BY o.u"))
+def cdm_unknown_paths(fx):
+    """Paths of files from their events; an event whose line says <unknown> gives none."""
+    p = cdm.PREFIX + "18."
+    file = fx.nodes.where("node_type = 'file'").select(F.format_string('{"datum":{"' + p + 'FileObject":{"uuid":"%s","type":"FILE_OBJECT_FILE"}}}', "node_uuid").alias("value"))
+    name = F.when(F.col("_id") % 6 == 5, "<unknown>").otherwise("sh")
+    event = F.format_string('{"datum":{"' + p + 'Event":{"uuid":"%s","type":"%s","subject":{"' + p + 'UUID":"%s"},"predicateObject":{"' + p + 'UUID":"%s"},"predicateObjectPath":{"string":"/p/%s"},"timestampNanos":%s,"properties":{"map":{"exec":"%s"}}}}}', "event_uuid", "operation", "subject", "object", (F.col("_id") % 7).cast("string"), F.col("timestamp_rec").cast("string"), name)
+    lines = file.unionByName(fx.raw_events.select(event.alias("value"))).withColumn("file", F.lit("derived")).withColumn("line_id", F.monotonically_increasing_id())
+    return cdm.file_nodes(cdm.parse_records(lines, cdm.PROFILES["cadets_e3"]), cdm.PROFILES["cadets_e3"]).select(F.col("uuid").alias("node_uuid"), "path")
+
+
 @query(raw_sql("SELECT src AS src_index_id, dst AS dst_index_id, operation, event_uuid, timestamp_rec FROM ed"))
 def stored_event_table(fx):
     """Node and event tables written and read back; here the events."""

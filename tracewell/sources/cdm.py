@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import node_hash
 from ..operators.order import dense_index
@@ -75,40 +76,62 @@ def cdm_kind(value: Column) -> Column:
     return F.element_at(F.split(key, r"\."), -1)
 
 
+def record_schema(profile: Profile) -> T.StructType:
+    """What a profile's records are parsed under: the fields that are read, and no others."""
+
+    def struct(**fields: T.DataType) -> T.StructType:
+        return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+    text = T.StringType()
+    prefix = f"{PREFIX}{profile.version}."
+    uuid = T.StructType([T.StructField(f"{prefix}UUID", text)])
+    address, port = (struct(string=text), struct(int=text)) if profile.wrapped else (text, text)
+    kinds = {
+        "Subject": struct(uuid=text, cmdLine=struct(string=text), properties=struct(map=struct(path=text))),
+        "FileObject": struct(uuid=text, type=text, baseObject=struct(properties=struct(map=struct(**{profile.file_field: text})))),
+        "NetFlowObject": struct(uuid=text, localAddress=address, localPort=port, remoteAddress=address, remotePort=port),
+        "Event": struct(uuid=text, type=text, subject=uuid, predicateObject=uuid, predicateObjectPath=struct(string=text), properties=struct(map=struct(exec=text)), timestampNanos=text),
+    }
+    return struct(datum=T.StructType([T.StructField(prefix + k, v) for k, v in kinds.items()]))
+
+
 def parse_records(raw: DataFrame, profile: Profile) -> DataFrame:
-    """All records in one narrow table, parsed once: kind, uuid and the fields that any kind has."""
-    def field(kind: str, path: str) -> Column:
-        return F.get_json_object("value", f"$.datum['{PREFIX}{profile.version}.{kind}'].{path}")
-
-    def plain(kind: str, path: str, wrap: str) -> Column:
-        return field(kind, f"{path}.{wrap}") if profile.wrapped else field(kind, path)
-
-    uuid = f"['{PREFIX}{profile.version}.UUID']"
-    subject_path = field("Subject", "properties.map.path")
-    if profile.files_from_events:
-        file_path = F.lit(None).cast("string")
-    else:
-        file_path = field("FileObject", f"baseObject.properties.map.{profile.file_field}")
-    kind = cdm_kind(F.col("value"))
-    return raw.select(
+    """All records in one narrow table: kind, uuid and the fields that any kind has; each line is parsed once.
+
+    Lines that aren't JSON, and records of other kinds, have no kind and no fields.
+    """
+    prefix = f"{PREFIX}{profile.version}."
+    parsed = raw.select("file", "line_id", F.from_json("value", record_schema(profile)).alias("j"), F.contains("value", F.lit("<unknown>")).alias("has_unknown"))
+
+    def at(kind: str, *path: str) -> Column:
+        out = F.col("j").getField("datum").getField(prefix + kind)
+        for name in path:
+            out = out.getField(name)
+        return out
+
+    def end(name: str, wrap: str) -> Column:
+        return at("NetFlowObject", name, wrap) if profile.wrapped else at("NetFlowObject", name)
+
+    kinds = ("Subject", "FileObject", "NetFlowObject", "Event")
+    return parsed.select(
         "file",
         "line_id",
-        kind.alias("kind"),
-        F.coalesce(*[field(k, "uuid") for k in ("Subject", "FileObject", "NetFlowObject", "Event")]).alias("uuid"),
-        F.coalesce(field("FileObject", "type"), field("Event", "type")).alias("type"),
-        subject_path.alias("subject_path"),
-        field("Subject", "cmdLine.string").alias("cmd"),
-        file_path.alias("file_path"),
-        plain("NetFlowObject", "localAddress", "string").alias("src_addr"),
-        plain("NetFlowObject", "localPort", "int").alias("src_port"),
-        plain("NetFlowObject", "remoteAddress", "string").alias("dst_addr"),
-        plain("NetFlowObject", "remotePort", "int").alias("dst_port"),
-        field("Event", f"subject{uuid}").alias("subject"),
-        field("Event", f"predicateObject{uuid}").alias("object"),
-        field("Event", "predicateObjectPath.string").alias("object_path"),
-        field("Event", "properties.map.exec").alias("exec"),
-        field("Event", "timestampNanos").cast("long").alias("timestamp_rec"),
-        F.contains("value", F.lit("<unknown>")).alias("has_unknown"),
+        F.coalesce(*[F.when(at(k).isNotNull(), k) for k in kinds]).alias("kind"),
+        F.coalesce(*[at(k, "uuid") for k in kinds]).alias("uuid"),
+        F.coalesce(at("FileObject", "type"), at("Event", "type")).alias("type"),
+        at("Subject", "properties", "map", "path").alias("subject_path"),
+        at("Subject", "cmdLine", "string").alias("cmd"),
+        (F.lit(None).cast("string") if profile.files_from_events else at("FileObject", "baseObject", "properties", "map", profile.file_field)).alias("file_path"),
+        end("localAddress", "string").alias("src_addr"),
+        end("localPort", "int").alias("src_port"),
+        end("remoteAddress", "string").alias("dst_addr"),
+        end("remotePort", "int").alias("dst_port"),
+        at("Event", "subject", f"{prefix}UUID").alias("subject"),
+        at("Event", "predicateObject", f"{prefix}UUID").alias("object"),
+        at("Event", "predicateObjectPath", "string").alias("object_path"),
+        at("Event", "properties", "map", "exec").alias("exec"),
+        at("Event", "timestampNanos").cast("long").alias("timestamp_rec"),
+        "has_unknown",
     )
 
 
