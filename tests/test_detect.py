@@ -1,6 +1,7 @@
 """Detection measures against the published rows and plain versions."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -127,3 +128,42 @@ def test_curve_thresholds_by_search_not_by_a_range_join(spark):
     for i, (t, recall) in enumerate(got):
         assert abs(t - (lo + i * (hi - lo) / 6)) < 1e-9 and abs(recall - sum(r["y_true"] for r in rows if r["score"] >= t) / p) < 1e-12
     assert detect.dor_curve(df.where("false"), 7).count() == 0
+
+
+def classified(spark, n=600):
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        x = [rng.random(), rng.random(), 1.0 if rng.random() < 0.5 else 0.0]
+        rows.append((i, rng.choices(("EVENT_READ", "EVENT_WRITE", "EVENT_CONNECT"), (1 + 4 * x[0], 1 + 3 * x[2], 1))[0], x))
+    return spark.createDataFrame(rows, "id long, operation string, features array<double>")
+
+
+def test_the_fitted_classifier_is_where_the_likelihood_is_flat(spark):
+    df = classified(spark)
+    model = scoring.fit_edge_classifier(df, max_iter=300, reg=0.0)
+    own = scoring.coefficients(model)
+    seen = ("EVENT_READ", "EVENT_WRITE", "EVENT_CONNECT")
+    rows = df.collect()
+    slope = {r: [0.0] * 4 for r in seen}
+    total = 0.0
+    for row in rows:
+        x = [*row["features"], 1.0]
+        z = {r: own[r][0] + sum(w * v for w, v in zip(own[r][1], row["features"])) for r in seen}
+        top = sum(math.exp(v) for v in z.values())
+        total -= z[row["operation"]] - math.log(top)
+        for r in seen:
+            miss = math.exp(z[r]) / top - (r == row["operation"])
+            for i in range(4):
+                slope[r][i] += miss * x[i] / len(rows)
+    assert max(abs(v) for s in slope.values() for v in s) < 2e-3
+    fitted = scoring.score_edges(model, df).agg(F.avg("loss")).first()[0]
+    assert fitted == pytest.approx(total / len(rows), abs=1e-6)
+    again = scoring.score_edges_with({r: own[r] for r in seen}, df).agg(F.avg("loss")).first()[0]
+    assert again == pytest.approx(fitted, abs=1e-6)
+
+
+def test_a_relation_without_coefficients_is_least_likely(spark):
+    df = spark.createDataFrame([("EVENT_OPEN", [1.0]), ("EVENT_READ", [900.0])], "operation string, features array<double>")
+    got = [r["loss"] for r in scoring.score_edges_with({"EVENT_READ": (0.0, [1.0]), "EVENT_WRITE": (0.0, [-1.0])}, df).collect()]
+    assert got == [pytest.approx(-math.log(1e-12)), pytest.approx(0.0)]

@@ -43,6 +43,26 @@ def score_edges(model, edges: DataFrame) -> DataFrame:
     return scored.withColumn("loss", -F.log(F.greatest("__p", F.lit(1e-12)))).select(*edges.columns, "loss")
 
 
+def coefficients(model) -> dict[str, tuple[float, list[float]]]:
+    """Intercept and weights of each relation of a fitted classifier; relations that it never saw are left out."""
+    weights, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    return {name: (float(intercepts[i]), weights[i].tolist()) for i, name in enumerate(RELATIONS[: len(intercepts)])}
+
+
+def score_edges_with(given: dict[str, tuple[float, list[float]]], edges: DataFrame) -> DataFrame:
+    """``loss`` = -ln softmax of the edge's relation, from intercepts and weights of relations; the table's own expressions, no model is run.
+
+    A relation without coefficients has the least probability.
+    """
+    x = F.col("features").cast("array<double>")
+    logits = F.array(*[F.lit(b) + F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in w]), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v) for b, w in given.values()])
+    scored = edges.withColumn("__z", logits).withColumn("__top", F.array_max("__z"))
+    total = F.aggregate("__z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("__top")))
+    own = F.try_element_at("__z", F.nullif(F.array_position(F.array(*[F.lit(r) for r in given]), F.col("operation")).cast("int"), F.lit(0)))
+    loss = F.log(total) + F.col("__top") - own
+    return scored.withColumn("loss", F.coalesce(F.least(loss, -F.log(F.lit(1e-12))), -F.log(F.lit(1e-12)))).select(*edges.columns, "loss")
+
+
 def score_with(fn: Callable[[pd.DataFrame], pd.Series], edges: DataFrame) -> DataFrame:
     """``loss`` by a function of the caller, over batches of edges."""
 

@@ -12,7 +12,8 @@ from ..functions import text as X
 from ..functions import times as T
 from ..operators import detect, features, graphs, labels, scoring, trace
 from ..operators.order import dense_index
-from ..operators.store import shared_dir
+from .. import streaming
+from ..operators.store import cut, shared_dir
 from ..sources import cdm, tables
 from . import fixtures
 from .fixtures import Fixture
@@ -560,6 +561,19 @@ def neighbor_snapshots(fx):
     return features.neighbor_snapshot(_numbered(fx), 20)
 
 
+@query(win_sql(_NB + " SELECT node, nbr, e_id FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY e_id DESC, nbr) AS r FROM nn) WHERE r <= 20"))
+def streamed_neighbors(fx):
+    """The same as the state of a stream over files of edges, stopped half way and begun again from its checkpoint."""
+    source, path, checkpoint = (_folder(fx, n) for n in ("edges", "updates", "checkpoint"))
+    e = dense_index(fx.edges.select("src", "dst", "tw", "time", "event_uuid"), ["tw", "time", "event_uuid"], "e_id")
+    e = cut(e.select("src", "dst", "e_id", F.timestamp_micros((F.col("time") / 1000).cast("long")).alias("ts")))
+    for part in (0, 1):
+        e.where(F.col("e_id") % 2 == part).repartition(2).write.mode("append").parquet(source)
+        files = fx.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        streaming.keep_latest(streaming.stream_last_neighbors(files, 20, "40 days"), path, checkpoint)
+    return streaming.latest_state(fx.spark, path)
+
+
 @query(win_sql(_NB + ", nb AS (SELECT DISTINCT node, batch FROM nn), j AS (SELECT b.node, b.batch, n.nbr, row_number() OVER (PARTITION BY b.node, b.batch ORDER BY n.e_id DESC, n.nbr) AS r FROM nb b JOIN nn n ON n.node = b.node AND n.batch < b.batch) SELECT node, batch, [round(avg(nbr), 6), round(avg(nbr * 2.0), 6)] AS vector FROM j WHERE r <= 5 GROUP BY node, batch"))
 def neighbor_means(fx):
     """Mean vector of the five last neighbours as of each batch."""
@@ -587,6 +601,15 @@ def edge_classifier(fx):
     return scoring.score_edges(model, e.where("split = 'test'")).select("event_uuid", F.round("loss", 6).alias("loss"))
 
 
+@query(win_sql(", wt AS (SELECT r, f, ((r * 7 + f * 3) % 5 - 2) / 4.0 AS w FROM (SELECT unnest(range(10)) AS r), (SELECT unnest(range(6)) AS f)), te AS (SELECT event_uuid, operation, CASE src_type WHEN 'subject' THEN 0 WHEN 'file' THEN 1 ELSE 2 END AS s, CASE dst_type WHEN 'subject' THEN 3 WHEN 'file' THEN 4 ELSE 5 END AS d FROM typed WHERE split = 'test'), lg AS (SELECT t.event_uuid, t.operation, a.r, a.r / 10.0 + a.w + b.w AS z FROM te t JOIN wt a ON a.f = t.s JOIN wt b ON b.f = t.d AND b.r = a.r) SELECT event_uuid, round(ln(sum(exp(z))) - max(CASE WHEN r = CASE operation WHEN 'EVENT_OPEN' THEN 2 WHEN 'EVENT_READ' THEN 3 WHEN 'EVENT_SENDTO' THEN 7 WHEN 'EVENT_WRITE' THEN 8 END THEN z END), 9) AS loss FROM lg GROUP BY event_uuid"))
+def given_classifier(fx):
+    """Losses of a multinomial classifier with given coefficients on end types."""
+    f = F.concat(features.one_hot(F.col("src_type"), cdm.NODE_TYPES), features.one_hot(F.col("dst_type"), cdm.NODE_TYPES))
+    e = fx.typed_edges.where("split = 'test'").withColumn("features", f).select("event_uuid", "operation", "features")
+    given = {name: (r / 10, [((r * 7 + i * 3) % 5 - 2) / 4 for i in range(6)]) for r, name in enumerate(cdm.RELATIONS)}
+    return scoring.score_edges_with(given, e).select("event_uuid", F.round("loss", 9).alias("loss"))
+
+
 @query(win_sql("SELECT event_uuid, round(loss * 2 + 1, 9) AS loss FROM typed WHERE split = 'test'"))
 def user_model(fx):
     """Losses by a function of the caller."""

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.cdm import Profile, parse_records, filter_relations
 
 
 def stream_cdm(spark: SparkSession, path: str, glob: str = "*json*", files_per_trigger: int = 100) -> DataFrame:
-    """(value, file, line_id) of log files as they appear under the path."""
+    """(value, file, line_id) of log files as they appear under the path; line ids are null, as a stream's lines have no numbers."""
     lines = spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return lines.select("value", F.lit("").alias("file"), F.lit(0).cast("long").alias("line_id"))
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.lit(None).cast("long").alias("line_id"))
 
 
 def stream_events(lines: DataFrame, profile: Profile, late: str = "10 minutes") -> DataFrame:
@@ -26,3 +30,70 @@ def stream_window_counts(events: DataFrame, minutes: int = 15) -> DataFrame:
     """(start, end, operation, n) by tumbling windows of event time."""
     w = F.window("ts", f"{minutes} minutes")
     return events.groupBy(w, "operation").agg(F.count("*").alias("n")).select("window.start", "window.end", "operation", "n")
+
+
+def _latest(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k latest edges of each node."""
+    return rows.sort_values(["e_id", "nbr"], ascending=[False, True], kind="stable").groupby("node", sort=False).head(k)
+
+
+def stream_last_neighbors(edges: DataFrame, k: int = 20, late: str = "10 minutes", idle_ms: int | None = None) -> DataFrame:
+    """(node, gone, neighbors): each node's k latest edges, given anew whenever a batch changes them (update mode).
+
+    edges: a stream of src, dst, e_id, ts.  A node's k edges are its state;
+    edges may come in any order.  Edges of before the watermark are left out.
+    With ``idle_ms`` a node that had no edge for so long, by event time, is
+    forgotten and told once more with ``gone``.  Tasks cut a batch to k edges of
+    each node before they are shuffled, so hubs send little.
+    """
+    pairs = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("node"), F.col("src").alias("nbr")))
+    ends = edges.select(F.explode(pairs).alias("p"), "e_id", "ts").select("p.node", "p.nbr", "e_id", "ts")
+
+    def fewer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _latest(batch, k)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told = {"node": [key[0]], "gone": [False], "neighbors": [[]]}
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame(told | {"gone": [True]})
+            return
+        e_ids, nbrs, newest = state.get if state.exists else ([], [], 0)
+        known = pd.DataFrame({"node": key[0], "nbr": nbrs, "e_id": e_ids}, columns=["node", "nbr", "e_id"])
+        mark = state.getCurrentWatermarkMs()
+        changed = False
+        for batch in batches:
+            times = batch["ts"].astype("datetime64[ms]").astype("int64")
+            fresh = batch[times >= mark]
+            if len(fresh):
+                changed, newest = True, max(newest, int(times[times >= mark].max()))
+                part = fresh[["node", "nbr", "e_id"]]
+                known = _latest(pd.concat([known, part]) if len(known) else part, k)
+        if not changed:
+            return
+        e_ids, nbrs = known["e_id"].astype("int64").tolist(), known["nbr"].astype("int64").tolist()
+        state.update((e_ids, nbrs, newest))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(newest, mark) + idle_ms)
+        yield pd.DataFrame(told | {"neighbors": [[{"e_id": e, "nbr": n} for e, n in zip(e_ids, nbrs)]]})
+
+    base = ends.mapInPandas(fewer, "node long, nbr long, e_id long, ts timestamp").withWatermark("ts", late)
+    out = "node long, gone boolean, neighbors array<struct<e_id: bigint, nbr: bigint>>"
+    return base.groupBy("node").applyInPandasWithState(update, out, "e_ids array<long>, nbrs array<long>, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_latest(updates: DataFrame, path: str, checkpoint: str) -> None:
+    """Run the stream over what is there, and write each batch's updates into a folder of its own, which a repeated batch overwrites."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """(node, nbr, e_id): the neighbours that the latest batch told of each node; nodes that are gone have none."""
+    told = spark.read.option("basePath", path).parquet(path)
+    last = told.groupBy("node").agg(F.max_by(F.struct("gone", "neighbors"), "batch").alias("s"))
+    return last.where("not s.gone").select("node", F.explode("s.neighbors").alias("n")).select("node", "n.nbr", "n.e_id")
