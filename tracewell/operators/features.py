@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_nodes
 from ..sources.cdm import NODE_TYPES, RELATIONS
+from .skipgram import skip_gram
+from .store import cut
 
 
 #: Texts that one task of the word-vector training takes.
@@ -27,15 +27,16 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-def train_word_vectors(corpus: DataFrame, dim: int = 128, window: int = 5, min_count: int = 1, epochs: int = 50, seed: int = 0, partitions: int | None = None) -> DataFrame:
-    """(word, vector): skip-gram vectors of length 1.
+def train_word_vectors(corpus: DataFrame, dim: int = 128, window: int = 5, min_count: int = 1, epochs: int = 50, seed: int = 0, partitions: int | None = None, negative: int = 5, rounds: int = 10) -> DataFrame:
+    """(word, vector): skip-gram vectors with negative samples, at length 1.
 
-    Partitions train side by side and are averaged after each epoch: faster and
-    less well.  By default there is one for every ``ROWS_A_TASK`` texts.
+    Parts of ``ROWS_A_TASK`` texts train side by side and are averaged ``rounds``
+    times; a corpus of one part needs no rounds.
     """
+    corpus = cut(corpus)
     partitions = partitions or 1 + corpus.count() // ROWS_A_TASK
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="v").fit(corpus)
-    return model.getVectors().select("word", unit(vector_to_array("vector")).alias("vector"))
+    found = skip_gram(corpus, dim, window, min_count, epochs, negative, seed, partitions, rounds)
+    return found.select("word", unit(F.col("vector")).alias("vector"))
 
 
 def position_weight(i: Column, n: Column, decline: float = 30) -> Column:
