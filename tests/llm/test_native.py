@@ -141,3 +141,14 @@ def test_op9_and_the_pipeline_draw_through_the_tree(spark, monkeypatch):
     out = Counter(r["doc_id"] for r in mixing.mixed_documents(docs).collect())
     assert 0 < sum(some.values()) < sum(whole.values()) and set(out) <= {k for k, v in some.items() if v}
     assert sum(abs(out[k] * len(words(texts(200)[k])) - some[k]) for k in some) <= 3 * max(len(words(t)) for t in texts(200))
+
+
+def test_equal_rows_share_what_is_left_for_them(spark):
+    """Forty equal rows without an id: the source's target is met but for a rest of less than one word a row."""
+    rows = [(None, "word " * 100, "en", "a", 1)] * 40 + [(i, "word " * 10, "en", "b", 1) for i in range(100)]
+    got = mixing.mix_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)).collect()
+    assert len(got) == 140
+    for source in (True, False):
+        own = [r for r in got if (r["doc_id"] is None) == source]
+        target = own[0]["target"]
+        assert target - len(own) < sum(r["taken"] for r in own) <= target + 1 and all(r["taken"] <= 3 * r["size"] for r in own)

@@ -92,7 +92,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     copy of the row that a leaf of the splitting tree draws with its block, and
     ``taken`` sums their words: size in each whole pass, and in the last,
     partial pass size or, for one row of a source, part of it.  A null source is a
-    source; rows that repeat an id are drawn one by one, but equal rows alike; empty input gives none.
+    source; rows that repeat an id are drawn one by one; equal rows
+    are drawn alike and share evenly, rounded down, what is left for them; empty input gives none.
     Draws depend on ids, sources and the seed alone, so reruns agree.
     """
     own = [F.col(c) for c in docs.columns] if carry else []
@@ -130,9 +131,11 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     edges = in_blocks(light, sources).select("source", "block", *order)
     partial = table.where("drawn > 0 and drawn < words").select(F.col("source").alias("__s4"), F.col("block").alias("__b4"), "drawn")
     edges = edges.join(broadcast_if_small(partial), F.col("source").eqNullSafe(F.col("__s4")) & (F.col("block") == F.col("__b4")))
+    # equal rows, which nothing tells apart, share what is left for them
+    edges = edges.groupBy("source", "block", "__s4", "__b4", "drawn", *order).agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("source", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).where("ahead < drawn and drawn <= ahead + size")
-    edges = cut(edges.select("__s4", "__b4", F.struct(*order).alias("__end"), (F.col("drawn") - F.col("ahead")).alias("__end_words")))
+    edges = edges.withColumn("ahead", F.coalesce(F.sum(F.col("size") * F.col("n")).over(ahead), F.lit(0))).where("ahead < drawn and drawn <= ahead + size * n")
+    edges = cut(edges.select("__s4", "__b4", F.struct(*order).alias("__end"), F.floor((F.col("drawn") - F.col("ahead")) / F.col("n")).alias("__end_words")))
     rows = rows.join(broadcast_if_small(edges), F.col("__source").eqNullSafe(F.col("__s4")) & (F.col("__block") == F.col("__b4")), "left")
     own = F.struct(F.col("__h").alias("h"), key.cast("long").alias("id"), F.col("__size").alias("size"), F.col("__crc").alias("crc"))
     last = F.when(F.col("__drawn") == 0, 0).when(F.col("__end").isNull() | (own < F.col("__end")), F.col("__size")).when(own == F.col("__end"), F.col("__end_words")).otherwise(0)
