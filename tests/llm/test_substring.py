@@ -77,3 +77,13 @@ def test_automaton_finds_first_windows():
         found = substring.SuffixAutomaton(ref).first_windows(query, n)
         where = lambda w: next((i for i in range(len(ref) - n + 1) if ref[i : i + n] == w), -1)
         assert found == [where(query[i : i + n]) for i in range(len(query) - n + 1)]
+
+
+def test_every_text_of_a_repeated_id_is_a_source(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_removed"]) for r in substring.without_repeats(rows, 20).collect())
+    assert got == [(1, 0), (1, 0), (2, 30), (3, 30)]
+    moved = spark.createDataFrame([(1, "x " * 5 + a), (1, a), (2, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.without_repeats(moved, 20).collect())
+    assert got == [(1, 30, 0), (1, 35, 30), (2, 30, 30)]

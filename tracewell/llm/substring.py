@@ -181,15 +181,15 @@ def _matches(window: int):
         for batch in batches:
             out: list[tuple] = []
             for first_id, doc_id, pieces, reference in zip(*[batch.column(k).to_pylist() for k in range(4)]):
-                if held != first_id:
+                if held != (first_id, reference):  # an id may have several texts
                     words = (reference or "").encode().split()
-                    held, automaton = first_id, SuffixAutomaton(words) if len(words) <= LONGEST_REFERENCE else None
+                    held, automaton = (first_id, reference), SuffixAutomaton(words) if len(words) <= LONGEST_REFERENCE else None
                 for piece in pieces:
                     words, start = piece["text"].split(), piece["start"]
                     found = automaton.first_windows(words, window) if automaton else [-1] * (len(words) - window + 1)
                     run_at, run_n, open_ = 0, 0, []
                     for i, f in enumerate(found):
-                        if f >= 0 and not (first_id == doc_id and f == start + i):
+                        if f >= 0 and (first_id != doc_id or f < start + i):
                             if run_n and run_at + run_n == i:
                                 run_n += 1
                             else:
