@@ -52,3 +52,14 @@ def test_null_images(spark):
     images = spark.createDataFrame([(1, None)], "doc_id long, image binary")
     row = media.npy_tiles(images).first()
     assert row["tile"] is None and row["dhash"] is None
+
+
+def test_images_that_cannot_be_decoded(spark):
+    good = media.encode_ppm(np.arange(12, dtype=np.uint8).reshape(2, 2, 3))
+    broken = [b"", b"P", b"P6", b"P6\n2 2\n255\n", b"P6\n-1 2\n255\n", b"P9\n1 1\n", b"BM", good[:-3], media.encode_bmp(np.zeros((3, 3, 3), np.uint8))[:60], b"\x89PNG\r\n", b"P6\n0 0\n255\n", b"P3\n1 1\n255\nx y z", b"P5 # no end of this"]
+    images = spark.createDataFrame([(i, len(b), bytearray(b), "mine") for i, b in enumerate([*broken, good])], "doc_id long, n_bytes long, image binary, dhash string")
+    tiles = media.npy_tiles(images)
+    rows = {r["doc_id"]: r for r in tiles.collect()}
+    assert all(rows[i]["tile"] is None and rows[i]["dhash"] is None for i in range(len(broken))) and rows[len(broken)]["tile"]
+    digests = {r["doc_id"]: r for r in media.tile_digests(tiles).collect()}
+    assert digests[0]["payload_bytes"] is None and digests[len(broken)]["payload_bytes"] == 12

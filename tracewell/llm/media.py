@@ -91,6 +91,15 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def decoded(data: bytes) -> np.ndarray | None:
+    """The image, or None if the bytes hold none that is whole and has pixels."""
+    try:
+        image = decode(data)
+    except (ValueError, IndexError, struct.error, OverflowError):
+        return None
+    return image if image.size else None
+
+
 def to_npy(image: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.lib.format.write_array(out, np.ascontiguousarray(image), version=(1, 0), allow_pickle=False)
@@ -156,8 +165,9 @@ def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def npy_tiles(images: DataFrame, image_col: str = "image") -> DataFrame:
     """The images decoded and written as NPY tiles: other columns, ``tile`` and ``dhash``.
 
-    A null image gives a null tile and a null hash; one that can't be decoded
-    raises an error.
+    A null image, or one that can't be decoded (cut off, empty, of another kind),
+    gives a null tile and a null hash.  The input's own ``tile`` and ``dhash``
+    give way to the new ones.
     """
     keep = [f for f in images.schema.fields if f.name not in (image_col, "tile", "dhash")]
 
@@ -165,7 +175,7 @@ def npy_tiles(images: DataFrame, image_col: str = "image") -> DataFrame:
         for batch in batches:
             for begin in range(0, len(batch), 256):
                 part = batch.slice(begin, 256)
-                arrays = [None if b is None else decode(b) for b in part.column(part.schema.get_field_index(image_col)).to_pylist()]
+                arrays = [None if b is None else decoded(b) for b in part.column(part.schema.get_field_index(image_col)).to_pylist()]
                 cols = [part.column(part.schema.get_field_index(f.name)) for f in keep]
                 tiles = pa.array([None if a is None else to_npy(a) for a in arrays], pa.binary())
                 hashes = pa.array([None if a is None else difference_hash(a) for a in arrays], pa.string())
@@ -183,8 +193,8 @@ def store_tiles(tiles: DataFrame) -> DataFrame:
 def tile_digests(tiles: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from stored tiles.
 
-    Each tile is parsed and all but the last six columns follow from the
-    samples: the payload's digests, and a feature of the difference hash with
+    A null tile gives nulls.  Each tile is parsed and all but the last six columns
+    follow from the samples: the payload's digests, and a feature of the difference hash with
     the mean of each quarter of a 2 x 2 area resize.
     """
 
@@ -194,6 +204,9 @@ def tile_digests(tiles: DataFrame) -> DataFrame:
                 part = batch.slice(begin, 256)
                 rows = []
                 for tile, dhash in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    if tile is None:
+                        rows.append((None,) * 6)
+                        continue
                     image = from_npy(tile)
                     payload = image.tobytes()
                     means = np.round(area_resize(luma(image), 2, 2).ravel(), 3)
