@@ -254,8 +254,8 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     ``digest`` the SHA-256 of that.
 
     Null or empty texts have no words.  Rows with a null id are returned whole
-    and are no source.  Rows that repeat an id count as one document, whose
-    equal windows at equal places are the same occurrence.
+    and are no source.  Rows that repeat an id are each a source for greater ids;
+    what only rows of one id share stays.
 
     Frequent anchors are counted before the shuffle; joins have an exchange on
     either side, so a hot reference's rows can be split over tasks, each of which
