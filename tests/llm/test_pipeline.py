@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tracewell.llm import registry
 
@@ -39,5 +41,24 @@ def test_stages_one_by_one(spark):
 
 def test_registry_is_complete():
     names = registry.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_with_repeats_clashing_columns_and_no_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 4 = 0")
+    extra = ("size", "shard", "slot", "component_id", "kept", "taken", "row", "block", "words", "lang_pred", "score", "place")
+    wide = some.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    twice = wide.unionByName(wide.limit(10)).unionByName(wide.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for docs in (twice, wide.where("false")):
+        kept = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            rows = out.collect()
+            if name == corpus_pipeline.STAGES[-1][0]:
+                assert len(rows) == kept
+            else:
+                assert out.columns == docs.columns and all([r[c] for c in extra] == list(range(len(extra))) for r in rows)
+                assert (len(rows) > 0) == (kept > 0)
+            docs, kept = spark.createDataFrame(rows, out.schema), len(rows)
