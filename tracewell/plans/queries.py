@@ -1065,6 +1065,15 @@ def contracted_graph(fx):
     return e.select("src_path", "dst_path", "operation", F.round("score", 9).alias("score"), "first", "last", "n_edges")
 
 
+@query(win_sql("SELECT n.msg AS path, n.node_type, max(CASE WHEN t.node IS NULL THEN 0 ELSE 1 END) AS y_true, round(greatest(coalesce(max(s.score), 0.0), 0.0), 9) AS score FROM (SELECT *, CASE node_type WHEN 'file' THEN '/data' ELSE msg END AS m FROM nodes) n LEFT JOIN truth t ON t.node = n.index_id LEFT JOIN scored s ON s.node = n.index_id GROUP BY ALL").replace("n.msg AS path", "n.m AS path"))
+def contracted_nodes(fx):
+    """The nodes that nodes of one name and type become, here all files one; with the worst label and the best score."""
+    n = fx.nodes.select(F.col("index_id").alias("node"), F.when(F.col("node_type") == "file", "/data").otherwise(F.col("msg")).alias("path"), "node_type")
+    n = detect.label_truth(n, fx.truth).join(_node_results(fx).select("node", "score"), "node", "left")
+    merged, _ = trace.contract_graph(_test_edges(fx).withColumnRenamed("loss", "score"), n)
+    return merged.select("path", "node_type", "y_true", F.round("score", 9).alias("score"))
+
+
 # -- at a larger size -------------------------------------------------------
 
 
