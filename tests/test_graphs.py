@@ -267,3 +267,25 @@ def test_many_windows_a_day(spark):
     assert {r["_id"]: (r["day"], r["day_window"], r["tw_start"], r["tw_end"]) for r in got} == cut_days(rows, 4, 6, True)
     assert len({r["day_window"] for r in got}) > 150
     assert [r["tw"] for r in graphs.number_windows(spark.createDataFrame([(2, 0), (1, 1), (1, 0)], "day int, day_window long")).orderBy("day", "day_window").collect()] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("backward", [True, False])
+def test_temporal_traces(spark, backward):
+    """A node's time is the best of the edges that reach it, strictly before (after) the time of the node that they leave."""
+    rng = random.Random(8)
+    rows, pois, expect = [], [], {}
+    for tw in range(25):
+        n = rng.randrange(3, 12)
+        edges = [(rng.randrange(n), rng.randrange(n), rng.randrange(20)) for _ in range(rng.randrange(1, 40))]
+        rows += [(tw, *e) for e in edges]
+        pois.append((tw, rng.randrange(n)))
+        best = {pois[-1][1]: 2**63 - 1 if backward else -(2**63)}
+        for _ in range(len(edges) + 1):
+            for s, d, t in edges:
+                here, there = (d, s) if backward else (s, d)
+                if here in best and (t < best[here] if backward else t > best[here]):
+                    best[there] = t if there not in best else (max if backward else min)(best[there], t)
+        expect |= {(tw, node): t for node, t in best.items()}
+    e, p = spark.createDataFrame(rows, "tw int, src long, dst long, time long"), spark.createDataFrame(pois, "tw int, poi long")
+    got = (trace.temporal_backward if backward else trace.temporal_forward)(e, p).collect()
+    assert {(r["tw"], r["node"]): r["time"] for r in got} == expect

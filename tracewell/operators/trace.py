@@ -73,22 +73,26 @@ def node_versions(versioned: DataFrame) -> DataFrame:
 
 
 def _spread(edges: DataFrame, seeds: DataFrame, keys: list[str], on: list[str], backward: bool) -> DataFrame:
-    """(keys, node, v): from the seeds along edges until nothing changes; only what changed is joined again."""
+    """(keys, node, v): from the seeds along edges until nothing changes.
+
+    Only what changed is joined again, and only with edges between the old
+    version and the new one, so that each edge of a hub is taken once.
+    """
     here, there, at, to = ("dst", "src", "vdst", "vsrc") if backward else ("src", "dst", "vsrc", "vdst")
     best = F.max if backward else F.min
     state = cut(seeds.select(*keys, "node", "v"))
-    frontier = cut(state)
+    frontier = cut(state.withColumn("old", F.lit(None).cast("long")))
     while True:
         step = frontier.join(edges.withColumnRenamed(here, "node"), [*on, "node"])
-        step = step.where(F.col(at) <= F.col("v") if backward else F.col(at) >= F.col("v"))
-        step = step.groupBy(*keys, F.col(there).alias("node")).agg(best(to).alias("v"))
+        fresh = (F.col(at) <= F.col("v")) & (F.col("old").isNull() | (F.col(at) > F.col("old"))) if backward else (F.col(at) >= F.col("v")) & (F.col("old").isNull() | (F.col(at) < F.col("old")))
+        step = step.where(fresh).groupBy(*keys, F.col(there).alias("node")).agg(best(to).alias("v"))
         known = state.withColumnRenamed("v", "old")
         better = F.col("old").isNull() | (F.col("v") > F.col("old") if backward else F.col("v") < F.col("old"))
-        last, frontier = frontier, cut(step.join(known, [*keys, "node"], "left").where(better).select(*keys, "node", "v"))
+        last, frontier = frontier, cut(step.join(known, [*keys, "node"], "left").where(better).select(*keys, "node", "v", "old"))
         discard(last)
         if not frontier.take(1):
             return state
-        before, state = state, cut(state.unionByName(frontier).groupBy(*keys, "node").agg(best("v").alias("v")))
+        before, state = state, cut(state.unionByName(frontier.drop("old")).groupBy(*keys, "node").agg(best("v").alias("v")))
         discard(before)
 
 
@@ -276,18 +280,19 @@ def _temporal(edges: DataFrame, pois: DataFrame, backward: bool) -> DataFrame:
     best = F.max if backward else F.min
     bound = F.lit(2**63 - 1 if backward else -(2**63)).cast("long")
     state = cut(pois.select("tw", "poi", F.col("poi").alias("node"), bound.alias("time")))
-    frontier = cut(state)
+    frontier = cut(state.withColumn("old", F.lit(None).cast("long")))
     while True:
         step = frontier.withColumnRenamed("time", "t").join(edges.select("tw", F.col(here).alias("node"), F.col(there).alias("next"), "time"), ["tw", "node"])
-        step = step.where(F.col("time") < F.col("t") if backward else F.col("time") > F.col("t"))
-        step = step.groupBy("tw", "poi", F.col("next").alias("node")).agg(best("time").alias("time"))
+        # edges beyond the time that the node had before were taken then
+        fresh = (F.col("time") < F.col("t")) & (F.col("old").isNull() | (F.col("time") >= F.col("old"))) if backward else (F.col("time") > F.col("t")) & (F.col("old").isNull() | (F.col("time") <= F.col("old")))
+        step = step.where(fresh).groupBy("tw", "poi", F.col("next").alias("node")).agg(best("time").alias("time"))
         known = state.withColumnRenamed("time", "old")
         better = F.col("old").isNull() | (F.col("time") > F.col("old") if backward else F.col("time") < F.col("old"))
-        last, frontier = frontier, cut(step.join(known, ["tw", "poi", "node"], "left").where(better).select("tw", "poi", "node", "time"))
+        last, frontier = frontier, cut(step.join(known, ["tw", "poi", "node"], "left").where(better).select("tw", "poi", "node", "time", "old"))
         discard(last)
         if not frontier.take(1):
             return state
-        before, state = state, cut(state.unionByName(frontier).groupBy("tw", "poi", "node").agg(best("time").alias("time")))
+        before, state = state, cut(state.unionByName(frontier.drop("old")).groupBy("tw", "poi", "node").agg(best("time").alias("time")))
         discard(before)
 
 
