@@ -72,7 +72,11 @@ def _scan(least: int):
 
 
 def _variants(least: int):
-    """For the wanted lines: (key, short, doc_id, line); short: the line itself, as what a longer one leaves."""
+    """For the wanted lines: (key, kind, doc_id, line, words).
+
+    Kinds: 0, 1 for what is left without one word, to meet lines of the same
+    length or shorter ones; 2 for the line itself, with its words as hashes.
+    """
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -98,26 +102,11 @@ def _variants(least: int):
             kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(replaced), len(shorter), len(itself)])
             rows, numbers = lines.row[at], lines.number[at]
             take = np.concatenate([which, which, np.arange(len(at))])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), batch.column(0).take(pa.array(rows[take])), pa.array(numbers[take])], names=["key", "kind", "doc_id", "line"])
-
-    return run
-
-
-def _line_words():
-    """(doc_id, line, words) of the wanted lines; words are hashes in order."""
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            lines = Lines(batch.column(1))
-            wanted = batch.column(2)
-            owner = np.repeat(np.arange(len(batch)), np.diff(wanted.offsets.to_numpy()))
-            pairs = owner * (1 << 40) + wanted.flatten().to_numpy()
-            at = np.flatnonzero(np.isin(lines.row * (1 << 40) + lines.number, pairs))
-            n = lines.e[at] - lines.s[at]
             ends = np.concatenate(([0], np.cumsum(n)))
-            place = np.repeat(lines.s[at] - ends[:-1], n) + np.arange(ends[-1])
-            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(lines.words.hashes[place].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at])), pa.array(lines.number[at]), words], names=["doc_id", "line", "words"])
+            hashes = lines.words.hashes[np.repeat(s - ends[:-1], n) + np.arange(ends[-1])].view(np.int64)
+            offsets = np.concatenate([np.zeros(2 * len(which), np.int64), ends]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes), mask=pa.array(kinds < 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(kinds), batch.column(0).take(pa.array(rows[take])), pa.array(numbers[take]), words], names=["key", "kind", "doc_id", "line", "words"])
 
     return run
 
@@ -189,7 +178,7 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     wanted = ones.join(met, "half", "left_semi").select("doc_id", "line").distinct()
     wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("wanted")), "wanted")
     discard(lines, copied)
-    variants = base.join(wanted, "doc_id", "left").select("doc_id", "text", "wanted").mapInArrow(_variants(least), "key long, kind byte, doc_id long, line long")
+    variants = base.join(wanted, "doc_id", "left").select("doc_id", "text", "wanted").mapInArrow(_variants(least), "key long, kind byte, doc_id long, line long, words array<long>")
     variants = stored(variants, "variants")
     discard(wanted)
     least_of = lambda kind: F.min(F.when(F.col("kind").isin(*kind), F.struct("doc_id", "line")))
@@ -197,13 +186,11 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     met = stored(met.select("key", "like", "longer", "shorter"), "met")
     own = F.struct("doc_id", "line")
     other = F.when(F.col("kind") == 0, F.col("like")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
-    near = variants.join(met, "key").where(other < own).select("doc_id", "line", other["doc_id"].alias("other_doc"), other["line"].alias("other_line")).distinct()
+    near = variants.drop("words").join(met, "key").where(other < own).select("doc_id", "line", other["doc_id"].alias("other_doc"), other["line"].alias("other_line")).distinct()
     near = stored(near, "near")
-    discard(variants, met)
     ends = near.select("doc_id", "line").unionByName(near.select(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))).distinct()
-    ends = ends.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
-    words = base.join(ends, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_line_words(), "doc_id long, line long, words array<long>")
-    words = stored(words, "words")
+    words = stored(variants.where("kind = 2").select("doc_id", "line", "words").join(ends, ["doc_id", "line"], "left_semi"), "words")
+    discard(variants, met)
     others = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other"))
     pairs = near.join(words, ["doc_id", "line"]).join(others, ["other_doc", "other_line"]).select("doc_id", "line", "words", "other")
     near = stored(pairs.mapInArrow(_confirmed, "doc_id long, line long").distinct(), "confirmed")
