@@ -1,5 +1,6 @@
 """Quality, language and toxicity: held-out accuracy and awkward rows."""
 
+import math
 import random
 import zlib
 
@@ -190,3 +191,50 @@ def test_words_of_long_texts_cross_blocks():
     text = "abc " * 400_000 + "x" * 3_000_000 + " abc"
     w = Words(pa.array([text, None, "abc"]), PUNCT, lower=True)
     assert len(w.hashes) == 400_003 and w.hashes[0] == w.hashes[-2] == w.hashes[-1] != w.hashes[400_000]
+
+
+def term_weights(texts, labels):
+    """Weight of every term of the labelled texts, worked out from the texts alone."""
+    sets = [set(t.split()) for t in texts]
+    n1, n0 = (sum(y == v for y in labels.values()) for v in (1, 0))
+    out = {}
+    for term in set().union(*(sets[i] for i in labels)):
+        df = sum(term in s for s in sets)
+        d1, d0 = (sum(term in sets[i] for i, y in labels.items() if y == v) for v in (1, 0))
+        shrink = lambda d, n: (d + 50 * n / (n1 + n0)) / n
+        contrast = math.log(shrink(d1, n1)) - math.log(shrink(d0, n0))
+        out[term] = (math.log((1 + len(texts)) / (1 + df)) + 1) * (0.02 + contrast**2)
+    return out
+
+
+def test_evidence_matches_brute_force_over_texts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}" for _ in range(rng.randrange(1, 30))) for _ in range(160)]
+    texts += texts[:5] + ["unheard", ""]
+    labels = {i: int("w7" in texts[i].split() or i % 9 == 0) for i in range(len(texts)) if not held(i, 5, 0) and i % 3}
+    rows = toxicity.toxicity_scores(make_docs(spark, texts), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
+    weight = term_weights(texts, labels)
+
+    def unit(text):
+        v = {t: (1 + math.log(text.split().count(t))) * weight[t] for t in set(text.split()) if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    units = [unit(t) for t in texts]
+    assert len(rows) == len(texts)
+    for r in rows:
+        mine = units[r["doc_id"]]
+        sims = {i: sum(x * units[i].get(t, 0.0) for t, x in mine.items()) for i in labels}
+        best = sorted((s for s in sims.values() if s > 1e-6), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([e["similarity"] for e in r["evidence"]], best, atol=1e-5)
+        assert all(abs(sims[e["example"]] - e["similarity"]) < 1e-5 and labels[e["example"]] == e["label"] for e in r["evidence"])
+
+
+def test_copies_of_examples_find_them_whatever_their_labels(spark):
+    text = "the same words under either label"
+    docs = make_docs(spark, [text] * 8 + ["others"], ids=list(range(1, 10)))
+    known = [i for i in range(1, 9) if not held(i, 5, 0)][:4]
+    rows = toxicity.toxicity_scores(docs, spark.createDataFrame([(d, k % 2) for k, d in enumerate(known)], "doc_id long, toxic int")).collect()
+    for r in rows:
+        assert sorted(e["example"] for e in r["evidence"]) == (known if r["doc_id"] < 9 else [])
+        assert all(e["similarity"] == pytest.approx(1, abs=1e-5) for e in r["evidence"])

@@ -2,7 +2,9 @@
 
 The index holds all terms of a bounded sample of labelled examples.  A term
 weighs its inverse document frequency among all documents, times how much the
-examples' labels depend on it; no term is left out.  Like examples stand in one
+examples' labels depend on it; terms that don't depend on them keep a least
+weight, so no term is left out and copies of an example always find it.  The
+cosine is that of the terms that the index holds.  Like examples stand in one
 block, and for each term and block the index knows the greatest weight, so
 blocks whose bound is below the k-th best similarity are skipped without
 changing the result.
@@ -29,6 +31,8 @@ BLOCK = 64
 FIRST = 3
 #: A term's labels are shrunk by so many examples in which it is as common under either label.
 PRIOR = 50.0
+#: What a term weighs, as a share of its idf, if both labels have it equally often.
+NEUTRAL = 0.02
 #: Bins of votes for calibration.
 BINS = 20
 
@@ -123,7 +127,7 @@ def build_index(ids: np.ndarray, labels: np.ndarray, stands: np.ndarray, example
     if n1 and n0:
         contrast = np.abs(np.log((d1 + PRIOR * n1 / (n1 + n0)) / n1) - np.log((d0 + PRIOR * n0 / (n1 + n0)) / n0))
     df, n = (d1 + d0, len(ids)) if frequency is None else (frequency, total)
-    weight = (np.log((1 + n) / (1 + df)) + 1) * contrast**2
+    weight = (np.log((1 + n) / (1 + df)) + 1) * (NEUTRAL + contrast**2)
     w = (1 + np.log(count)) * weight[term]
     norm = np.sqrt(np.bincount(example, w * w, len(ids)))
     w = w / np.where(norm > 0, norm, 1)[example]
