@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -50,7 +50,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _without_shuffle_files(spark):
+    with without_shuffle_files(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
