@@ -83,3 +83,25 @@ def test_within_one_edit_is_the_edit_distance():
             at = rng.randrange(len(b) + 1)
             b[at : at + rng.randrange(2)] = [rng.randrange(3)] * rng.randrange(2)
         assert linededup.within_one_edit(np.array(a, int), np.array(b, int)) == (distance(a, b) <= 1)
+
+
+def test_texts_are_shuffled_once(spark):
+    """Joins of texts with lists of lines read buckets: whatever the lists' size, no exchange lies above the texts."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = linededup.without_near_lines(make_docs(spark, ["a b c d e f g\na b c d e f g", "a b c d e f h", None], [1, 2, None]))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in rows) == [(-1, 0), (1, 1), (2, 1)]
+    line = next(x for x in plan.split("\n") if "FileScan" in x and "text" in x and "Bucketed: true" in x)
+    above = plan.split("\n")[: plan.split("\n").index(line)]
+    depth = lambda x: len(x) - len(x.lstrip(" :|+-"))
+    level, parents = depth(line), []
+    for x in reversed(above):
+        if depth(x) < level:
+            parents.append(x)
+            level = depth(x)
+    assert not any("Exchange" in x for x in parents)

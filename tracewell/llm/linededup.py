@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, discard, stored
+from .store import bounded_batches, bucketed, discard, stored
 from .tokens import _BASE, _INVERSE, U64, Words, _powers, mix, slices
 
 #: Lines of fewer words are compared by equality alone: one edit would be too much of them.
@@ -172,9 +172,12 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     Null or empty texts have no lines.  Rows with a null id are returned whole
     and are no source; rows that repeat an id count as one document, and a line
     goes from all of them.
+
+    Texts are shuffled once, into buckets by id; the lists of lines come to them.
     """
     base = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = base.where("doc_id is not null").mapInArrow(_scan(least), "a long, b long, doc_id long, line long, n long, halves array<long>")
+    texts = bucketed(base.where("doc_id is not null"), "doc_id", "texts")
+    lines = texts.mapInArrow(_scan(least), "a long, b long, doc_id long, line long, n long, halves array<long>")
     lines = stored(lines, "lines")
     at = F.struct("doc_id", "line")
     firsts = lines.groupBy("a", "b").agg(F.min(at).alias("first"), F.count("*").alias("copies"))
@@ -189,7 +192,7 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     wanted = ones.join(met, "half", "left_semi").select("doc_id", "line").distinct()
     wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("wanted")), "wanted")
     discard(lines, copied)
-    variants = base.join(wanted, "doc_id", "left").select("doc_id", "text", "wanted").mapInArrow(_variants(least), "key long, kind byte, doc_id long, line long")
+    variants = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_variants(least), "key long, kind byte, doc_id long, line long")
     variants = stored(variants, "variants")
     discard(wanted)
     least_of = lambda kind: F.min(F.when(F.col("kind").isin(*kind), F.struct("doc_id", "line")))
@@ -202,7 +205,7 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     discard(variants, met)
     ends = near.select("doc_id", "line").unionByName(near.select(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))).distinct()
     ends = ends.groupBy("doc_id").agg(F.collect_list("line").alias("wanted"))
-    words = base.join(ends, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_line_words(), "doc_id long, line long, words array<long>")
+    words = texts.join(ends, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_line_words(), "doc_id long, line long, words array<long>")
     words = stored(words, "words")
     others = words.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("words").alias("other"))
     pairs = near.join(words, ["doc_id", "line"]).join(others, ["other_doc", "other_line"]).select("doc_id", "line", "words", "other")
@@ -210,4 +213,6 @@ def without_near_lines(docs: DataFrame, least: int = LEAST_WORDS, id_col: str =
     # the copies of a line that goes are later than it, so they go as well
     gone = stored(later.unionByName(near).groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
     discard(words, near, later)
-    return base.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_kept(digest), "doc_id long, n_lines long, n_removed long, kept string")
+    marked = texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
+    whole = base.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("gone"))
+    return marked.unionByName(whole).mapInArrow(_kept(digest), "doc_id long, n_lines long, n_removed long, kept string")
