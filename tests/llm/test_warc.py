@@ -141,3 +141,104 @@ def test_foreign_packages(spark, tmp_path):
     assert len(errors) == 2 and any("compressed" in e for e in errors)
     rows = warc.read_ranges(ranges).collect()
     assert sorted(r["payload"] for r in rows) == sorted(f"page {i}".encode() * 50 for i in range(30))
+
+
+def repacked(path, lines):
+    """The package again, with these lines of its index alone."""
+    with zipfile.ZipFile(path) as z:
+        archive, index = z.read(warc.ARCHIVE), z.read(warc.INDEX).split(b"\n")[:-1]
+    return package([(warc.ARCHIVE, archive), (warc.INDEX, b"".join(line + b"\n" for line in index[lines]))])
+
+
+@pytest.mark.parametrize("damage", ["cut", "empty", "zeros", "short index"])
+def test_pages_fail_if_packages_break(spark, monkeypatch, damage):
+    """Of several packages one is damaged after it was written: that is an error, not a table with fewer rows."""
+    write = warc.write_packages
+
+    def broken(marked, folder):
+        made = write(marked.repartition(3), folder)
+        path = min(r["path"] for r in made.collect())
+        with open(path, "rb") as f:
+            data = f.read()
+        if damage == "short index":
+            data = repacked(path, slice(0, -1))
+        else:
+            data = {"cut": data[:-40], "empty": b"", "zeros": b"\0" * len(data)}[damage]
+        with open(path, "wb") as f:
+            f.write(data)
+        return made
+
+    monkeypatch.setattr(warc, "write_packages", broken)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 30) for i in range(60)], SCHEMA)
+    with pytest.raises(ValueError, match="can't be read|records were written"):
+        warc.archived_pages(pages).collect()
+
+
+def test_pages_fail_if_the_storage_fails(spark, tmp_path, monkeypatch):
+    packages = spark.createDataFrame([(str(tmp_path / "gone.zip"),)], "path string")
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        warc.record_ranges(packages)
+
+    def refused(path):
+        raise OSError("try again later")
+
+    monkeypatch.setattr(warc, "_ranges_of", refused)
+    with pytest.raises(Exception, match="try again later"):
+        warc.archived_pages(spark.createDataFrame([(1, "u", "x" * 200)], SCHEMA)).collect()
+
+
+def test_pages_fail_if_records_get_lost(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "x" * 200) for i in range(5)], SCHEMA)
+    read = warc.read_ranges
+    with monkeypatch.context() as m:
+        m.setattr(warc, "read_ranges", lambda ranges: read(ranges).where("record_id <> 'urn:page:3'"))
+        with pytest.raises(ValueError, match="5 records were written, 4 read"):
+            warc.archived_pages(pages)
+    other = F.when(F.col("record_type") == "response", F.lit("urn:page:77")).otherwise(F.col("record_id"))
+    with monkeypatch.context() as m:
+        m.setattr(warc, "read_ranges", lambda ranges: read(ranges).withColumn("record_id", other))
+        with pytest.raises(Exception, match="revisits a payload of page 0 that wasn't read"):
+            warc.archived_pages(pages).collect()
+
+
+def test_packages_that_cannot_be_read_fail(spark, tmp_path):
+    (tmp_path / "good.zip").write_bytes(package([("archive/x.warc", warc.record("response", 1, "u", b"page", "d"))]))
+    (tmp_path / "broken.zip").write_bytes(b"PK nothing")
+    packages = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    with pytest.raises(ValueError, match="broken.zip: ValueError: not a ZIP package"):
+        warc.read_packages(packages)
+    assert [r["payload"] for r in warc.read_packages(packages.where("path like '%good.zip'")).collect()] == [b"page"]
+    (tmp_path / "named.zip").write_bytes(package([("archive/x.warc", b""), ("indexes/index.cdxj", b'k 1 {"filename": "y.warc", "offset": 0, "length": 9}')]))
+    with pytest.raises(ValueError, match="y.warc is in an index, but not in the package"):
+        warc.read_packages(spark.createDataFrame([(str(tmp_path / "named.zip"),)], "path string"))
+
+
+@pytest.mark.parametrize("gz", [False, True])
+def test_walks_tell_what_breaks_off(gz):
+    records = [warc.record("response", i, f"http://h/{i}", random.Random(i).randbytes(50_000 * (i % 3)), "d") for i in range(12)]
+    walked = lambda data: [head["warc-record-id"] for head, _ in warc.walk(io.BufferedReader(io.BytesIO(data)), gz)]
+    parts = [gzip.compress(r) for r in records] if gz else records
+    whole, ids = b"".join(parts), [f"<urn:page:{i}>" for i in range(12)]
+    assert walked(whole) == ids and walked(b"") == []
+    assert walked(b"\r\n".join(parts) + b"\r\n") == ids
+    last = len(whole) - len(parts[-1])
+    for cut in (last + 5, last + 100, len(whole) - 6, len(whole) - 30_000):
+        with pytest.raises(ValueError):
+            walked(whole[:cut])
+    if gz:  # several records in a member
+        assert walked(gzip.compress(b"".join(records[:7])) + b"".join(parts[7:])) == ids
+
+
+def test_indexes_of_several_members(tmp_path):
+    """An index of gzip members names the records of all of them; one that breaks off is an error; archives of the same name are all read."""
+    record = warc.record("response", 1, "u", b"page", "d")
+    lines = [b'k %d {"filename": "x.warc", "offset": %d, "length": %d}\n' % (i, i * len(record), len(record)) for i in range(9)]
+    index = b"".join(gzip.compress(b"".join(lines[i : i + 3])) for i in (0, 3, 6))
+    (tmp_path / "whole.zip").write_bytes(package([("archive/x.warc", record * 9), ("indexes/index.cdx.gz", index)]))
+    (found,) = warc._ranges_of(str(tmp_path / "whole.zip"))
+    assert found["starts"] == [i * len(record) for i in range(9)] and found["size"] == 9 * len(record)
+    (tmp_path / "cut.zip").write_bytes(package([("archive/x.warc", record * 9), ("indexes/index.cdx.gz", index[:-12])]))
+    with pytest.raises(ValueError, match="end too early"):
+        list(warc._ranges_of(str(tmp_path / "cut.zip")))
+    (tmp_path / "twice.zip").write_bytes(package([("a/x.warc", record * 2), ("b/x.warc", record * 3), ("indexes/index.cdxj", b"".join(lines[:2]))]))
+    assert sorted((r["starts"], r["size"]) for r in warc._ranges_of(str(tmp_path / "twice.zip"))) == [(None, 2 * len(record)), (None, 3 * len(record))]

@@ -58,7 +58,13 @@ class Member(NamedTuple):
     size: int
 
 
+def _within(f: pa.NativeFile, at: int, n: int) -> None:
+    if at < 0 or n < 0 or at + n > f.size():
+        raise ValueError("the package ends too early")
+
+
 def _read(f: pa.NativeFile, at: int, n: int) -> bytes:
+    _within(f, at, n)
     data = f.read_at(n, at)
     if len(data) < n:
         raise ValueError("the package ends too early")
@@ -110,9 +116,9 @@ def members(f: pa.NativeFile) -> list[Member]:
             kind, n = struct.unpack_from("<HH", extra)
             if kind == 1:  # wide values, in this order, of those fields alone that are full
                 wide = iter(struct.unpack_from(f"<{n // 8}Q", extra, 4))
-                raw_size = next(wide) if raw_size == 0xFFFFFFFF else raw_size
-                stored_size = next(wide) if stored_size == 0xFFFFFFFF else stored_size
-                local = next(wide) if local == 0xFFFFFFFF else local
+                raw_size, stored_size, local = (next(wide, -1) if v == 0xFFFFFFFF else v for v in (raw_size, stored_size, local))
+                if min(raw_size, stored_size, local) < 0:
+                    raise ValueError("the central directory is broken")
             extra = extra[4 + n :]
         if flags & 1:
             raise ValueError("the package is encrypted")
@@ -128,6 +134,7 @@ class _Range(io.RawIOBase):
     """A range of a package as a stream."""
 
     def __init__(self, f: pa.NativeFile, begin: int, size: int):
+        _within(f, begin, size)
         self.f, self.at, self.end = f, begin, begin + size
 
     def readable(self) -> bool:
@@ -135,18 +142,41 @@ class _Range(io.RawIOBase):
 
     def readinto(self, into) -> int:
         data = self.f.read_at(min(len(into), self.end - self.at), self.at) if self.at < self.end else b""
+        if not data and self.at < self.end:
+            raise ValueError("the package ends too early")
         into[: len(data)] = data
         self.at += len(data)
         return len(data)
 
 
+def _pieces(stream: io.BufferedIOBase, n: int) -> Iterator[bytes]:
+    while data := stream.read(n):
+        yield data
+
+
+def _inflated(pieces: Iterator[bytes], bits: int) -> Iterator[bytes]:
+    """The bytes of all compressed streams that follow each other (gzip members may have line ends between)."""
+    inflate = None
+    for data in pieces:
+        while data:
+            if inflate is None:
+                data = data.lstrip(b"\r\n") if bits > 0 else data
+                inflate = zlib.decompressobj(bits) if data else None
+                continue
+            yield inflate.decompress(data)
+            data = inflate.unused_data
+            inflate = None if inflate.eof else inflate
+    if inflate is not None:
+        raise ValueError("compressed bytes end too early")
+
+
 def _member_lines(f: pa.NativeFile, m: Member) -> Iterator[bytes]:
-    """Lines of an index, which may be deflated or gzipped."""
-    stream = io.BufferedReader(_Range(f, m.begin, m.size), 1 << 20)
-    inflate = zlib.decompressobj(-15) if m.method == 8 else zlib.decompressobj(47) if m.name.endswith(".gz") else None
+    """Lines of an index, which may be deflated, gzipped (in several members, too) or both."""
+    pieces = _pieces(io.BufferedReader(_Range(f, m.begin, m.size), 1 << 20), 1 << 20)
+    pieces = _inflated(pieces, -15) if m.method == 8 else pieces
     rest = b""
-    while data := stream.read(1 << 20):
-        lines = (rest + (inflate.decompress(data) if inflate else data)).split(b"\n")
+    for data in _inflated(pieces, 47) if m.name.endswith(".gz") else pieces:
+        lines = (rest + data).split(b"\n")
         rest = lines.pop()
         yield from lines
     yield rest
@@ -191,30 +221,29 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def walk(stream: io.BufferedIOBase, gz: bool) -> Iterator[tuple[dict[str, str], bytes]]:
-    """All records of an archive from its start; holds one record at a time."""
-    if gz:
-        inflate, out, data = zlib.decompressobj(31), b"", b""
-        while data or (data := stream.read(1 << 16)):
-            out += inflate.decompress(data)
-            data = b""
-            if inflate.eof:
-                yield parse_record(out)
-                data, inflate, out = inflate.unused_data.lstrip(b"\r\n"), zlib.decompressobj(31), b""
-        return
-    rest = b""
-    while True:
-        while b"\r\n\r\n" not in rest.lstrip(b"\r\n"):
-            data = stream.read(1 << 16)
-            if not data:
-                return
-            rest += data
-        rest = rest.lstrip(b"\r\n")
-        head, at = parse_head(rest)
-        n = at + int(head["content-length"])
-        if len(rest) < n:
-            rest += stream.read(n - len(rest))
-        yield parse_record(rest[:n])
-        rest = rest[n:]
+    """All records of an archive from its start; holds one record at a time.  One that breaks off is an error."""
+    pieces = _pieces(stream, 1 << 16)
+    rest, need = bytearray(), None
+    for data in _inflated(pieces, 31) if gz else pieces:
+        rest += data
+        while True:
+            if need is None:
+                while rest[:1] in (b"\r", b"\n"):
+                    del rest[:1]
+                if not b"WARC/".startswith(rest[:5]):
+                    raise ValueError("not a WARC record")
+                end = rest.find(b"\r\n\r\n")
+                if end < 0:
+                    break
+                head, at = parse_head(bytes(rest[: end + 4]))
+                need = at + int(head["content-length"])
+            if len(rest) < need:
+                break
+            yield parse_record(bytes(rest[:need]))
+            del rest[:need]
+            need = None
+    if rest.strip(b"\r\n"):
+        raise ValueError("the archive ends too early")
 
 
 def sort_key(url: str) -> str:
@@ -308,19 +337,28 @@ def _ranges_of(path: str) -> Iterator[dict]:
     files, at = file_at(path)
     with files.open_input_file(at) as f:
         every = members(f)
-        archives = {m.name.rpartition("/")[2]: m for m in every if re.search(r"\.warc(\.gz)?$", m.name)}
-        for m in archives.values():
+        archives = [m for m in every if re.search(r"\.warc(\.gz)?$", m.name)]
+        for m in archives:
             if m.method:
                 yield {"path": path, "error": f"{m.name} is compressed"}
-        archives = {k: m for k, m in archives.items() if not m.method}
+        # indexes name archives without their folder; of equal names none is meant for sure, so those are walked
+        short = [m.name.rpartition("/")[2] for m in archives]
+        archives = [(name, m) for name, m in zip(short, archives) if not m.method]
+        named = {name for name, _ in archives if short.count(name) == 1}
         places: dict[str, list[tuple[int, int]]] = {}
+        missing: set[str] = set()
         for m in every:
             if re.search(r"\.cdxj?(\.gz)?$", m.name):
                 for line in _member_lines(f, m):
                     about = json.loads(line[line.index(b"{") :]) if b"{" in line else {}
-                    if about.get("filename") in archives:
-                        places.setdefault(about["filename"], []).append((int(about["offset"]), int(about["length"])))
-    for name, m in archives.items():
+                    name = (about.get("filename") or "").rpartition("/")[2]
+                    if name in named:
+                        places.setdefault(name, []).append((int(about["offset"]), int(about["length"])))
+                    elif name and name not in short:
+                        missing.add(name)
+    for name in sorted(missing):
+        yield {"path": path, "error": f"{name} is in an index, but not in the package"}
+    for name, m in archives:
         gz = name.endswith(".gz")
         if name not in places:
             yield {"path": path, "begin": m.begin, "size": m.size, "starts": None, "gz": gz}
@@ -338,7 +376,11 @@ def record_ranges(packages: DataFrame) -> DataFrame:
     """(path, begin, size, starts, gz, error) of all ranges to read in the packages (path), stored.
 
     ``starts`` are the records' places in the range, null for an archive without
-    an index.  A package that can't be read gives one row that says why.
+    an index; of others, the records are those that the index names.  A package or
+    archive that is broken gives one row that says why; ``read_ranges`` leaves those
+    rows to the caller.  What the storage refuses, a missing package too, is no
+    property of the package: it fails the task, so that Spark tries again and then
+    fails the job.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +388,7 @@ def record_ranges(packages: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 try:
                     rows = list(_ranges_of(path))
-                except (ValueError, KeyError, StopIteration, struct.error, zlib.error, OSError) as e:
+                except (ValueError, KeyError, TypeError, AttributeError, struct.error, zlib.error) as e:
                     rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
                 yield pa.RecordBatch.from_pylist(rows, _RANGE)
 
@@ -368,7 +410,10 @@ def _row(path: str, head: dict[str, str], block: bytes) -> dict:
 
 
 def read_ranges(ranges: DataFrame) -> DataFrame:
-    """(path, record_type, record_id, url, refers_to, digest, payload) of the ranges' records; a revisit's payload is null."""
+    """(path, record_type, record_id, url, refers_to, digest, payload) of the ranges' records; a revisit's payload is null.
+
+    Rows with an error have no range and are passed over (``read_packages`` fails on them); a record that is broken fails the job.
+    """
     total = ranges.agg(F.sum("size").alias("n")).first()["n"] or 0
     tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)
 
@@ -398,14 +443,23 @@ def read_ranges(ranges: DataFrame) -> DataFrame:
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """All records of the packages (path), read by ranges; packages that can't be read give no rows (``record_ranges`` tells why)."""
-    return read_ranges(record_ranges(packages))
+    """All records of the packages (path), read by ranges; fails if a package or an archive in it can't be read.
+
+    To read what is left beside broken packages, look at the errors of ``record_ranges`` and call ``read_ranges``.
+    """
+    ranges = record_ranges(packages)
+    broken = ranges.where("error is not null").select("path", "error").limit(10).collect()
+    if broken:
+        raise ValueError("packages that can't be read: " + "; ".join(f"{r['path']}: {r['error']}" for r in broken))
+    return read_ranges(ranges)
 
 
-def page_records(records: DataFrame) -> DataFrame:
+def page_records(records: DataFrame, written: int | None = None) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of records as read; a revisit's payload is that of the response it names.
 
-    The payload's bytes and digest are worked out from the payload itself.
+    The payload's bytes and digest are worked out from the payload itself; they are
+    null for a revisit of a response that isn't there.  With the number of records
+    ``written``, fails if not as many were read, or if such a revisit is found.
     """
     number = lambda c: F.regexp_extract(c, f"^{_ID}(-?[0-9]+)$", 1)
     narrow = records.select(
@@ -417,9 +471,14 @@ def page_records(records: DataFrame) -> DataFrame:
         F.regexp_extract("digest", "^sha256:([0-9a-f]+)$", 1).alias("told"),
     )
     narrow = stored(narrow, "records")
+    if written is not None and (n := narrow.where("record_type in ('response', 'revisit')").count()) != written:
+        raise ValueError(f"{written} records were written, {n} read")
     whole = narrow.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     named = whole.select(F.col("page_id").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("told"), "payload_digest").distinct()
     revisits = narrow.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "told").join(named, ["refers_to", "told"], "left")
+    if written is not None:
+        lost = F.raise_error(F.format_string("page %s revisits a payload of page %s that wasn't read", F.col("page_id"), F.col("refers_to")))
+        revisits = revisits.withColumns({c: F.coalesce(c, lost) for c in ("payload_bytes", "payload_digest")})
     return whole.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
@@ -430,6 +489,8 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     the full payload, for revisits too), record_type, refers_to.  A null payload
     is an empty one; null ids stay null; repeated rows are recorded each (see
     ``marked_copies`` on ties); other columns are ignored; empty input gives no rows.
+    Fails if a package can't be read back or not all its records come back.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return page_records(read_packages(write_packages(marked_copies(pages, id_col, url_col, payload_col), folder)))
+    packages = write_packages(marked_copies(pages, id_col, url_col, payload_col), folder)
+    return page_records(read_packages(packages), packages.agg(F.sum("records").alias("n")).first()["n"] or 0)
