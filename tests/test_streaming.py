@@ -51,3 +51,31 @@ def test_late_edges_are_left_out_and_idle_nodes_forgotten(spark, tmp_path):
         write(spark, [(8, 9, e, at(minute))], source)
         got = run(spark, source, str(tmp_path), late="5 minutes", idle_ms=30 * 60_000)
     assert {x[0] for x in got} == {8, 9}
+
+
+def test_nodes_share_states(spark, tmp_path):
+    """A call for each node took about 7 ms of a core; states are those of buckets, however many nodes there are."""
+    source = str(tmp_path / "edges")
+    for part in range(2):
+        rows = spark.range(40_000).selectExpr("id % 9000 as src", "(id * 7 + 1) % 9001 + 9000 as dst", f"id * 2 + {part} as e_id", "timestamp_micros(1704067200000000 + id * 1000000) as ts")
+        rows.unionByName(rows.selectExpr("-1 as src", "dst", f"e_id + {10**6} as e_id", "ts")).repartition(1).write.mode("append").parquet(source)  # -1 is a hub
+    got = run(spark, source, str(tmp_path), late="1 day")
+    batch = spark.read.parquet(source).selectExpr("src", "dst", "e_id", "0L as batch")
+    assert got == {tuple(r) for r in features.neighbor_snapshot(batch, 5).select("node", "nbr", "e_id").collect()} and len({x[0] for x in got}) == 18_002
+    assert spark.read.format("statestore").load(str(tmp_path / "checkpoint")).count() <= 4096
+
+
+def test_nodes_of_one_bucket_are_forgotten_one_by_one(spark, tmp_path):
+    source, at = str(tmp_path / "edges"), lambda m: START + timedelta(minutes=m)
+    steps = [
+        ([(1, 2, 0, at(0)), (3, 4, 1, at(10))], {1, 2, 3, 4}),
+        ([(5, 6, 2, at(40)), (5, 1, 3, at(20))], {1, 3, 4, 5, 6}),  # the watermark is minute 5 while they are read, 35 after
+        ([(5, 6, 4, at(46)), (2, 1, 5, at(3))], {1, 5, 6}),  # an edge of minute 3 is late and keeps nobody; 41 after
+        ([(7, 7, 6, at(60))], {5, 6, 7}),  # 55 after
+        ([(7, 8, 7, at(90))], {7, 8}),  # 85 after
+    ]
+    for rows, left in steps:
+        write(spark, rows, source)
+        got = run(spark, source, str(tmp_path), late="5 minutes", idle_ms=30 * 60_000, buckets=1)
+        assert {x[0] for x in got} == left, rows
+    assert got == {(7, 7, 6), (7, 8, 7), (8, 7, 7)} and sum(r["nbr"] == 7 for r in streaming.latest_state(spark, f"{tmp_path}/updates").collect()) == 3

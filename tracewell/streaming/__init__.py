@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,12 +34,22 @@ def stream_window_counts(events: DataFrame, minutes: int = 15) -> DataFrame:
     return events.groupBy(w, "operation").agg(F.count("*").alias("n")).select("window.start", "window.end", "operation", "n")
 
 
-def _latest(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k latest edges of each node."""
-    return rows.sort_values(["e_id", "nbr"], ascending=[False, True], kind="stable").groupby("node", sort=False).head(k)
+#: Groups that nodes are dealt to, each with one state; a checkpoint goes on with the number that it began with.
+BUCKETS = 2048
+#: Nodes that a frame of updates tells of.
+TOLD = 10_000
 
 
-def stream_last_neighbors(edges: DataFrame, k: int = 20, late: str = "10 minutes", idle_ms: int | None = None) -> DataFrame:
+def _latest(node: np.ndarray, e_id: np.ndarray, nbr: np.ndarray, k: int) -> np.ndarray:
+    """Places of each node's k latest edges, by node and latest first."""
+    order = np.lexsort((nbr, ~e_id, node))  # ~ turns the order of whole numbers round
+    nodes = node[order]
+    starts = np.flatnonzero(np.r_[np.ones(len(nodes[:1]), bool), nodes[1:] != nodes[:-1]])
+    rank = np.arange(len(nodes)) - np.repeat(starts, np.diff(np.r_[starts, len(nodes)]))
+    return order[rank < k]
+
+
+def stream_last_neighbors(edges: DataFrame, k: int = 20, late: str = "10 minutes", idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """(node, gone, neighbors): each node's k latest edges, given anew whenever a batch changes them (update mode).
 
     edges: a stream of src, dst, e_id, ts.  A node's k edges are its state;
@@ -45,42 +57,59 @@ def stream_last_neighbors(edges: DataFrame, k: int = 20, late: str = "10 minutes
     With ``idle_ms`` a node that had no edge for so long, by event time, is
     forgotten and told once more with ``gone``.  Tasks cut a batch to k edges of
     each node before they are shuffled, so hubs send little.
+
+    Nodes are dealt to ``buckets`` by hash.  The nodes of a bucket have one state,
+    arrays of whole numbers that are worked on as such: a call for each node
+    would cost far more than its edges.  The state is written anew when one of
+    them changes, so many nodes in small batches want more buckets.
     """
     pairs = F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("nbr")), F.struct(F.col("dst").alias("node"), F.col("src").alias("nbr")))
-    ends = edges.select(F.explode(pairs).alias("p"), "e_id", "ts").select("p.node", "p.nbr", "e_id", "ts")
+    ends = edges.select(F.explode(pairs).alias("p"), "e_id", F.unix_millis("ts").alias("ms"), "ts").select("p.node", "p.nbr", "e_id", "ms", "ts")
 
-    def fewer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _latest(batch, k)
+            yield batch.take(pa.array(_latest(*(batch.column(c).to_numpy() for c in ("node", "e_id", "nbr")), k)))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        told = {"node": [key[0]], "gone": [False], "neighbors": [[]]}
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame(told | {"gone": [True]})
-            return
-        e_ids, nbrs, newest = state.get if state.exists else ([], [], 0)
-        known = pd.DataFrame({"node": key[0], "nbr": nbrs, "e_id": e_ids}, columns=["node", "nbr", "e_id"])
         mark = state.getCurrentWatermarkMs()
-        changed = False
-        for batch in batches:
-            times = batch["ts"].astype("datetime64[ms]").astype("int64")
-            fresh = batch[times >= mark]
-            if len(fresh):
-                changed, newest = True, max(newest, int(times[times >= mark].max()))
-                part = fresh[["node", "nbr", "e_id"]]
-                known = _latest(pd.concat([known, part]) if len(known) else part, k)
-        if not changed:
+        nodes, sizes, newest, e_ids, nbrs = (np.frombuffer(x, "int64") for x in (state.get if state.exists else [b""] * 5))
+        fresh = [np.empty((0, 4), "int64")]
+        for batch in () if state.hasTimedOut else batches:
+            fresh.append(batch.loc[batch["ms"] >= mark, ["node", "e_id", "nbr", "ms"]].to_numpy("int64"))
+        node, e_id, nbr, ms = np.concatenate(fresh).T
+        changed = np.unique(node)
+        known = np.union1d(nodes, changed)
+        if not len(known):
             return
-        e_ids, nbrs = known["e_id"].astype("int64").tolist(), known["nbr"].astype("int64").tolist()
-        state.update((e_ids, nbrs, newest))
-        if idle_ms is not None:
-            state.setTimeoutTimestamp(max(newest, mark) + idle_ms)
-        yield pd.DataFrame(told | {"neighbors": [[{"e_id": e, "nbr": n} for e, n in zip(e_ids, nbrs)]]})
-
-    base = ends.mapInPandas(fewer, "node long, nbr long, e_id long, ts timestamp").withWatermark("ts", late)
-    out = "node long, gone boolean, neighbors array<struct<e_id: bigint, nbr: bigint>>"
-    return base.groupBy("node").applyInPandasWithState(update, out, "e_ids array<long>, nbrs array<long>, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+        last = np.full(len(known), np.iinfo("int64").min)  # each node's newest edge
+        last[np.searchsorted(known, nodes)] = newest
+        np.maximum.at(last, np.searchsorted(known, node), ms)
+        stay = np.ones(len(known), bool) if idle_ms is None else last >= mark - idle_ms
+        gone, known, last = known[~stay], known[stay], last[stay]
+
+        node, e_id, nbr = np.r_[np.repeat(nodes, sizes), node], np.r_[e_ids, e_id], np.r_[nbrs, nbr]
+        held = np.flatnonzero(np.isin(node, known))
+        held = held[_latest(node[held], e_id[held], nbr[held], k)]
+        node, e_id, nbr = node[held], e_id[held], nbr[held]
+        bounds = np.r_[np.searchsorted(node, known), len(node)]
+        if len(known):
+            state.update(tuple(x.tobytes() for x in (known, np.diff(bounds), last, e_id, nbr)))
+            if idle_ms is not None:
+                state.setTimeoutTimestamp(int(last.min()) + idle_ms)
+        else:
+            state.remove()
+        at = np.searchsorted(known, changed)
+        for i in range(0, len(changed), TOLD):
+            spans = list(zip(bounds[at[i : i + TOLD]], bounds[at[i : i + TOLD] + 1]))
+            yield pd.DataFrame({"node": changed[i : i + TOLD], "gone": False, "e_id": [e_id[a:b] for a, b in spans], "nbr": [nbr[a:b] for a, b in spans]})
+        if len(gone):
+            yield pd.DataFrame({"node": gone, "gone": True, "e_id": [[]] * len(gone), "nbr": [[]] * len(gone)})
+
+    base = ends.mapInArrow(fewer, "node long, nbr long, e_id long, ms long, ts timestamp").withWatermark("ts", late)
+    dealt = base.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets))).groupBy("bucket")
+    out, kept = "node long, gone boolean, e_id array<long>, nbr array<long>", "nodes binary, sizes binary, newest binary, e_ids binary, nbrs binary"
+    told = dealt.applyInPandasWithState(update, out, kept, "update", GroupStateTimeout.EventTimeTimeout)
+    return told.select("node", "gone", F.arrays_zip("e_id", "nbr").alias("neighbors"))
 
 
 def keep_latest(updates: DataFrame, path: str, checkpoint: str) -> None:
